@@ -60,6 +60,8 @@ RETRY_OUTRO = (
     "请基于原始文章内容重新输出一个合法 JSON 对象，"
     "不要输出 Markdown 代码块或解释文字。"
 )
+CRAWLER_FEED_ENTRY = "feed-entry"
+FALLBACK_TARGET = "crawler4ai"
 ORIGINAL_LINK_PREFIX = "原文："
 SOURCE_BLOCK_TITLE = "来源信息"
 SOURCE_BLOCK_LABELS = ["来源", "原文", "原文时间", "抓取时间"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,8 +58,13 @@ def has_http_scheme(url: Column) -> Column:
     return scheme(url).isin("http", "https")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Name an intermediate value, so that the expression does not repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without_dots(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` in a split path."""
+    """Resolve ``.`` and ``..`` in a split path and join it again."""
     kept = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -66,36 +73,46 @@ def _without_dots(segments: Column) -> Column:
         .otherwise(F.array_append(acc, seg)),
     )
     ends_in_dot = F.element_at(segments, -1).isin(".", "..")
-    return F.when(ends_in_dot, F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(
+        F.array_join(kept, "/"),
+        F.when(ends_in_dot & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")),
+    )
+
+
+def _merged_path(base_path: Column, path: Column) -> Column:
+    """Path of a reference below a base path."""
+
+    def folder(parts: Column) -> Column:
+        keep = F.size(parts) - (F.element_at(parts, -1) != "").cast("int")
+        return F.slice(parts, F.lit(1), F.greatest(keep, F.lit(0)))
+
+    def without_inner_blanks(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.filter(parts, lambda part, at: (part != "") | (at == 0) | (at == last))
+
+    below = _let(
+        F.concat(_let(F.split(base_path, "/"), folder), F.split(path, "/")), without_inner_blanks
+    )
+    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(below)
+    return _let(
+        _let(segments, _without_dots),
+        lambda joined: F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)),
+    )
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """Resolve a reference against a base URL (RFC 3986, empty inner segments dropped)."""
     base_head, ref_scheme = _head(base), scheme(ref)
-    base_rest = F.regexp_extract(F.substr(base, F.length(base_head) + 1), r"^[^#]*", 0)
-    base_path = F.regexp_extract(base_rest, r"^[^?]*", 0)
-    local = F.when(ref_scheme != "", F.regexp_replace(ref, _SCHEME, "")).otherwise(ref)
+    base_rest = F.regexp_extract(base, _HEAD + r"([^#]*)", 1)
+    base_path = F.regexp_extract(base, _HEAD + r"([^?#]*)", 1)
+    local = F.regexp_replace(ref, _SCHEME, "")
     path = F.regexp_extract(local, r"^[^?#]*", 0)
-    after_path = F.substr(local, F.length(path) + 1)
-    folder = F.split(base_path, "/")
-    folder = F.when(
-        F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.greatest(F.size(folder) - 1, F.lit(0)))
-    ).otherwise(folder)
-    joined = F.concat(folder, F.split(path, "/"))
-    inner = F.filter(F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != "")
-    relative = F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1))
-    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(
-        F.when(F.size(joined) > 1, relative).otherwise(joined)
-    )
-    resolved = F.array_join(_without_dots(segments), "/")
-    resolved = F.when(resolved == "", F.lit("/")).otherwise(resolved)
-    resolved = F.when(resolved.startswith("/"), resolved).otherwise(F.concat(F.lit("/"), resolved))
-    base_scheme = F.concat(scheme(base), F.lit(":"))
+    after_path = F.regexp_extract(local, r"^[^?#]*(.*)$", 1)
     return (
         F.when(ref == "", base)
         .when((ref_scheme != "") & (ref_scheme != scheme(base)), ref)
-        .when(local.startswith("//"), F.concat(base_scheme, local))
-        .when(path != "", F.concat(base_head, resolved, after_path))
+        .when(local.startswith("//"), F.concat(scheme(base), F.lit(":"), local))
+        .when(path != "", F.concat(base_head, _merged_path(base_path, path), after_path))
         .when(after_path.startswith("?"), F.concat(base_head, base_path, after_path))
         .otherwise(F.concat(base_head, base_rest, after_path))
     )
