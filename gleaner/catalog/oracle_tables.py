@@ -51,11 +51,11 @@ CTES: dict[str, str] = {
                CAST(l_suppkey % 3 + 1 AS INTEGER) AS attempts
         FROM log_base WHERE l_returnflag = 'R'""",
     "vocabulary": """
-        SELECT MIN(p_partkey * 10 + at) AS id, upper(word[1]) || word[2:] AS name, word AS normalized_name, word AS slug,
+        SELECT MIN(p_partkey * 10 + pos) AS id, upper(substr(word, 1, 1)) || substr(word, 2) AS name, word AS normalized_name, word AS slug,
                'about ' || word AS description,
-               CASE WHEN MIN(p_partkey * 10 + at) % 2 = 0 THEN 'active' ELSE 'disabled' END AS status,
+               CASE WHEN MIN(p_partkey * 10 + pos) % 2 = 0 THEN 'active' ELSE 'disabled' END AS status,
                TIMESTAMP '2020-01-01' AS created_at, TIMESTAMP '2020-01-01' AS updated_at
-        FROM (SELECT p_partkey, 0 AS at, split_part(p_name, ' ', 1) AS word FROM part
+        FROM (SELECT p_partkey, 0 AS pos, split_part(p_name, ' ', 1) AS word FROM part
               UNION ALL SELECT p_partkey, 1, split_part(p_name, ' ', 2) FROM part) GROUP BY word""",
     "links": """
         SELECT DISTINCT e.article_id, v.id AS tag_id, e.id AS evaluation_id, e.evaluated_at AS created_at

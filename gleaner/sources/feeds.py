@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.html import first_text
 from gleaner.functions.text import non_blank
-from gleaner.functions.times import parse_datetime
+from gleaner.functions.times import first_time
 from gleaner.functions.urls import absolutise_entry_url
 
 _TEXT = "array<struct<_VALUE:string,_type:string>>"
@@ -100,13 +100,13 @@ def feed_entries(parsed: DataFrame) -> DataFrame:
         "position", "source_name", "source_tags", "site_url", "feed_url", "at",
         _link(item).alias("link"),
         _value(item.title).alias("title"),
-        F.coalesce(
-            parse_datetime(_first(item.pubDate)),
-            parse_datetime(_first(item.published)),
-            parse_datetime(_first(item.issued)),
-            parse_datetime(_first(item.updated)),
-            parse_datetime(_first(item.modified)),
-            parse_datetime(_first(item["dc:date"])),
+        first_time(
+            F.array(
+                *[
+                    _first(item[name])
+                    for name in ("pubDate", "published", "issued", "updated", "modified", "dc:date")
+                ]
+            )
         ).alias("published_at"),
         contents.alias("contents"),
         F.coalesce(_value(item.summary), _value(item.description)).alias("summary"),
