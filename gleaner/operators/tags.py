@@ -23,11 +23,7 @@ def active_tags(vocabulary: DataFrame) -> DataFrame:
 
 
 def exploded_tags(evaluations: DataFrame) -> DataFrame:
-    """One row per tag of a verdict; ``origin`` 0 for tags, 1 for suggestions.
-
-    Within one verdict the first tag of a normalised name is kept (array
-    functions, so no shuffle).
-    """
+    """One row per non-blank tag of a verdict; ``origin`` 0 for tags, 1 for suggestions."""
     empty = F.array().cast("array<string>")
     entries = F.concat(
         F.transform(F.coalesce("tags", empty), lambda t: F.struct(F.lit(0).alias("origin"), strip(t).alias("name"))),
@@ -39,7 +35,7 @@ def exploded_tags(evaluations: DataFrame) -> DataFrame:
         F.col("id").alias("evaluation_id"),
         "article_id",
         F.col("evaluated_at").alias("at_time"),
-        F.posexplode(F.filter(entries, lambda e: e.name != "")).alias("at", "entry"),
+        F.posexplode(F.filter(entries, lambda e: e["name"] != "")).alias("at", "entry"),
     )
     return rows.select(
         "evaluation_id", "article_id", "at_time", "at", "entry.origin", "entry.name",
@@ -219,36 +215,40 @@ def change_vocabulary(vocabulary: DataFrame, changes: DataFrame, as_of: Column)
     ``changes`` has ``ordinal, tag_id, name, description, status``; a row without
     ``tag_id`` creates a tag.  Null fields stay as they are.  Normalised name and
     slug stay unique: a change that would break this is refused and reported,
-    the earlier row of a batch winning.  Returns vocabulary and refusals.
+    the earlier row of a batch winning.  A name that a rename gives up is free
+    from the next batch on.  Returns vocabulary and refusals.
     """
-    named = changes.withColumns(
-        {
-            "new_normalized": normalize_tag(F.col("name")),
-            "new_slug": tag_slug(F.col("name")),
-        }
-    )
+    named = changes.withColumns({"new_normalized": normalize_tag(F.col("name")), "new_slug": tag_slug(F.col("name"))})
     creates = F.col("tag_id").isNull()
     empty = (creates & F.col("name").isNull()) | (F.col("new_normalized") == "")
     known = named.join(vocabulary.select(F.col("id").alias("tag_id"), F.lit(True).alias("exists")), "tag_id", "left")
     by_name = vocabulary.select(F.col("normalized_name").alias("new_normalized"), F.col("id").alias("name_owner"))
     by_slug = vocabulary.select(F.col("slug").alias("new_slug"), F.col("id").alias("slug_owner"))
-    owned = known.join(by_name, "new_normalized", "left").join(by_slug, "new_slug", "left")
-    # A slug follows from the normalised name, so the first claim of a slug in
-    # the batch also settles the name.
+
+    def taken(owner: str) -> Column:
+        return F.col(owner).isNotNull() & ~F.col(owner).eqNullSafe(F.col("tag_id"))
+
+    owned = (
+        known.join(by_name, "new_normalized", "left")
+        .join(by_slug, "new_slug", "left")
+        .withColumn(
+            "refusal",
+            F.when(~creates & F.col("exists").isNull(), F.lit("tag not found"))
+            .when(empty, F.lit("tag name must not be empty"))
+            .when(taken("name_owner") | taken("slug_owner"), F.lit("tag already exists")),
+        )
+    )
+    # A slug follows from the normalised name, so the first valid claim of a slug
+    # in the batch also settles the name.  Claims match back by unique ordinal.
     claims = (
-        named.filter(F.col("new_slug").isNotNull())
+        owned.filter(F.col("refusal").isNull() & F.col("new_slug").isNotNull())
         .groupBy("new_slug")
         .agg(F.min("ordinal").alias("ordinal"))
         .select("ordinal", F.lit(True).alias("first_claim"))
     )
-    other_owner = (F.col("name_owner").isNotNull() & ~F.col("name_owner").eqNullSafe(F.col("tag_id"))) | (
-        F.col("slug_owner").isNotNull() & ~F.col("slug_owner").eqNullSafe(F.col("tag_id"))
-    )
+    late = F.col("new_slug").isNotNull() & F.col("first_claim").isNull()
     judged = owned.join(claims, "ordinal", "left").withColumn(
-        "refusal",
-        F.when(~creates & F.col("exists").isNull(), F.lit("tag not found"))
-        .when(empty, F.lit("tag name must not be empty"))
-        .when(other_owner | (F.col("new_slug").isNotNull() & F.col("first_claim").isNull()), F.lit("tag already exists")),
+        "refusal", F.coalesce("refusal", F.when(late, F.lit("tag already exists")))
     )
     refused = judged.filter(F.col("refusal").isNotNull()).select("ordinal", "tag_id", "name", F.col("refusal").alias("error"))
     granted = judged.filter(F.col("refusal").isNull())
