@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["text_queries", "source_queries", "state_queries", "tag_queries", "report_queries"]
+_MODULES = ["text_queries", "source_queries", "state_queries", "tag_queries", "report_queries", "page_queries"]
 
 
 def _load():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +32,28 @@ def script_time(html: Column) -> Column:
     )
 
 
-def meta_time(metas: Column) -> Column:
-    """By key in order of precedence: the content of the first tag with that key."""
-    parsed = F.transform(
+def _having(attribute: str, value: str) -> Callable[[Column], Column]:
+    return lambda meta: meta[attribute] == value
+
+
+def meta_fields(metas: Column) -> Column:
+    """Attributes of meta tags that may carry a date."""
+    return F.transform(
         metas,
-        lambda m: F.struct(
-            _attribute(m, "property").alias("property"),
-            _attribute(m, "name").alias("name"),
-            _attribute(m, "itemprop").alias("itemprop"),
-            _attribute(m, "content").alias("content"),
-        ),
+        lambda m: F.struct(*[_attribute(m, name).alias(name) for name in ("property", "name", "itemprop", "content")]),
     )
-    contents = F.array(
-        *[
-            F.try_element_at(F.filter(parsed, lambda m, a=a, v=v: m[a] == v), F.lit(1))["content"]
-            for a, v in META_DATE_KEYS
-        ]
+
+
+def meta_time(fields: Column) -> Column:
+    """By key in order of precedence: the content of the first tag with that key."""
+    return first_time(
+        F.array(
+            *[
+                F.try_element_at(F.filter(fields, _having(attribute, value)), F.lit(1))["content"]
+                for attribute, value in META_DATE_KEYS
+            ]
+        )
     )
-    return first_time(contents)
 
 
 def time_tag_time(times: Column) -> Column:
@@ -62,6 +68,14 @@ def time_tag_time(times: Column) -> Column:
     return first_time(value)
 
 
+def _by(rule: str, time: Column) -> Column:
+    """The time with the rule that found it; null when there is none."""
+    named = F.transform(
+        F.array(time), lambda t: F.when(t.isNotNull(), F.struct(F.lit(rule).alias("by"), t.alias("at")))
+    )
+    return F.get(named, F.lit(0))
+
+
 def with_published_at(pages: DataFrame) -> DataFrame:
     """Add ``published_at`` (and ``published_by``, the rule that found it).
 
@@ -78,22 +92,24 @@ def with_published_at(pages: DataFrame) -> DataFrame:
     )
     staged = (
         pages.withColumn("_clean", clean)
-        .withColumn("_markup", markup)
+        .withColumns({"_markup": markup, "_blocks": F.nullif(blocks, F.array().cast("array<string>"))})
         .withColumns(
             {
-                "_meta": meta_time(F.regexp_extract_all("_markup", F.lit(rf"(?is)<meta\b{_TAG_REST}>"), F.lit(0))),
-                "_blocks": F.nullif(blocks, F.array().cast("array<string>")),
-                "_script": script_time(F.col("html")),
-                "_time": time_tag_time(
-                    F.regexp_extract_all("_markup", F.lit(rf"(?is)<time\b{_TAG_REST}>.*?</time\s*>"), F.lit(0))
-                ),
+                "_metas": meta_fields(F.regexp_extract_all("_markup", F.lit(rf"(?is)<meta\b{_TAG_REST}>"), F.lit(0))),
+                "_times": F.regexp_extract_all("_markup", F.lit(rf"(?is)<time\b{_TAG_REST}>.*?</time\s*>"), F.lit(0)),
+                "_linked": linked_data_dates("_blocks"),
             }
         )
-        .withColumn("_linked", first_time(linked_data_dates("_blocks")))
     )
-    rules = [("meta", "_meta"), ("json_ld", "_linked"), ("script", "_script"), ("time_tag", "_time")]
-    by = F.coalesce(*[F.when(F.col(column).isNotNull(), F.lit(name)) for name, column in rules])
-    return staged.withColumns({"published_at": F.coalesce(*[c for _, c in rules]), "published_by": by}).drop(
-        "_clean", "_markup", "_meta", "_blocks", "_script", "_time", "_linked"
+    # One expression, so that a later rule is tried only where the earlier failed.
+    found = F.coalesce(
+        _by("meta", meta_time(F.col("_metas"))),
+        _by("json_ld", first_time(F.col("_linked"))),
+        _by("script", script_time(F.col("html"))),
+        _by("time_tag", time_tag_time(F.col("_times"))),
+    )
+    return (
+        staged.withColumn("_found", found)
+        .withColumns({"published_at": F.col("_found.at"), "published_by": F.col("_found.by")})
+        .select(*pages.columns, "published_at", "published_by")
     )
-

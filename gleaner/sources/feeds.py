@@ -83,9 +83,11 @@ def feed_entries(parsed: DataFrame) -> DataFrame:
     the link.  Content is the first content element with text, else the summary.
     """
     item = F.col("item")
-    exploded = parsed.filter(F.col("parse_error").isNull()).select(
-        "position", "source_name", "source_tags", "site_url", "feed_url", F.posexplode("items").alias("at", "item")
-    )
+    # Broken bodies have no items.  The outer form keeps Spark from testing the
+    # items below the explode, which would parse every body again.
+    exploded = parsed.select(
+        "position", "source_name", "source_tags", "site_url", "feed_url", F.posexplode_outer("items").alias("at", "item")
+    ).filter(item.isNotNull())
     encoded = F.transform(
         item["content:encoded"], lambda v: F.struct(v.alias("text"), F.lit("text/html").alias("type"))
     )

@@ -35,13 +35,13 @@ def listing_entries(parsed: DataFrame, *keep: str) -> DataFrame:
     nodes; without one the link text or else the address is the title.
     """
     feed = F.col("feed")
-    rows = parsed.filter(F.col("parse_error").isNull()).select(
+    rows = parsed.select(
         *keep,
         F.coalesce(F.nullif(feed.base_url, F.lit("")), origin(feed.url)).alias("base"),
         F.filter(F.transform(feed.url_patterns, strip), lambda p: p != "").alias("patterns"),
         "titles",
-        F.posexplode("links").alias("at", "link"),
-    )
+        F.posexplode_outer("links").alias("at", "link"),
+    ).filter(F.col("link").isNotNull())
     href = non_blank(F.col("link.href"))
     usable = ~href.startswith("#") & ~F.lower(href).startswith("javascript:") & ~F.lower(href).startswith("mailto:")
     based = F.coalesce(F.col("base"), F.lit("")) != ""

@@ -41,9 +41,9 @@ def parse_sitemaps(bodies: DataFrame) -> DataFrame:
 
 def sitemap_entries(parsed: DataFrame, *keep: str) -> DataFrame:
     """URLs of plain sitemaps; the address is also the title."""
-    return parsed.filter(F.col("parse_error").isNull() & (F.col("root") == "urlset")).select(
-        *keep, F.posexplode("locations").alias("at", "node")
-    ).select(
+    # See feed_entries for the outer form.
+    urls = F.when(F.col("root") == "urlset", F.col("locations"))
+    return parsed.select(*keep, F.posexplode_outer(urls).alias("at", "node")).filter(F.col("node").isNotNull()).select(
         *keep,
         "at",
         non_blank(F.col("node.loc")).alias("title"),
