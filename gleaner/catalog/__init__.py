@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-_MODULES = ["text_queries", "source_queries", "state_queries", "tag_queries", "report_queries", "page_queries"]
+_MODULES = [
+    "text_queries", "source_queries", "state_queries", "tag_queries", "report_queries", "page_queries", "stream_queries",
+]
 
 
 def _load():

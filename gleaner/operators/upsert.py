@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import hashed_slug, non_blank, title_slug
 from gleaner.functions.urls import normalize_url
+from gleaner.session import written
 
 
 def fold_batch(entries: DataFrame) -> DataFrame:
@@ -49,22 +50,21 @@ def fold_batch(entries: DataFrame) -> DataFrame:
 
 
 def assign_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
-    """Give new articles their slugs.
+    """Give new articles (with their ``base`` slug) their slugs.
 
     The first article of the batch with a base slug keeps it, unless the
     snapshot has it already; the others get a hash of their URL appended.  The
     winners are matched back by their unique ordinal, so a base slug shared by a
     large part of the batch does not gather in one task.
     """
-    based = new.withColumn("base", title_slug(F.col("source_name"), F.col("title")))
     winners = (
-        based.groupBy("base")
+        new.groupBy("base")
         .agg(F.min("ordinal").alias("ordinal"))
         .join(taken.select(F.col("slug").alias("base")), "base", "left_anti")
         .select("ordinal", F.lit(True).alias("wins"))
     )
     slug = F.when(F.col("wins"), F.col("base")).otherwise(hashed_slug(F.col("base"), F.col("normalized_url")))
-    return based.join(winners, "ordinal", "left").withColumn("slug", slug).drop("base", "wins")
+    return new.join(winners, "ordinal", "left").withColumn("slug", slug).drop("base", "wins")
 
 
 def unseen(batch: DataFrame, articles: DataFrame) -> DataFrame:
@@ -116,8 +116,13 @@ def fill_known(articles: DataFrame, batch: DataFrame, as_of: Column) -> DataFram
 
 
 def upsert_candidates(articles: DataFrame, entries: DataFrame, as_of: Column) -> DataFrame:
-    """The new snapshot after a batch of entries (already inside the window)."""
-    batch = fold_batch(entries)
+    """The new snapshot after a batch of entries (already inside the window).
+
+    The folded batch is written once, because filling and inserting both need
+    it; its true size then also decides whether it is broadcast.
+    """
+    base = title_slug(F.col("source_name"), F.col("title"))
+    batch = written(fold_batch(entries).withColumn("base", base), "folded-batch")
     top_id = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     fresh = new_articles(batch, articles, as_of, top_id)
     return fill_known(articles, batch, as_of).unionByName(fresh.select(*articles.columns))
