@@ -306,7 +306,7 @@ def _items(spark, sf):
 
 
 def _feed(spark, sf):
-    return publishing.feed_document(_items(spark, sf), "A & B", BASE_URL, "Picked")
+    return publishing.feed_document(_items(spark, sf), "A & B", BASE_URL, "Picked", ttl_minutes=60)
 
 
 @query(f"WITH {_ITEMS} SELECT link AS guid, title, description, source, url AS source_url, pub_date, categories FROM shown")

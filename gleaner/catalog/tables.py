@@ -1,19 +1,54 @@
 """State tables derived by Spark from the driver tables.
 
-Each function reads what it needs and nothing else; the derived tables grow with
-the given ones.  ``oracle.py`` states the same rules in SQL.
+The derived tables grow with the given ones; ``oracle_tables.py`` states the same
+rules in SQL.  The log and state tables are stored once per application, as a
+deployment holds them, so that queries scan them with pushed-down filters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from threading import RLock
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from gleaner.session import shared_folder
 
 STATUSES = ["queued", "running", "succeeded", "failed", "skipped_out_of_range"]
 CONTENT_TYPES = ["technical_article", "engineering_case", "research_article", "research_reflection", "learning_path",
                  "personal_reflection", "career_experience", "tooling_note"]
 
 
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_lock = RLock()
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Derive a table on first use and read the written copy from then on."""
+
+    @wraps(build)
+    def table(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        with _lock:
+            if key not in _stored:
+                folder, frame = shared_folder(spark, f"state-{build.__name__}"), build(spark, sf)
+                frame.write.parquet(folder)
+                _stored[key] = (folder, frame.schema)
+        folder, schema = _stored[key]
+        return spark.read.schema(schema).parquet(folder)
+
+    return table
+
+
+def derive_all(spark: SparkSession, sf: str) -> None:
+    """Store every state table now."""
+    for table in (articles, fetches, evaluations, failures, vocabulary, links):
+        table(spark, sf)
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -38,6 +73,7 @@ def source_name() -> Column:
     )
 
 
+@stored
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     key, date = F.col("o_orderkey"), ts("o_orderdate")
     path = F.concat(source_name(), F.lit("/"), key.cast("string"))
@@ -65,6 +101,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def log_base(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (article, line): the pairs repeat in the data, the largest row counts."""
     fields = ["l_shipdate", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
@@ -76,6 +113,7 @@ def log_base(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
     failed = F.col("l_linestatus") == "F"
     text = F.concat(
@@ -93,6 +131,7 @@ def fetches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def evaluations(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split("p_name", " ")
     part = read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
@@ -111,6 +150,7 @@ def evaluations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def failures(spark: SparkSession, sf: str) -> DataFrame:
     return log_base(spark, sf).filter("l_returnflag = 'R'").select(
         "id",
@@ -122,6 +162,7 @@ def failures(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """Words of part names; every other one is disabled."""
     start = F.lit("2020-01-01 00:00:00").cast("timestamp")
@@ -138,6 +179,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def links(spark: SparkSession, sf: str) -> DataFrame:
     """Tags of the latest verdict of every article, disabled ones included."""
     newest = evaluations(spark, sf).groupBy("article_id").agg(

@@ -18,6 +18,7 @@ from gleaner.constants import JSON_LD_DATE_KEYS
 from gleaner.functions.text import non_blank
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_NONE: set[str] = set()
 _LINKS = StructType(
     [
         StructField("links", ArrayType(StructType([StructField("href", StringType()), StructField("text", StringType())]))),
@@ -128,7 +129,8 @@ class _Selected(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attributes = dict(attrs)
-        self.open.append((tag, set((attributes.get("class") or "").split()), attributes.get("id")))
+        classes = attributes.get("class")
+        self.open.append((tag, set(classes.split()) if classes else _NONE, attributes.get("id")))
         for at, alternatives in enumerate(self.paths):
             if any(self._matches(path) for path in alternatives):
                 node = {"href": attributes.get("href"), "text": []}
@@ -139,7 +141,8 @@ class _Selected(HTMLParser):
 
     def _close(self, depth: int) -> None:
         del self.open[depth:]
-        self.live = [(level, node) for level, node in self.live if level <= depth]
+        if self.live:
+            self.live = [(level, node) for level, node in self.live if level <= depth]
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):

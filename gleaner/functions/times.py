@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.constants import MONTHS, ZONE_OFFSETS
 from gleaner.functions.text import strip
 
+# The usual spelling, which Spark's own cast reads.
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?$"
 # ISO-8601 in the extended or the basic form, one arbitrary separator character.
 _ISO = (
     r"^(\d{4})(-?)(\d{2})\2(\d{2})"
@@ -84,6 +86,7 @@ def parse_datetime(value: Column, date_as_end: bool = False) -> Column:
         day = day + F.expr("INTERVAL 1 DAY")
     return (
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
+        .when(text.rlike(_PLAIN), F.date_trunc("second", F.try_to_timestamp(text)))
         .when(text.rlike(_ISO), _from_iso(text))
         .when(text.rlike(_RFC), _from_rfc(text))
     )

@@ -138,7 +138,7 @@ def item_xml(items: DataFrame) -> DataFrame:
 
 
 def feed_document(items: DataFrame, title: str, link: str, description: str, language: str = "zh-CN",
-                  ttl_minutes: int = 60) -> DataFrame:
+                  ttl_minutes: int = 5) -> DataFrame:
     """One row with the feed ``document``, its ``etag`` and ``last_modified``.
 
     Items are one page, so the list that is put together here is bounded.

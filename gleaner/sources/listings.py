@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.html import select_links
-from gleaner.functions.text import non_blank, strip
+from gleaner.functions.text import strip
 from gleaner.functions.urls import origin, resolve_url
 
 
@@ -35,28 +35,35 @@ def listing_entries(parsed: DataFrame, *keep: str) -> DataFrame:
     nodes; without one the link text or else the address is the title.
     """
     feed = F.col("feed")
-    rows = parsed.select(
-        *keep,
-        F.coalesce(F.nullif(feed.base_url, F.lit("")), origin(feed.url)).alias("base"),
-        F.filter(F.transform(feed.url_patterns, strip), lambda p: p != "").alias("patterns"),
-        "titles",
-        F.posexplode_outer("links").alias("at", "link"),
-    ).filter(F.col("link").isNotNull())
-    href = non_blank(F.col("link.href"))
-    usable = ~href.startswith("#") & ~F.lower(href).startswith("javascript:") & ~F.lower(href).startswith("mailto:")
-    based = F.coalesce(F.col("base"), F.lit("")) != ""
-    resolved = (
-        rows.filter(href.isNotNull() & usable)
-        .withColumn("url", F.when(based, resolve_url(F.col("base"), href)).otherwise(href))
-        .filter(
-            (F.size(F.coalesce("patterns", F.array().cast("array<string>"))) == 0)
-            | F.exists("patterns", lambda p: F.col("url").contains(p))
+    base = F.coalesce(F.nullif(feed.base_url, F.lit("")), origin(feed.url), F.lit(""))
+    patterns = F.filter(F.transform(feed.url_patterns, strip), lambda p: p != "")
+    staged = parsed.select(
+        *keep, "links", "titles", base.alias("base"), F.coalesce(patterns, F.array().cast("array<string>")).alias("patterns")
+    )
+
+    def usable(link: Column) -> Column:
+        href = F.lower(link.href)
+        return (href != "") & ~href.startswith("#") & ~href.startswith("javascript:") & ~href.startswith("mailto:")
+
+    def entry(link: Column) -> Column:
+        url = F.when(F.col("base") != "", resolve_url(F.col("base"), link.href)).otherwise(link.href)
+        return F.struct(
+            link["at"].alias("at"),
+            F.coalesce(F.nullif(link.node_title, F.lit("")), F.nullif(link.text, F.lit(""))).alias("title"),
+            url.alias("url"),
         )
+
+    numbered = F.transform(
+        "links",
+        lambda link, at: F.struct(
+            at.alias("at"), strip(link.href).alias("href"), link.text.alias("text"), F.get("titles", at).alias("node_title")
+        ),
+    )
+    # Worked out inside the array, so that each address is resolved once.
+    entries = F.filter(
+        F.transform(F.filter(numbered, usable), entry),
+        lambda e: (F.size("patterns") == 0) | F.exists("patterns", lambda p: e.url.contains(p)),
     )
-    node_title = F.nullif(F.get("titles", F.col("at")), F.lit(""))
-    return resolved.select(
-        *keep,
-        "at",
-        F.coalesce(node_title, F.nullif("link.text", F.lit("")), F.col("url")).alias("title"),
-        "url",
+    return staged.select(*keep, F.explode_outer(entries).alias("entry")).filter(F.col("entry").isNotNull()).select(
+        *keep, "entry.at", F.coalesce("entry.title", "entry.url").alias("title"), "entry.url"
     )

@@ -163,3 +163,12 @@ def test_routing(spark):
     assert (good.article_id, good.decision, good.model_name) == (0, "accept", "m1")
     assert (bad.article_id, bad.attempts, bad.raw_response) == (1, 1, "{}")
     assert verdicts.evaluation_counters(scored).first().asDict() == dict(attempted=2, accepted=1, rejected=0, low_confidence=0, failed=1)
+
+
+def test_default_vocabulary(spark):
+    from gleaner.default_vocabulary import default_vocabulary
+
+    rows = {r.name: r for r in default_vocabulary(spark, moment()).collect()}
+    assert len(rows) == 97 == len({r.slug for r in rows.values()})
+    assert (rows["CI/CD"].normalized_name, rows["CI/CD"].slug) == ("ci/cd", "ci-cd")
+    assert (rows["Query Optimizer"].normalized_name, rows["Query Optimizer"].slug) == ("query optimizer", "query-optimizer")
