@@ -197,8 +197,8 @@ def sitemap_tables(spark, sf):
     root = F.when(shape == 1, _index(one("mid-"))).when(shape == 3, _index(one("a-"))).otherwise(_index(F.col("names")))
     roots = tens.select(F.concat(F.lit("root-"), g).alias("url"), root.alias("body"))
     wide = listed(100).select(F.concat(F.lit("wide-"), g).alias("url"), _index(F.col("names")).alias("body"))
-    documents = leaves.unionByName(tens.select(F.explode(below).alias("d")).select("d.*")).unionByName(roots).unionByName(wide)
-    sources = roots.unionByName(wide).select(F.concat(F.lit("source-"), "url").alias("source_name"), "url")
+    documents = leaves.unionByName(tens.select(F.explode(below).alias("d")).select("d.*"))
+    sources = roots.unionByName(wide).select(F.concat(F.lit("source-"), "url").alias("source_name"), "url", "body")
     return sources, documents
 
 

@@ -207,7 +207,7 @@ def url_schemes(spark, sf):
     WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'),
                          '(?s)<!--.*?-->', '<x>', 'g') AS html FROM pages),
          nodes AS (SELECT page_id, list_transform(string_split_regex(html, '<[^>]*>'),
-                     lambda x: trim(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' || chr(10))) AS parts FROM bare)
+                     lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), ' ' || chr(10))) AS parts FROM bare)
     SELECT page_id, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM nodes""")
 def page_texts(spark, sf):
     return t.read(spark, sf, "pages").select("page_id", markup_text("html").alias("text"))

@@ -44,13 +44,8 @@ def read_sources(
     feeds = parse_feeds(ready.filter(F.col("feed.type").isin("direct", "rsshub")))
     listings = parse_listings(ready.filter(F.col("feed.type") == "listing"))
     maps = ready.filter(F.col("feed.type") == "sitemap")
-    roots = maps.select("source_name", F.col("feed_url").alias("url"), "position", "source_tags")
-    map_entries, map_failures = expand_sitemaps(
-        roots,
-        documents.select("url", "body").join(roots.select("url"), "url", "left_anti")
-        .unionByName(maps.select(F.col("feed_url").alias("url"), "body").dropDuplicates(["url"])),
-        "position", "source_tags",
-    )
+    roots = maps.select("source_name", F.col("feed_url").alias("url"), "body", "position", "source_tags")
+    map_entries, map_failures = expand_sitemaps(roots, documents, "position", "source_tags")
 
     def shaped(frame: DataFrame, at: Column) -> DataFrame:
         return frame.select(

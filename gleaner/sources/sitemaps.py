@@ -14,6 +14,8 @@ from gleaner.session import written
 _SITEMAP = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string>>, _bad string"
 _XML = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}
 _ROOT = r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<![^>]*>\s*)*<(?:[\w.\-]+:)?([\w.\-]+)"
+# Roots are kept apart from other documents: two sources may name the same address.
+_ROOT_KEY = "root of "
 _LOCATION = "array<struct<loc:string,lastmod:string>>"
 
 
@@ -59,7 +61,7 @@ def _walk_order(steps: pd.DataFrame) -> pd.DataFrame:
     the group is small whatever the size of the data.
     """
     source = steps["source_name"].iloc[0]
-    root = steps["root_url"].iloc[0]
+    root = _ROOT_KEY + source
     problems = {row.url: row.problem for row in steps.itertuples() if isinstance(row.problem, str)}
     listed = steps.dropna(subset=["child"]).sort_values(["url", "at"])
     children = listed.groupby("url")["child"].agg(list).to_dict()
@@ -71,7 +73,7 @@ def _walk_order(steps: pd.DataFrame) -> pd.DataFrame:
             return f"sitemap nesting too deep: {url}"
         return problems.get(url)
 
-    order, seen, error = [root], {root}, problem(root, 0)
+    order, seen, error = [root], {root, steps["root_url"].iloc[0]}, problem(root, 0)
     open_lists = [iter(children.get(root, []))]
     while open_lists and error is None:
         url = next((child for child in open_lists[-1] if child not in seen), None)
@@ -93,8 +95,8 @@ _WALK = "source_name string, url string, visit int, error string"
 def expand_sitemaps(roots: DataFrame, documents: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """Expand sitemap indexes over a table of bodies.
 
-    ``roots`` has ``source_name, url`` and the columns to ``keep``; ``documents``
-    has one ``body`` per ``url``, the roots included.  Returns entries ``(source_name, visit, at,
+    ``roots`` has ``source_name, url, body`` and the columns to ``keep``;
+    ``documents`` has one ``body`` per ``url``.  Returns entries ``(source_name, visit, at,
     title, url, published_at)`` in visiting order, and ``(source_name, error)``
     per failed source.  A source fails as a whole when it nests deeper than the
     depth limit, needs more documents than the file limit (the root counts), or
@@ -105,7 +107,9 @@ def expand_sitemaps(roots: DataFrame, documents: DataFrame, *keep: str) -> tuple
     enough to know that the source fails; the row limit is applied before the
     shuffle, so a huge index cannot fill one task.
     """
-    known = written(parse_sitemaps(documents.select("url", "body")).drop("body"), "sitemaps")
+    key = F.concat(F.lit(_ROOT_KEY), F.col("source_name"))
+    bodies = documents.select("url", "body").unionByName(roots.select(key.alias("url"), "body"))
+    known = written(parse_sitemaps(bodies).drop("body"), "sitemaps")
     status = known.select(
         "url", F.coalesce("parse_error", F.lit("")).alias("status")
     )
@@ -116,7 +120,7 @@ def expand_sitemaps(roots: DataFrame, documents: DataFrame, *keep: str) -> tuple
         .agg(F.min("at").alias("at"))
     )
     ranked = Window.partitionBy("source_name").orderBy("url")
-    level = roots.select("source_name", "url", F.col("url").alias("root_url"))
+    level = roots.select("source_name", key.alias("url"), F.col("url").alias("root_url"))
     found = level
     for _ in range(MAX_SITEMAP_DEPTH + 1):
         level = (

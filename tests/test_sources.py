@@ -101,7 +101,7 @@ def test_feeds(spark):
 
 def expand(spark, roots, documents):
     entries, failed = sitemaps.expand_sitemaps(
-        spark.createDataFrame(roots, "source_name string, url string"),
+        spark.createDataFrame([(s, u, dict(documents)[u]) for s, u in roots], "source_name string, url string, body string"),
         spark.createDataFrame(documents, "url string, body string"),
     )
     return (
@@ -123,6 +123,13 @@ def test_sitemaps(spark):
         ("r9", index("y1", "z")), ("y1", index("y2")), ("y2", index("z")), ("z", index("m1")),
     ]
     entries, failed = expand(spark, [(f"s{i}", f"r{i}") for i in range(1, 10)], documents)
+    # Two sources may name one address and get different bodies.
+    same, _ = sitemaps.expand_sitemaps(
+        spark.createDataFrame([("p", "u", urlset(("https://e.com/p", None))), ("q", "u", index("u", "m1"))],
+                              "source_name string, url string, body string"),
+        spark.createDataFrame(documents[1:2], "url string, body string"),
+    )
+    assert sorted((r.source_name, r.url) for r in same.collect()) == [("p", "https://e.com/p"), ("q", "https://e.com/1")]
     assert [e for e in entries if e[0] == "s1"] == [("s1", "https://e.com/1"), ("s1", "https://e.com/2")]
     assert len([e for e in entries if e[0] == "s5"]) == 31
     assert {e[0] for e in entries} == {"s1", "s5"}
