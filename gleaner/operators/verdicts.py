@@ -20,7 +20,7 @@ from gleaner.constants import (
     RETRY_PREVIOUS,
     VOCABULARY_HEADING,
 )
-from gleaner.functions.text import evaluator_input, extract_json, normalize_tag, strip
+from gleaner.functions.text import evaluator_input, normalize_tag, strip, strip_fences
 
 VERDICT_KEYS = ["decision", "content_type", "summary", "tags", "suggested_tags", "recommendation_reason"]
 _VERDICT = (
@@ -45,8 +45,7 @@ def with_verdict(replies: DataFrame, raw: str = "raw") -> DataFrame:
     Exactly one of verdict and violation is set.  Unknown keys, wrong types,
     unknown enum values and blank texts are violations.
     """
-    reply = extract_json(F.col(raw))
-    parsed = F.try_parse_json(F.col("raw_json"))
+    parsed = F.col("_v")
     fields = F.from_json("raw_json", _VERDICT)
 
     def kind(key: str) -> Column:
@@ -84,12 +83,14 @@ def with_verdict(replies: DataFrame, raw: str = "raw") -> DataFrame:
         strip(F.col("_f.recommendation_reason")).alias("recommendation_reason"),
     )
     return (
-        replies.withColumn("raw_json", reply)
+        replies.withColumn("_text", strip_fences(F.col(raw)))
+        .withColumn("_v", F.try_parse_json("_text"))
+        .withColumn("raw_json", F.when(F.col("_v").isNotNull(), F.col("_text")))
         .withColumn("_f", F.when(strip(F.col("raw_json")).startswith("{"), fields))
         .withColumn("_tags", F.filter(F.transform("_f.tags", strip), lambda t: t != ""))
         .withColumn("violation", violation)
         .withColumn("verdict", F.when(F.col("violation").isNull(), verdict))
-        .drop("_f", "_tags")
+        .drop("_text", "_v", "_f", "_tags")
     )
 
 

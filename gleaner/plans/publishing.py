@@ -33,32 +33,38 @@ def newest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc(item_time()), F.desc("id"))
 
 
+def _record_fields() -> dict[str, Column]:
+    fields = {name: F.col(name) for name in RECORD if name not in ("source", "markdown_path")}
+    fields["source"] = F.col("source_name")
+    fields["published_at"] = iso_z(F.col("published_at"))
+    fields["collected_at"] = iso_z(F.col("collected_at"))
+    fields["markdown_path"] = F.concat(F.lit("articles/"), F.col("slug"), F.lit(".md"))
+    return fields
+
+
 def public_records(rows: DataFrame) -> DataFrame:
     """The eleven public fields; no status, no raw columns."""
-    return rows.select(
-        "slug", "title", "url", F.col("source_name").alias("source"),
-        iso_z(F.col("published_at")).alias("published_at"),
-        iso_z(F.col("collected_at")).alias("collected_at"),
-        "content_type", "summary", "tags", "recommendation_reason",
-        F.concat(F.lit("articles/"), F.col("slug"), F.lit(".md")).alias("markdown_path"),
-    )
+    fields = _record_fields()
+    return rows.select(*[fields[name].alias(name) for name in RECORD])
 
 
-def record_json(rows: DataFrame) -> DataFrame:
-    """Slug and JSON text of every record, unknown values as null."""
-    return public_records(rows).select(
-        "slug", F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"}).alias("record")
-    )
+def _record_json() -> Column:
+    fields = _record_fields()
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in RECORD]), {"ignoreNullFields": "false"})
 
 
-def documents(rows: DataFrame) -> DataFrame:
-    """Slug and Markdown document of every article."""
+def _document() -> Column:
     c = F.col
     matter = text.front_matter(
         c("title"), c("url"), c("source_name"), c("content_type"), c("published_at"), c("collected_at"), c("tags")
     )
     block = text.source_block(c("source_name"), c("url"), c("published_at"), c("fetched_at"))
-    return rows.select("slug", text.document(matter, block, c("content")).alias("document"))
+    return text.document(matter, block, c("content"))
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """Slug and Markdown document of every article."""
+    return rows.select("slug", _document().alias("document"))
 
 
 def stale_slugs(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -66,17 +72,25 @@ def stale_slugs(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.select("slug").distinct().join(current.select("slug"), "slug", "left_anti")
 
 
+def snapshot_rows(rows: DataFrame) -> DataFrame:
+    """Record (JSON, unknown values as null) and document of every article, with the sort keys of the index."""
+    return rows.select(
+        "slug", item_time().alias("item_time"), "id", _record_json().alias("record"), _document().alias("document")
+    )
+
+
 def publish_snapshot(rows: DataFrame, folder: str, documents_per_file: int = 20_000) -> None:
-    """Write index, records and documents; what was published before is replaced.
+    """Write records, documents and index; what was published before is replaced.
 
-    The index keeps the public order over its part files.  Records and documents
-    are grouped in files of bounded size instead of one tiny file per article.
+    Records and documents go to files of bounded size instead of one tiny file
+    per article.  The index is then sorted out of what was written, reading only
+    the record column, and keeps the public order over its part files.
     """
-    newest_first(rows).transform(public_records).write.mode("overwrite").option("ignoreNullFields", "false").json(
-        f"{folder}/index"
+    snapshot_rows(rows).write.mode("overwrite").option("maxRecordsPerFile", documents_per_file).parquet(
+        f"{folder}/articles"
     )
-    both = record_json(rows).join(documents(rows), "slug")
-    both.write.mode("overwrite").option("maxRecordsPerFile", documents_per_file).parquet(f"{folder}/articles")
+    stored = rows.sparkSession.read.parquet(f"{folder}/articles")
+    stored.orderBy(F.desc("item_time"), F.desc("id")).select("record").write.mode("overwrite").text(f"{folder}/index")
 
 
 def publish_counter(rows: DataFrame) -> DataFrame:
@@ -179,13 +193,13 @@ def not_modified(requests: DataFrame, feed: DataFrame) -> DataFrame:
 
     The tag decides alone when it is given; else the time does.
     """
-    etag, modified = feed.select("etag").scalar(), feed.select("last_modified").scalar()
-    marked = requests.withColumns({"_etag": etag, "_modified": modified})
+    current = feed.select(F.struct("etag", "last_modified").alias("current")).scalar()
+    marked = requests.withColumn("_feed", current)
     tag = F.coalesce("if_none_match", F.lit(""))
     since = parse_datetime(F.col("if_modified_since"))
     return marked.withColumn(
         "unchanged",
-        F.when(tag != "", F.trim(tag) == F.col("_etag")).otherwise(
-            F.coalesce(since >= parse_datetime(F.col("_modified")), F.lit(False))
+        F.when(tag != "", F.trim(tag) == F.col("_feed.etag")).otherwise(
+            F.coalesce(since >= parse_datetime(F.col("_feed.last_modified")), F.lit(False))
         ),
-    ).drop("_etag", "_modified")
+    ).drop("_feed")
