@@ -114,16 +114,17 @@ def feed_entries(parsed: DataFrame) -> DataFrame:
         F.coalesce(_value(item.summary), _value(item.description)).alias("summary"),
     ).filter(F.col("link").isNotNull())
 
+    none_text = F.array().cast("array<string>")
     texts = F.concat(
-        F.transform("contents", lambda c: c.text), F.when(F.col("summary").isNotNull(), F.array("summary")).otherwise(
-            F.array().cast("array<string>"))
+        F.transform("contents", lambda c: c.text),
+        F.when(F.col("summary").isNotNull(), F.array("summary")).otherwise(none_text),
     )
-    lead = non_blank(_first(texts))
-    plain = ~(lead.contains("<") & lead.contains(">"))
+    staged = fields.withColumn("texts", texts).withColumn("lead", non_blank(_first(F.col("texts"))))
+    lead = F.col("lead")
+    staged = staged.withColumn("plain", ~(lead.contains("<") & lead.contains(">")))
+    plain = F.col("plain")
     # Only rows that hold markup travel to the Python worker.
-    chosen = fields.withColumn("texts", texts).withColumn(
-        "picked", first_text(F.when(F.coalesce(~plain, F.lit(False)), F.col("texts")))
-    )
+    chosen = staged.withColumn("picked", first_text(F.when(F.coalesce(~plain, F.lit(False)), F.col("texts"))))
     at = F.when(plain, F.lit(0)).otherwise(F.col("picked.at"))
     content = F.when(plain, lead).otherwise(F.col("picked.text"))
     of_content = at < F.size("contents")
