@@ -209,10 +209,15 @@ def tag_page(
 def candidate_page(
     candidates: DataFrame, articles: DataFrame, *, status: str | None = "pending", limit: int = 100, offset: int = 0
 ) -> DataFrame:
-    """Tag candidates with their articles, newest first."""
+    """Tag candidates with their articles, newest first.
+
+    A candidate always belongs to a stored article, so the page is cut first and
+    only its articles are looked up.
+    """
+    order = [F.desc("created_at"), F.desc("id")]
+    page = by_status(candidates, status).orderBy(*order).offset(offset).limit(limit)
     known = articles.select(
         F.col("id").alias("article_id"), F.col("title").alias("article_title"), F.col("url").alias("article_url"),
         F.col("status").alias("article_status"),
     )
-    order = [F.desc("created_at"), F.desc("id")]
-    return by_status(candidates, status).join(known, "article_id").orderBy(*order).offset(offset).limit(limit)
+    return page.join(known, "article_id").orderBy(*order)
