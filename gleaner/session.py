@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,16 +40,33 @@ def build_session(app_name: str = "gleaner", master: str | None = None, **settin
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediate tables.
 
-    On a cluster it lies below the folder named in ``spark.checkpoint.dir``, so
-    that a lost executor loses no data.  Only where that is unset (local runs and
-    tests) a temporary folder is used.
+    It lies below the folder named in ``spark.checkpoint.dir``, so that a lost
+    executor loses no data, and is deleted when the application ends.  Where that
+    is unset a single-process session (tests) gets a folder of its own; a cluster
+    is refused, because its executors share no local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = os.path.join(tempfile.gettempdir(), "gleaner-local")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        root = _own_root()
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+@functools.cache
+def _own_root() -> str:
+    root = tempfile.mkdtemp(prefix="gleaner-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by ``shared_folder`` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:

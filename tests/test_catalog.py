@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from gleaner import catalog
 
 FOLDER = os.environ.get("GLEANER_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -26,11 +27,11 @@ def ordered(columns, rows):
     return sorted(repr([row[i] for i in places]) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, twin, name):
-    frame = contract.queries()[name](spark, FOLDER)
+    frame = catalog.queries()[name](spark, FOLDER)
     rows = [tuple(row) for row in frame.collect()]
-    result = twin.execute(contract.oracle_sql()[name])
+    result = twin.execute(catalog.oracle_sql()[name])
     columns = [part[0] for part in result.description]
     assert sorted(frame.columns) == sorted(columns)
     assert ordered(frame.columns, rows) == ordered(columns, result.fetchall())
@@ -38,4 +39,5 @@ def test_query(spark, twin, name):
 
 def test_entry(spark):
     assert len(contract.entry(spark).columns) == 11
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
+    assert set(catalog.queries()) <= set(contract.queries())
