@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup, sharding
+from gleaner.llm import exact_dedup, near_dedup, sharding
 from gleaner.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,29 @@ _CRC_SQL = """
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
     return dealt.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query(f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                       ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+        FROM words
+    ),
+    single AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM single a JOIN single b ON a.g = b.g AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON r.other = w.a
+    )
+    SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+""")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
