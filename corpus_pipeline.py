@@ -1,28 +1,64 @@
-"""From raw documents to training ids: five stages over the operators of ``gleaner.llm``."""
+"""From raw documents to training ids: five stages over the operators of ``gleaner.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.  ``run`` writes each result as Parquet below the
+shared folder and reads it again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup
+from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, sentence_pieces
 from gleaner.llm.common import prepared
 from gleaner.session import shared_folder
 
 ORACLE_SQL = None  # language identification is a trained model
 
 
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    prepared(spark)
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    told = language.identify(docs, model)
+    return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
     return exact_dedup.exact_dedup(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, similarity 0.8)."""
+    prepared(spark)
+    return near_dedup.near_dedup(docs)
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    prepared(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the piece ids of the text."""
+    prepared(spark)
+    encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"))
+
+
 STAGES = [
+    ("language_id", with_language),
     ("exact_dedup", without_exact_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_test_items),
+    ("sentencepiece", as_pieces),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         folder = shared_folder(spark, name)

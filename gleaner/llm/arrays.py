@@ -27,7 +27,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return mixed(np.arange(1, 0x110001, dtype=np.uint64))
+    return mixed(np.arange(1, 0x110002, dtype=np.uint64))
 
 
 _powers: list[np.ndarray] = []

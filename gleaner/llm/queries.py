@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup, near_dedup, sharding
+from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, sentence_pieces, sharding
 from gleaner.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,41 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@_query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    model = language.train(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return language.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+    there_and_back = sentence_pieces.decode(sentence_pieces.encode(docs).drop("text"))
+    return there_and_back.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("pieces", " ").cast("binary")).alias("pieces_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("exact"),
+    )
+
+
+@_query(r"""
+    WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+    words AS (
+        SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM texts
+    ),
+    sets AS (
+        SELECT kind, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+               ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
+        FROM words
+    ),
+    single AS (SELECT kind, id, len(s) AS n, unnest(s) AS g FROM sets)
+    SELECT d.id AS doc_id, i.id AS item_id, i.n AS n_item, count(*) AS n_common
+    FROM single d JOIN single i ON d.kind = 'd' AND i.kind = 'i' AND d.g = i.g
+    GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n
+""")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_common")
