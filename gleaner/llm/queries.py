@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, sentence_pieces, sharding
+from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding
 from gleaner.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,47 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_common")
+
+
+def _secret_twin() -> str:
+    """Spans by the lengths of matches and gaps, weak kinds by plain pairs within the scope."""
+    kinds = secret_scan.KINDS
+    quoted = [kind.pattern.replace("'", "''") for kind in kinds]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS matches FROM texts"
+        for i, p in enumerate(quoted)
+    )
+    listed = lambda role: ", ".join(str(i) for i, kind in enumerate(kinds) if kind.role == role)
+    near = lambda role: (
+        f"EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = w.doc_id AND s.kind IN ({listed(role)}) "
+        f"AND s.start - w.stop <= {secret_scan.SCOPE} AND w.start - s.stop <= {secret_scan.SCOPE})"
+    )
+    weak = " OR ".join(
+        f"(kind = {i} AND {' AND '.join(near(role) for role in kind.needs)})" for i, kind in enumerate(kinds) if kind.needs
+    )
+    names = ", ".join(f"'{kind.name}'" for kind in kinds)
+    text = f"[{names}][kind + 1] || ':' || start || ':' || stop"
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    found AS ({found}),
+    steps AS (SELECT doc_id, kind, unnest(range(1, len(matches) + 1)) AS i, gaps, matches FROM found WHERE len(matches) > 0),
+    placed AS (
+        SELECT doc_id, kind, matches[i] AS m, sum(len(gaps[i]) + len(matches[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM steps
+    ),
+    spans AS (
+        SELECT doc_id, kind, (stop - len(m))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+        WHERE CASE kind WHEN 0 THEN len(regexp_extract(m, '{quoted[0]}', 2)) >= 6 WHEN 1 THEN len(m) >= 20
+              WHEN 3 THEN len(m) = 40 AND NOT regexp_full_match(m, '[0-9a-f]+') ELSE true END
+    ),
+    told AS (SELECT * FROM spans WHERE kind < {secret_scan.BASE} UNION ALL SELECT * FROM spans w WHERE {weak})
+    SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+           sha256(coalesce(string_agg({text}, ',' ORDER BY start, kind) FILTER (kind < {secret_scan.BASE}), '')) AS base_sha256,
+           coalesce(string_agg({text}, ',' ORDER BY start, kind) FILTER (kind IS NOT NULL), '') AS spans
+    FROM documents LEFT JOIN told USING (doc_id) GROUP BY doc_id
+    """
+
+
+@_query(_secret_twin())
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.digests(docs, secret_scan.scan(docs))
