@@ -100,3 +100,39 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+class Remembered:
+    """Ids of words by hash, so that a worker works each word out once.
+
+    At most about ``most`` words are held; then all are forgotten.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.counts, self.begins = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def look_up(self, hashes: np.ndarray, work_out) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another and how many each has.
+
+        ``work_out`` gives the same for the words at the places it is handed.
+        """
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._forget()
+        rows = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[rows] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            ids, counts = work_out(first[new])
+            at = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, at, keys[new])
+            self.counts = np.insert(self.counts, at, counts)
+            self.begins = np.insert(self.begins, at, len(self.flat) + np.cumsum(counts) - counts)
+            self.flat = np.concatenate([self.flat, ids])
+        rows = np.searchsorted(self.keys, keys)[inverse]
+        counts = self.counts[rows]
+        return self.flat[ranges(self.begins[rows], counts)], counts

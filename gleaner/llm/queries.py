@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding
+from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding, token_files
 from gleaner.llm.common import prepared
+from gleaner.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -195,3 +196,12 @@ def _secret_twin() -> str:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secret_scan.digests(docs, secret_scan.scan(docs))
+
+
+@_query()
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, end_id=2)
+    return token_files.read_token_files(spark, folder).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )

@@ -84,11 +84,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = pieces(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.counts, self.begins = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.words = arrays.Remembered(MOST_WORDS)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of the texts in them."""
@@ -105,32 +101,14 @@ class Encoder:
         firsts[edges[:-1][filled > 0]] = True
         starts = np.flatnonzero(firsts)
         ends = np.append(starts[1:], len(values)) if len(starts) else starts
-        hashes = arrays.Substrings(values).hashes(starts, ends)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        self._learn(keys, first, values, starts, ends)
-        rows = np.searchsorted(self.keys, keys)[inverse] if len(keys) else np.zeros(0, np.int64)
-        counts = self.counts[rows]
-        ids = self.flat[arrays.ranges(self.begins[rows], counts)]
-        totals = np.concatenate([[0], np.cumsum(counts)])
-        return ids, totals[np.searchsorted(starts, edges)]
-
-    def _learn(self, keys, first, values, starts, ends) -> None:
-        if len(self.keys) > MOST_WORDS:
-            self._forget()
-        rows = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[rows] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if not new.any():
-            return
-        begins, stops = starts[first[new]], ends[first[new]]
-        lengths = stops - begins
-        flat = values[arrays.ranges(begins, lengths)]
-        edges = np.cumsum(lengths)
-        ids, counts = segment(self.vocabulary, flat, edges - lengths, edges)
-        at = np.searchsorted(self.keys, keys[new])
-        self.keys = np.insert(self.keys, at, keys[new])
-        self.counts = np.insert(self.counts, at, counts)
-        self.begins = np.insert(self.begins, at, len(self.flat) + np.cumsum(counts) - counts)
-        self.flat = np.concatenate([self.flat, ids])
+
+        def work_out(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begins, lengths = starts[places], (ends - starts)[places]
+            edges = np.cumsum(lengths)
+            return segment(self.vocabulary, values[arrays.ranges(begins, lengths)], edges - lengths, edges)
+
+        ids, counts = self.words.look_up(arrays.Substrings(values).hashes(starts, ends), work_out)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, edges)]
 
 
 def decode_ids(vocabulary: Pieces, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
