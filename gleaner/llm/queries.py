@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding, token_files
+from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding, token_files, warc
 from gleaner.llm.common import prepared
 from gleaner.session import shared_folder
 
@@ -205,3 +205,24 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@_query("""
+    WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    led AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM sized)
+    SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM led
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    folder = shared_folder(spark, "warc")
+    warc.records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
+    back = spark.read.format("warc").load(folder)
+    whole = F.col("record_type") == "response"
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes",
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
