@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding, token_files, warc
+from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding, token_files, url_filter, warc
 from gleaner.llm.common import prepared
 from gleaner.session import shared_folder
 
@@ -226,3 +226,50 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+# Captures and dated lists made from the addresses of all pages: a page is fetched on a
+# day told by its id, and hashes of its host say what is listed, when, and for how long.
+_FETCHED = "timestamp '2024-01-01 06:00:00' + make_interval(0, 0, 0, cast(page_id % 730 AS int))"
+_CHANGES = """
+    WITH hosts AS (SELECT DISTINCT host, cast(conv(substr(md5(host), 1, 7), 16, 10) AS int) AS h FROM addresses),
+    days AS (
+        SELECT 'hosts' AS list_name, 'host' AS kind, host AS value, 'add' AS action, h % 500 AS day FROM hosts WHERE h % 3 = 0
+        UNION ALL SELECT 'hosts', 'host', host, 'remove', h % 500 + 120 FROM hosts WHERE h % 3 = 0
+        UNION ALL SELECT 'domains', 'domain', regexp_replace(host, '^(blog|m)[.]', ''), 'add', h % 700 FROM hosts WHERE h % 5 = 0
+        UNION ALL SELECT 'sections', 'prefix', concat(host, '/en/'), 'add', h % 90 + 200 * n FROM hosts LATERAL VIEW explode(array(0, 1, 2)) v AS n WHERE h % 4 = 0
+        UNION ALL SELECT 'sections', 'prefix', concat(host, '/en/'), 'remove', h % 90 + 200 * n + 50 FROM hosts LATERAL VIEW explode(array(0, 1, 2)) v AS n WHERE h % 4 = 0
+        UNION ALL SELECT 'pages', 'url', concat(host, path), 'add', cast(page_id % 700 AS int) FROM addresses WHERE page_id % 50 = 0
+    )
+    SELECT list_name, kind, value, action, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, day) AS effective_at FROM days
+"""
+
+
+@_query("""
+    WITH addresses AS (
+        SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host,
+               regexp_extract(regexp_replace(url, '#.*$', ''), '^https?://[^/?#]+(/.*)$', 1) AS path, page_id % 730 + 0.25 AS day
+        FROM pages
+    ),
+    hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 7))::INT AS h FROM addresses),
+    spans AS (
+        SELECT DISTINCT 'hosts' AS list_name, 'host' AS kind, host AS value, h % 500 AS a, h % 500 + 120 AS b FROM hosts WHERE h % 3 = 0
+        UNION SELECT 'domains', 'domain', regexp_replace(host, '^(blog|m)[.]', ''), min(h % 700), 99999 FROM hosts WHERE h % 5 = 0 GROUP BY 1, 2, 3
+        UNION SELECT 'sections', 'prefix', host || '/en/', h % 90 + 200 * n, h % 90 + 200 * n + 50 FROM hosts, range(3) t(n) WHERE h % 4 = 0
+        UNION SELECT 'pages', 'url', host || path, min(page_id % 700), 99999 FROM addresses WHERE page_id % 50 = 0 GROUP BY 1, 2, 3
+    ),
+    told AS (
+        SELECT page_id, list_name, kind, value FROM addresses p JOIN spans s ON day >= a AND day < b AND CASE kind
+            WHEN 'host' THEN host = value WHEN 'url' THEN host || path = value WHEN 'prefix' THEN starts_with(host || split_part(path, '?', 1), value)
+            ELSE host = value OR ends_with(host, '.' || value) END
+    )
+    SELECT page_id, count(value) > 0 AS blocked, count(value) AS n_entries,
+           coalesce(string_agg(DISTINCT list_name, ',' ORDER BY list_name), '') AS lists
+    FROM pages LEFT JOIN told USING (page_id) GROUP BY page_id
+""")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched_at"))
+    parts = url_filter.address(F.col("url"))
+    addresses = pages.select("page_id", parts["host"].alias("host"), parts["path"].alias("path"))
+    changes = spark.sql(_CHANGES.replace("addresses", "{addresses}"), addresses=addresses)
+    return url_filter.judge(pages, changes).select("page_id", "blocked", "n_entries", "lists")
