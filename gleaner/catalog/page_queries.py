@@ -181,7 +181,7 @@ def scored_documents(spark, sf):
 
 
 _SCORED = """
-    sized AS (SELECT doc_id, length(substr(text, 1, 50000)) AS n FROM documents),
+    sized AS (SELECT doc_id, length(text) AS n FROM documents),
     scored AS (SELECT doc_id, n, CASE WHEN n % 11 = 0 OR n % 7 = 0 THEN 3 WHEN n % 5 = 0 THEN 2 ELSE 1 END AS attempts,
                  CASE WHEN n % 11 <> 0 AND n % 7 <> 0 THEN ['accept', 'reject', 'low_confidence'][n % 3 + 1] END AS decision FROM sized)"""
 _FAULT = "'content_type must be a string; summary must be a string; recommendation_reason must be a string; content_type is unknown; " \

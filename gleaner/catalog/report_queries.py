@@ -80,7 +80,7 @@ def article_page(spark, sf):
 
 
 @query(_PAGE.format(where=f"status <> 'accepted' AND source_name = 'src0' AND {_FAILED}",
-                    order="a.published_at ASC NULLS FIRST, a.id ASC", limit=200, offset=0))
+                    order="a.published_at ASC NULLS FIRST, a.id ASC", limit=1000, offset=0))
 def failed_article_page(spark, sf):
     return listings.article_page(
         t.articles(spark, sf), *_state(spark, sf), t.stage_history(spark, sf), page=0, page_size=1000,
@@ -141,11 +141,9 @@ def public_details(spark, sf):
            {_last('evaluations', 'id')} AS evaluation_id, {_last('evaluations', 'decision')} AS decision, {_last('failures', 'error')} AS failure,
            COALESCE((SELECT string_agg(CAST(id AS VARCHAR), '|' ORDER BY id DESC) FROM
               (SELECT id FROM stage_history q WHERE q.article_id = a.id ORDER BY id DESC LIMIT 10)), '') AS queue
-    FROM articles a WHERE id IN (SELECT user_id FROM events) OR id % 100 = 0""")
+    FROM articles a""")
 def article_details(spark, sf):
-    events = t.read(spark, sf, "events").select(F.col("user_id").alias("id"))
-    ids = events.unionByName(t.articles(spark, sf).select("id").filter("id % 100 = 0"))
-    rows = listings.article_detail(t.articles(spark, sf), *_state(spark, sf), t.stage_history(spark, sf), ids)
+    rows = listings.article_detail(t.articles(spark, sf), *_state(spark, sf), t.stage_history(spark, sf))
     return rows.select(
         "article_id", "article.title",
         F.col("latest_fetch.id").alias("fetch_id"), F.col("latest_fetch.status").alias("fetch_status"),
@@ -270,10 +268,9 @@ def publish_counter(spark, sf):
 
 @query(f"""
     WITH p AS ({_PUBLISHED})
-    SELECT slug FROM articles WHERE id % 2 = 0 AND slug NOT IN (SELECT slug FROM p)""")
+    SELECT slug FROM articles WHERE slug NOT IN (SELECT slug FROM p)""")
 def stale_slugs(spark, sf):
-    before = t.articles(spark, sf).filter("id % 2 = 0").select("slug")
-    return publishing.stale_slugs(before, _publishable(spark, sf))
+    return publishing.stale_slugs(t.articles(spark, sf).select("slug"), _publishable(spark, sf))
 
 
 # --- feed ------------------------------------------------------------------------

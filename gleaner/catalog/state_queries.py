@@ -107,21 +107,20 @@ def next_queued_items(spark, sf):
 
 @query(f"""
     WITH requests AS (SELECT user_id AS article_id, CASE WHEN event_type IN ('view', 'click') THEN 'fetch' ELSE 'evaluate' END AS stage,
-                             event_id AS ordinal, ts FROM events WHERE event_id % 2 = 1)
+                             event_id AS ordinal, ts FROM events)
     SELECT article_id, stage, MIN(ordinal) AS ordinal, {iso("arg_min(ts, ordinal)")} AS range_since, 'queued' AS status FROM requests r
     WHERE NOT EXISTS (SELECT 1 FROM stage_history q WHERE q.article_id = r.article_id AND q.stage = r.stage
-                        AND q.status IN ('queued', 'running') AND q.created_at >= TIMESTAMP '2024-01-30')
+                        AND q.status IN ('queued', 'running'))
     GROUP BY article_id, stage""")
 def enqueue_stages(spark, sf):
-    requests = t.read(spark, sf, "events").filter("event_id % 2 = 1").select(
+    requests = t.read(spark, sf, "events").select(
         F.col("user_id").alias("article_id"),
         F.when(F.col("event_type").isin("view", "click"), "fetch").otherwise("evaluate").alias("stage"),
         F.col("event_id").alias("ordinal"),
         t.ts("ts").alias("range_since"),
         F.lit(None).cast("timestamp").alias("range_until"),
     )
-    recent = t.stage_history(spark, sf).filter(F.col("created_at") >= F.lit("2024-01-30").cast("timestamp"))
-    return pending.enqueue(requests, recent).drop("range_until")
+    return pending.enqueue(requests, t.stage_history(spark, sf)).drop("range_until")
 
 
 @query("""
@@ -130,15 +129,14 @@ def enqueue_stages(spark, sf):
     WHERE EXISTS (SELECT 1 FROM articles a WHERE a.id = s.article_id AND a.status = 'candidate')
       AND NOT EXISTS (SELECT 1 FROM fetches f WHERE f.article_id = s.article_id AND f.status = 'success')
       AND NOT EXISTS (SELECT 1 FROM stage_history q WHERE q.article_id = s.article_id AND q.stage = 'fetch'
-                        AND q.status IN ('queued', 'running') AND q.created_at >= TIMESTAMP '2024-01-30')""")
+                        AND q.status IN ('queued', 'running'))""")
 def fetch_requests(spark, sf):
     none = F.lit(None).cast("timestamp")
     seen = t.read(spark, sf, "events").select(
         F.col("user_id").alias("article_id"), F.col("event_id").alias("ordinal"), none.alias("range_since"),
         none.alias("range_until"),
     )
-    recent = t.stage_history(spark, sf).filter(F.col("created_at") >= F.lit("2024-01-30").cast("timestamp"))
-    return pending.fetch_requests(seen, t.articles(spark, sf), t.fetches(spark, sf), recent).select("article_id", "ordinal")
+    return pending.fetch_requests(seen, t.articles(spark, sf), t.fetches(spark, sf), t.stage_history(spark, sf)).select("article_id", "ordinal")
 
 
 @query("SELECT id, title, status FROM articles WHERE id IN (SELECT user_id FROM events WHERE event_type = 'error')")
@@ -190,7 +188,7 @@ def folded_batch(spark, sf):
                  k.source_tags, COALESCE(k.source_content, b.source_content) AS source_content
           FROM known_pages k JOIN batch b USING (normalized_url)
           UNION ALL
-          SELECT (SELECT MAX(id) FROM known_pages) + 1 + ordinal, source_name, title, normalized_url,
+          SELECT (SELECT MAX(id) FROM known_pages) + ROW_NUMBER() OVER (ORDER BY ordinal), source_name, title, normalized_url,
                  CASE WHEN ordinal = MIN(ordinal) OVER (PARTITION BY base) AND base NOT IN (SELECT slug FROM known_pages) THEN base
                       ELSE base || '-' || substr(sha256(normalized_url), 1, 8) END,
                  'candidate', published_at, TIMESTAMP '{AS_OF}', 't0', source_content FROM fresh)""")
@@ -276,14 +274,14 @@ def state_fold(spark, sf):
     WITH changes AS (SELECT article_id, status, moment, rank, id FROM (
             SELECT article_id, CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE decision END AS status,
                    evaluated_at AS moment, 2 AS rank, id FROM evaluations
-            UNION ALL SELECT o_orderkey, 'candidate', o_orderdate + INTERVAL 90 DAY, 3, o_orderkey FROM orders WHERE o_orderkey % 6 = 0)),
+            UNION ALL SELECT o_orderkey, 'candidate', o_orderdate + INTERVAL 90 DAY, 3, o_orderkey FROM orders)),
          last AS (SELECT article_id, status, moment FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id ORDER BY moment DESC, rank DESC, id DESC) AS rn
                   FROM changes) WHERE rn = 1)
     SELECT a.id, COALESCE(l.status, a.status) AS status, {iso("COALESCE(l.moment, a.updated_at)")} AS updated_at, a.error IS NOT NULL
              AND NOT EXISTS (SELECT 1 FROM evaluations e WHERE e.article_id = a.id) AS keeps_error
     FROM articles a LEFT JOIN last l ON l.article_id = a.id""")
 def override_fold(spark, sf):
-    overrides = t.read(spark, sf, "orders").filter("o_orderkey % 6 = 0").select(
+    overrides = t.read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("article_id"), F.lit("candidate").alias("status"),
         (t.ts("o_orderdate") + t.days(90)).alias("changed_at"),
     )

@@ -48,13 +48,12 @@ def new_tag_candidates(spark, sf):
     WITH {_MENTIONS},
          fresh AS (SELECT DISTINCT m.article_id, v.id AS tag_id, m.evaluation_id, m.evaluated_at AS created_at
                    FROM mentions m JOIN vocabulary v ON v.normalized_name = m.normalized_name AND v.status = 'active'
-                   WHERE m.evaluation_id = (SELECT MAX(id) FROM evaluations x WHERE x.article_id = m.article_id AND x.id % 2 = 0)),
+                   WHERE m.evaluation_id = (SELECT MAX(id) FROM evaluations x WHERE x.article_id = m.article_id)),
          merged AS (SELECT * FROM fresh UNION ALL
-                    SELECT * FROM links WHERE article_id NOT IN (SELECT article_id FROM evaluations WHERE id % 2 = 0))
+                    SELECT * FROM links WHERE article_id NOT IN (SELECT article_id FROM evaluations))
     SELECT article_id, tag_id, evaluation_id, {iso('created_at')} AS created_at FROM merged""")
 def tag_links(spark, sf):
-    batch = t.evaluations(spark, sf).filter("id % 2 = 0")
-    return tags.sync_links(batch, t.links(spark, sf), t.vocabulary(spark, sf))
+    return tags.sync_links(t.evaluations(spark, sf), t.links(spark, sf), t.vocabulary(spark, sf))
 
 
 @query("""
@@ -73,11 +72,12 @@ def active_vocabulary(spark, sf):
 
 def _reviewed(spark, sf):
     c = F.col("id")
-    decisions = t.tag_candidates(spark, sf).filter(c % 3 != 2).select(
+    decisions = t.tag_candidates(spark, sf).select(
         c.alias("candidate_id"),
         F.when(c % 3 == 0, "approve").otherwise("reject").alias("action"),
         F.when(c % 27 == 0, F.lit(-1)).when(c % 9 == 0, F.lit(0)).cast("bigint").alias("tag_id"),
-        F.when(c % 12 == 0, F.lit(" RING ")).when(c % 12 == 6, F.lit("Fresh  Idea")).when(c % 15 == 3, F.lit("  ")).alias("name"),
+        F.when(c % 12 == 0, F.lit(" RING ")).when(c % 12 == 6, F.lit("Fresh  Idea")).when(c % 15 == 3, F.lit("  "))
+        .when(c % 21 == 3, F.lit("fresh-idea")).when(c % 33 == 3, F.lit("Late-One")).when(c % 39 == 3, F.lit("late one")).alias("name"),
     )
     return tags.review(decisions, t.tag_candidates(spark, sf), t.vocabulary(spark, sf), t.links(spark, sf), as_of())
 
@@ -85,13 +85,17 @@ def _reviewed(spark, sf):
 _REVIEW = """
     asked AS (SELECT id, article_id, evaluation_id, id % 3 = 0 AS approve,
                 CASE WHEN id % 27 = 0 THEN -1 WHEN id % 9 = 0 THEN 0 END AS tag_id,
-                CASE WHEN id % 12 = 0 THEN ' RING ' WHEN id % 12 = 6 THEN 'Fresh  Idea' WHEN id % 15 = 3 THEN '  ' ELSE suggested_tag END AS wanted
-              FROM tag_candidates WHERE id % 3 <> 2),
+                CASE WHEN id % 12 = 0 THEN ' RING ' WHEN id % 12 = 6 THEN 'Fresh  Idea' WHEN id % 15 = 3 THEN '  '
+                     WHEN id % 21 = 3 THEN 'fresh-idea' WHEN id % 33 = 3 THEN 'Late-One' WHEN id % 39 = 3 THEN 'late one' ELSE suggested_tag END AS wanted
+              FROM tag_candidates),
     named AS (SELECT *, trim(regexp_replace(lower(wanted), ' +', ' ', 'g')) AS norm FROM asked WHERE approve AND tag_id IS NULL),
     wanted AS (SELECT norm, MIN(id) AS first_id, arg_min(wanted, id) AS wanted FROM named WHERE norm <> '' GROUP BY norm),
-    created AS (SELECT (SELECT MAX(id) FROM vocabulary) + 1 + first_id AS id, trim(wanted) AS name, norm AS normalized_name,
-                  replace(norm, ' ', '-') AS slug, '由 AI 标签候选审核通过创建' AS description, 'active' AS status
-                FROM wanted WHERE norm NOT IN (SELECT normalized_name FROM vocabulary)),
+    unknown AS (SELECT *, replace(norm, ' ', '-') AS slug FROM wanted WHERE norm NOT IN (SELECT normalized_name FROM vocabulary)),
+    created AS (SELECT (SELECT MAX(id) FROM vocabulary) + ROW_NUMBER() OVER (ORDER BY first_id) AS id, trim(wanted) AS name, norm AS normalized_name,
+                  slug, '由 AI 标签候选审核通过创建' AS description, 'active' AS status
+                FROM unknown u WHERE slug NOT IN (SELECT slug FROM vocabulary)
+                  AND NOT EXISTS (SELECT 1 FROM unknown o WHERE o.slug = u.slug AND o.first_id < u.first_id)),
+    refused AS (SELECT id FROM named JOIN unknown USING (norm) WHERE norm NOT IN (SELECT normalized_name FROM created)),
     vocab AS (SELECT id, name, normalized_name, slug, description, CASE WHEN normalized_name IN (SELECT norm FROM wanted) THEN 'active' ELSE status END AS status
               FROM vocabulary UNION ALL SELECT * FROM created),
     approved AS (SELECT id, article_id, evaluation_id, CAST(tag_id AS BIGINT) AS tag_id FROM asked WHERE approve AND tag_id = 0
@@ -105,8 +109,8 @@ def reviewed_vocabulary(spark, sf):
 
 @query(f"""
     WITH {_REVIEW}
-    SELECT id, CASE WHEN id IN (SELECT id FROM approved) THEN 'approved' WHEN id % 3 = 1 THEN 'rejected' ELSE status END AS status,
-           CASE WHEN id IN (SELECT id FROM approved) OR id % 3 = 1 THEN '{AS_OF.replace(' ', 'T')}Z' END AS reviewed_at
+    SELECT id, CASE WHEN id IN (SELECT id FROM approved) THEN 'approved' WHEN id % 3 <> 0 THEN 'rejected' ELSE status END AS status,
+           CASE WHEN id IN (SELECT id FROM approved) OR id % 3 <> 0 THEN '{AS_OF.replace(' ', 'T')}Z' END AS reviewed_at
     FROM tag_candidates""")
 def reviewed_candidates(spark, sf):
     return _reviewed(spark, sf)["candidates"].select("id", "status", "reviewed_at")
@@ -125,7 +129,8 @@ def reviewed_links(spark, sf):
 @query(f"""
     WITH {_REVIEW}
     SELECT id AS candidate_id, 'tag not found' AS error FROM asked WHERE approve AND tag_id = -1
-    UNION ALL SELECT id, 'tag name must not be empty' FROM named WHERE norm = ''""")
+    UNION ALL SELECT id, 'tag name must not be empty' FROM named WHERE norm = ''
+    UNION ALL SELECT id, 'tag already exists' FROM refused""")
 def review_errors(spark, sf):
     """A blank name falls back to the suggested one only when it is absent."""
     return _reviewed(spark, sf)["errors"]
@@ -137,9 +142,9 @@ def _changed(spark, sf):
     k = F.col("p_partkey")
     none = F.lit(None).cast("string")
     kind = k % 50
-    changes = t.read(spark, sf, "part").filter((k % 3 == 0) | kind.isin(1, 2, 4, 5)).select(
+    changes = t.read(spark, sf, "part").select(
         k.alias("ordinal"),
-        F.when(k % 3 == 0, F.lit(None)).when(kind.isin(1, 2, 4), F.lit(0)).otherwise(F.lit(-5)).cast("bigint").alias("tag_id"),
+        F.when(k % 3 == 0, F.lit(None)).when(kind == 5, F.lit(-5)).otherwise(F.lit(0)).cast("bigint").alias("tag_id"),
         F.when(k % 3 == 0, F.concat(F.lit(" "), "p_brand", F.lit(" ")))
         .when(kind == 1, F.concat(F.lit("Renamed  "), k.cast("string")))
         .when(kind == 4, F.lit("RED"))
@@ -166,7 +171,7 @@ _CHANGES = """
            CASE WHEN id = 0 THEN '{AS_OF.replace(' ', 'T')}Z' ELSE {iso('updated_at')} END AS updated_at
     FROM vocabulary
     UNION ALL
-    SELECT (SELECT MAX(id) FROM vocabulary) + 1 + k, p_brand, lower(p_brand), lower(p_brand), 'from ' || k, 'active',
+    SELECT (SELECT MAX(id) FROM vocabulary) + ROW_NUMBER() OVER (ORDER BY k), p_brand, lower(p_brand), lower(p_brand), 'from ' || k, 'active',
            '{AS_OF.replace(' ', 'T')}Z' FROM firsts""")
 def changed_vocabulary(spark, sf):
     return _changed(spark, sf)[0].drop("created_at")
@@ -183,9 +188,9 @@ def refused_changes(spark, sf):
 _USED = """
     used AS (SELECT id AS evaluation_id, article_id, evaluated_at, m.pos, m.name, lower(m.name) AS norm
              FROM (SELECT *, unnest([{'pos': 0, 'name': tags[1]}, {'pos': 1, 'name': tags[2]}, {'pos': 2, 'name': tags[3]}]) AS m FROM evaluations) e),
-    added AS (SELECT (SELECT MAX(id) FROM vocabulary WHERE status = 'active') + 1 + evaluation_id * 64 + pos AS id, name, norm, evaluated_at
+    added AS (SELECT (SELECT MAX(id) FROM vocabulary) + ROW_NUMBER() OVER (ORDER BY evaluation_id, pos) AS id, name, norm, evaluated_at
               FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY norm ORDER BY evaluation_id, pos) AS rn FROM used)
-              WHERE rn = 1 AND norm NOT IN (SELECT normalized_name FROM vocabulary WHERE status = 'active'))"""
+              WHERE rn = 1 AND norm NOT IN (SELECT normalized_name FROM vocabulary))"""
 
 
 @query(f"""
@@ -193,17 +198,15 @@ _USED = """
     SELECT id, name, norm AS normalized_name, norm AS slug, '历史评估标签迁移导入' AS description, 'active' AS status,
            {iso('evaluated_at')} AS created_at FROM added""")
 def bootstrapped_vocabulary(spark, sf):
-    known = t.vocabulary(spark, sf).filter("status = 'active'")
-    return tags.bootstrap_vocabulary(t.evaluations(spark, sf), known)[0].drop("updated_at")
+    return tags.bootstrap_vocabulary(t.evaluations(spark, sf), t.vocabulary(spark, sf))[0].drop("updated_at")
 
 
 @query(f"""
     WITH {_USED},
-         names AS (SELECT normalized_name AS norm, id FROM vocabulary WHERE status = 'active' UNION ALL SELECT norm, id FROM added)
+         names AS (SELECT normalized_name AS norm, id FROM vocabulary UNION ALL SELECT norm, id FROM added)
     SELECT article_id, n.id AS tag_id, MIN(evaluation_id) AS evaluation_id FROM used JOIN names n USING (norm) GROUP BY article_id, n.id""")
 def bootstrapped_links(spark, sf):
-    known = t.vocabulary(spark, sf).filter("status = 'active'")
-    return tags.bootstrap_vocabulary(t.evaluations(spark, sf), known)[1].drop("created_at")
+    return tags.bootstrap_vocabulary(t.evaluations(spark, sf), t.vocabulary(spark, sf))[1].drop("created_at")
 
 
 # --- listings --------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gleaner.constants import EVALUATOR_INPUT_CHARS, SLUG_LENGTH, WHITESPACE
+from gleaner.constants import SLUG_LENGTH, WHITESPACE
 
 
 def strip(value: Column) -> Column:
@@ -70,8 +70,12 @@ def content_bytes(text: Column) -> Column:
     return F.octet_length(text)
 
 
-def evaluator_input(text: Column) -> Column:
-    return F.left(text, F.lit(EVALUATOR_INPUT_CHARS))
+def evaluator_input(text: Column, most_chars: int | None = None) -> Column:
+    """The body handed to the evaluator: all of it, or its first characters where a limit is given.
+
+    ``EVALUATOR_INPUT_CHARS`` is the limit that stored prompts were made with.
+    """
+    return text if most_chars is None else F.left(text, F.lit(most_chars))
 
 
 def strip_fences(reply: Column) -> Column:

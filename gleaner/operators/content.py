@@ -10,21 +10,27 @@ from gleaner.constants import (
     ERROR_EMPTY_CONTENT,
     ERROR_OUT_OF_RANGE,
     FALLBACK_TARGET,
-    MAX_CONTENT_BYTES,
 )
 from gleaner.functions.text import content_bytes, non_blank
 from gleaner.functions.times import in_range
 
 
-def choose_content(articles: DataFrame, pages: DataFrame, max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
+def choose_content(articles: DataFrame, pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One fetch outcome per article to fetch.
 
-    Content that came with the feed is used when it fits the size limit, else
-    the page's.  Empty or oversized content is a failed outcome with its reason.
-    ``pages`` has ``url, content, published_at, fetch_error`` of crawled pages and
-    optionally the crawler's ``metadata``.
+    Content that came with the feed is used, else the page's.  Empty content is a
+    failed outcome with its reason.  With ``max_bytes`` (``MAX_CONTENT_BYTES`` is
+    the usual one) oversized feed content gives way to the page, and an oversized
+    page fails.  ``pages`` has ``url, content, published_at, fetch_error`` of crawled
+    pages and optionally the crawler's ``metadata`` and ``crawled_at``.  Of several
+    crawls of one address the latest counts: by ``crawled_at`` if there, a crawl
+    without error first otherwise.
     """
     own = non_blank(F.col("source_content"))
+    fields = [F.col(name) for name in pages.columns if name != "url"]
+    turn = [F.col("crawled_at")] if "crawled_at" in pages.columns else []
+    latest = F.max_by(F.struct(*fields), F.struct(*turn, F.col("fetch_error").isNull(), "published_at", F.xxhash64("content")))
+    pages = pages.groupBy("url").agg(latest.alias("_crawl")).select("url", "_crawl.*")
     page = pages.select(
         "url",
         F.col("content").alias("page_content"),
@@ -34,7 +40,7 @@ def choose_content(articles: DataFrame, pages: DataFrame, max_bytes: int = MAX_C
             "page_metadata"
         ),
     )
-    use_own = F.coalesce(content_bytes(own) <= max_bytes, F.lit(False))
+    use_own = own.isNotNull() if max_bytes is None else F.coalesce(content_bytes(own) <= max_bytes, F.lit(False))
     joined = articles.withColumn("own", F.when(use_own, own)).join(page, "url", "left")
     from_feed = F.col("own").isNotNull()
     content = F.coalesce("own", non_blank(F.col("page_content")))
@@ -43,11 +49,9 @@ def choose_content(articles: DataFrame, pages: DataFrame, max_bytes: int = MAX_C
         F.when(from_feed, F.lit(None).cast("string"))
         .when(F.col("fetch_error").isNotNull(), F.col("fetch_error"))
         .when(content.isNull(), F.lit(ERROR_EMPTY_CONTENT))
-        .when(
-            size > max_bytes,
-            F.concat(F.lit("markdown too large: "), size.cast("string"), F.lit(f" > {max_bytes}")),
-        )
     )
+    if max_bytes is not None:
+        error = error.when(size > max_bytes, F.concat(F.lit("markdown too large: "), size.cast("string"), F.lit(f" > {max_bytes}")))
     feed_metadata = F.map_concat(
         F.map_filter(
             F.coalesce("source_content_metadata", F.create_map().cast("map<string,string>")),

@@ -12,6 +12,7 @@ from gleaner.constants import (
     REASON_TAG_OUTSIDE_VOCABULARY,
 )
 from gleaner.functions.text import normalize_tag, strip, tag_slug
+from gleaner.operators.ids import numbered
 from gleaner.operators.latest import latest_ids
 
 _TAG_ROW = ["id", "name", "normalized_name", "slug", "description", "status", "created_at", "updated_at"]
@@ -127,7 +128,9 @@ def review(
     ``decisions`` has ``candidate_id, action`` (approve or reject) and for an
     approval optionally ``tag_id`` or ``name``.  Without a tag id the tag is
     found by normalised name (a disabled one is enabled again) or created.  Only
-    the candidate's own article is linked.
+    the candidate's own article is linked.  Slugs stay unique: a new name whose slug
+    is held by another tag, or claimed by an earlier candidate of the batch under
+    another name, is refused and its candidates stay as they are.
 
     Returns the new ``candidates``, ``vocabulary`` and ``links``, and the
     ``errors`` of decisions that could not be applied.
@@ -154,11 +157,23 @@ def review(
         F.min("candidate_id").alias("first_candidate"), F.min_by("wanted", "candidate_id").alias("wanted")
     )
     top_id = vocabulary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    created = wanted.join(vocabulary.select("normalized_name"), "normalized_name", "left_anti").select(
-        (top_id + 1 + F.col("first_candidate")).alias("id"),
+    new = (
+        wanted.join(vocabulary.select("normalized_name"), "normalized_name", "left_anti")
+        .withColumn("slug", tag_slug(F.col("wanted")))
+    )
+    # names are unique here, so their first candidates are too and match the claims back
+    claims = (
+        new.groupBy("slug").agg(F.min("first_candidate").alias("first_candidate"))
+        .join(vocabulary.select("slug"), "slug", "left_anti").select("first_candidate")
+    )
+    granted = new.join(claims, "first_candidate", "left_semi")
+    refused = by_name.join(new.join(claims, "first_candidate", "left_anti").select("normalized_name"), "normalized_name", "left_semi")
+    errors = errors.unionByName(refused.select("candidate_id", F.lit("tag already exists").alias("error")))
+    created = numbered(granted, ["first_candidate"], top_id).select(
+        "id",
         strip(F.col("wanted")).alias("name"),
         "normalized_name",
-        tag_slug(F.col("wanted")).alias("slug"),
+        "slug",
         F.lit(DESCRIPTION_APPROVED_TAG).alias("description"),
         F.lit("active").alias("status"),
         as_of.alias("created_at"),
@@ -253,8 +268,8 @@ def change_vocabulary(vocabulary: DataFrame, changes: DataFrame, as_of: Column)
     refused = judged.filter(F.col("refusal").isNotNull()).select("ordinal", "tag_id", "name", F.col("refusal").alias("error"))
     granted = judged.filter(F.col("refusal").isNull())
     top_id = vocabulary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    created = granted.filter(creates).select(
-        (top_id + 1 + F.col("ordinal")).alias("id"),
+    created = numbered(granted.filter(creates), ["ordinal"], top_id).select(
+        "id",
         strip(F.col("name")).alias("name"),
         F.col("new_normalized").alias("normalized_name"),
         F.col("new_slug").alias("slug"),
@@ -294,7 +309,7 @@ def bootstrap_vocabulary(evaluations: DataFrame, vocabulary: DataFrame) -> tuple
 
     Names compare by ``lower(trim)`` only; inner spaces are not collapsed here.
     A tag whose name or slug is taken already adds no row.  Returns the rows to
-    add (ids from ``max(id) + 1 + first use``) and the links.
+    add (ids from ``max(id) + 1`` on in order of first use) and the links.
     """
     used = evaluations.select(
         F.col("id").alias("evaluation_id"), "article_id", "evaluated_at", F.posexplode("tags").alias("at", "raw")
@@ -310,18 +325,17 @@ def bootstrap_vocabulary(evaluations: DataFrame, vocabulary: DataFrame) -> tuple
         .agg(F.min_by(F.struct("name", "normalized_name", "evaluated_at"), order).alias("f"), F.min(order).alias("first_use"))
     )
     top_id = vocabulary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    rows = (
-        first.select("slug", "first_use", "f.*")
+    added = (
+        first.select("slug", "first_use.*", "f.*")
         .join(vocabulary.select("normalized_name"), "normalized_name", "left_anti")
         .join(vocabulary.select("slug"), "slug", "left_anti")
-        .select(
-            (top_id + 1 + F.col("first_use.evaluation_id") * 64 + F.col("first_use.at")).alias("id"),
-            "name", "normalized_name", "slug",
-            F.lit(DESCRIPTION_BOOTSTRAP_TAG).alias("description"),
-            F.lit("active").alias("status"),
-            F.col("evaluated_at").alias("created_at"),
-            F.col("evaluated_at").alias("updated_at"),
-        )
+    )
+    rows = numbered(added, ["evaluation_id", "at"], top_id).select(
+        "id", "name", "normalized_name", "slug",
+        F.lit(DESCRIPTION_BOOTSTRAP_TAG).alias("description"),
+        F.lit("active").alias("status"),
+        F.col("evaluated_at").alias("created_at"),
+        F.col("evaluated_at").alias("updated_at"),
     )
     names = vocabulary.select("normalized_name", F.col("id").alias("tag_id")).unionByName(
         rows.select("normalized_name", F.col("id").alias("tag_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import hashed_slug, non_blank, title_slug
 from gleaner.functions.urls import normalize_url
+from gleaner.operators.ids import numbered
 from gleaner.session import written
 
 
@@ -74,10 +75,10 @@ def unseen(batch: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def new_articles(batch: DataFrame, articles: DataFrame, as_of: Column, id_base: Column) -> DataFrame:
-    """Rows to insert.  Ids follow the order of sighting: ``id_base + 1 + ordinal``."""
-    fresh = assign_slugs(unseen(batch, articles), articles)
+    """Rows to insert.  Ids follow the order of sighting from ``id_base + 1`` on, without gaps."""
+    fresh = numbered(assign_slugs(unseen(batch, articles), articles), ["ordinal"], id_base)
     return fresh.select(
-        (id_base + 1 + F.col("ordinal")).alias("id"),
+        "id",
         "source_name", "title", "url", "normalized_url", "slug",
         F.lit("candidate").alias("status"),
         F.lit(0).alias("retry_count"),

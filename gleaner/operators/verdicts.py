@@ -115,8 +115,8 @@ def system_prompt(prompt: str, vocabulary: DataFrame, few_shots: Sequence[str] =
     return F.concat(F.lit(prompt), section.scalar(), F.lit(examples))
 
 
-def user_message(title: Column, url: Column, source: Column, tags: Column, content: Column) -> Column:
-    """Article facts and the (cut) body as one message."""
+def user_message(title: Column, url: Column, source: Column, tags: Column, content: Column, most_chars: int | None = None) -> Column:
+    """Article facts and the body as one message; the body is cut only where ``most_chars`` is given."""
     tag_json = F.concat(
         F.lit("["), F.array_join(F.transform(tags, lambda t: F.regexp_replace(F.to_json(F.array(t)), r"^\[|\]$", "")), ", "),
         F.lit("]"),
@@ -126,7 +126,7 @@ def user_message(title: Column, url: Column, source: Column, tags: Column, conte
         F.lit("\n\n# URL\n"), url,
         F.lit("\n\n# Source Name\n"), source,
         F.lit("\n\n# Source Tags\n"), tag_json,
-        F.lit("\n\n# Markdown\n"), evaluator_input(content),
+        F.lit("\n\n# Markdown\n"), evaluator_input(content, most_chars),
     )
 
 
@@ -141,9 +141,9 @@ def repair_message(previous_raw: Column, previous_error: Column) -> Column:
     )
 
 
-def with_messages(articles: DataFrame, prompt: Column) -> DataFrame:
+def with_messages(articles: DataFrame, prompt: Column, most_chars: int | None = None) -> DataFrame:
     """Add ``messages`` to rows with title, url, source_name, source_tags and content."""
-    user = user_message(*[F.col(c) for c in ("title", "url", "source_name", "source_tags", "content")])
+    user = user_message(*[F.col(c) for c in ("title", "url", "source_name", "source_tags", "content")], most_chars)
     return articles.withColumn("messages", F.array(_message("system", prompt), _message("user", user)))
 
 

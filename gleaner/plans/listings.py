@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.constants import MAX_PAGE_SIZE, SORT_COLUMNS
+from gleaner.constants import SORT_COLUMNS
 from gleaner.functions.times import item_time
 from gleaner.operators import latest as newest
 from gleaner.operators.filters import by_source, by_status, failed_only as only_failed, matching, published_between
@@ -16,8 +16,8 @@ _LISTED = ["id", "title", "url", "source_name", "status", "retry_count", "publis
 
 
 def page_values(page: int, page_size: int) -> tuple[int, int]:
-    """Page from 1 on, page size within 1 and the largest allowed."""
-    return max(1, page), min(max(1, page_size), MAX_PAGE_SIZE)
+    """Page from 1 on and a page size from 1 on, as asked for."""
+    return max(1, page), max(1, page_size)
 
 
 def paged(frame: DataFrame, page: int, page_size: int) -> DataFrame:
@@ -28,11 +28,10 @@ def paged(frame: DataFrame, page: int, page_size: int) -> DataFrame:
 def of_page(log: DataFrame, page: DataFrame) -> DataFrame:
     """Log rows of the listed articles.
 
-    A page holds at most ``MAX_PAGE_SIZE`` ids, so they may be broadcast and the
-    logs are filtered where they are read.
+    The ids of a page are few; Spark broadcasts them below its size limit, and then
+    filters the logs where they are read.
     """
-    ids = F.broadcast(page.select(F.col("id").alias("article_id")))
-    return log.join(ids, "article_id", "left_semi")
+    return log.join(page.select(F.col("id").alias("article_id")), "article_id", "left_semi")
 
 
 def article_filter(

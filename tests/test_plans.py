@@ -41,7 +41,7 @@ def test_article_page(spark):
             one.evaluate_queue_status) == ("failed", "late", "accept", "bad", "succeeded", "failed")
     assert [r.id for r in page(failed_only=True)] == [1, 5, 4]
     assert [r.id for r in page(status="unaccepted", failed_only=True)] == [5, 4]
-    assert listings.page_values(0, 1000) == (1, 200)
+    assert listings.page_values(0, 1000) == (1, 1000)
 
 
 def test_page_envelope(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas
 from gleaner.operators import tags, verdicts
+from gleaner.operators.ids import numbered
 
 
 def links(spark, *rows):
@@ -60,8 +61,8 @@ def test_review(spark):
     assert {r.id: r.status for r in out["candidates"].collect()} == {
         1: "approved", 2: "approved", 3: "approved", 4: "approved", 5: "rejected", 6: "pending"}
     words_after = {r.name: (r.id, r.slug, r.status) for r in out["vocabulary"].collect()}
-    assert words_after == {"AI": (1, "ai", "active"), "Web": (2, "web", "active"), "Brand New": (4, "brand-new", "active")}
-    assert sorted((r.article_id, r.tag_id) for r in out["links"].collect()) == [(1, 2), (1, 4), (2, 4), (3, 1)]
+    assert words_after == {"AI": (1, "ai", "active"), "Web": (2, "web", "active"), "Brand New": (3, "brand-new", "active")}
+    assert sorted((r.article_id, r.tag_id) for r in out["links"].collect()) == [(1, 2), (1, 4), (2, 3), (3, 1)]
     assert [(r.candidate_id, r.error) for r in out["errors"].collect()] == [(6, "tag not found")]
 
 
@@ -77,8 +78,8 @@ def test_vocabulary_changes(spark):
     assert got == {
         1: ("AI", "ai", "ai", "", "active"),
         2: ("World Wide Web", "world wide web", "world-wide-web", "d", "disabled"),
-        4: ("Data  Base", "data base", "data-base", "", "active"),
-        10: ("Ghost", "ghost", "ghost", "", "active"),
+        3: ("Data  Base", "data base", "data-base", "", "active"),
+        4: ("Ghost", "ghost", "ghost", "", "active"),
     }
     assert {r.ordinal: r.error for r in refused.collect()} == {
         2: "tag already exists", 3: "tag already exists", 6: "tag not found", 8: "tag name must not be empty"}
@@ -151,7 +152,7 @@ def test_request_messages(spark):
     row = requests(spark, "x" * 60_000).withColumn("p", prompt).first()
     assert '```json\n[\n  "AI",\n  "web"\n]\n```\n\n## Few-shot JSON examples\n\n{}' in row.p
     assert row.messages[1].content.startswith("# Title\nT\n\n# URL\nu\n\n# Source Name\ns\n\n# Source Tags\n[\"é\"]\n\n# Markdown\nx")
-    assert len(row.messages[1].content.split("# Markdown\n")[1]) == 50_000
+    assert len(row.messages[1].content.split("# Markdown\n")[1]) == 60_000
     empty = spark.range(1).select(verdicts.system_prompt("P", words.filter("id > 9"))).first()[0]
     assert empty == "P"
 
@@ -172,3 +173,36 @@ def test_default_vocabulary(spark):
     assert len(rows) == 97 == len({r.slug for r in rows.values()})
     assert (rows["CI/CD"].normalized_name, rows["CI/CD"].slug) == ("ci/cd", "ci-cd")
     assert (rows["Query Optimizer"].normalized_name, rows["Query Optimizer"].slug) == ("query optimizer", "query-optimizer")
+
+
+def test_ids_are_dense_whatever_the_ordinals(spark):
+    rows = spark.createDataFrame([(7, i << 56, "x" * 9) for i in (5, 1, 127, 3)], "k bigint, at bigint, text string")
+    top = F.lit((1 << 62) + 1).cast("bigint")
+    got = {r.at >> 56: r.id - (1 << 62) for r in numbered(rows, ["at"], top).collect()}
+    assert got == {1: 2, 3: 3, 5: 4, 127: 5}
+    assert numbered(rows.limit(0), ["at"], top).count() == 0
+
+
+def test_bootstrap_of_long_tag_lists(spark):
+    rows = evaluations(spark, *[dict(id=i, article_id=i, tags=[f"t{i * 150 + k}" for k in range(200)]) for i in (1, 2)])
+    added, _ = tags.bootstrap_vocabulary(rows, vocabulary(spark, "t151"))
+    found = sorted((r.id, r.name) for r in added.collect())
+    assert [i for i, _ in found] == list(range(2, 2 + 349)) and found[0][1] == "t150" and found[-1][1] == "t499"
+
+
+def test_approval_keeps_slugs_unique(spark):
+    known = vocabulary(spark, "CI/CD", "Big Data")
+    wanted = ["Big-Data", "a b", "a-b", "A  b", "fresh"]
+    rows = spark.createDataFrame(
+        [(i, i, i, name, name.lower(), "pending", None, None, None, None) for i, name in enumerate(wanted)],
+        "id bigint, article_id bigint, evaluation_id bigint, suggested_tag string, normalized_name string, status string, reason string, "
+        "reviewed_at timestamp, created_at timestamp, updated_at timestamp")
+    decisions = rows.select(F.col("id").alias("candidate_id"), F.lit("approve").alias("action"), F.lit(None).cast("bigint").alias("tag_id"),
+                            F.lit(None).cast("string").alias("name"))
+    links = spark.createDataFrame([], "article_id bigint, tag_id bigint, evaluation_id bigint, created_at timestamp")
+    done = tags.review(decisions, rows, known, links, moment())
+    slugs = [r.slug for r in done["vocabulary"].collect()]
+    assert sorted(slugs) == ["a-b", "big-data", "ci/cd", "fresh"]
+    assert sorted((r.candidate_id, r.error) for r in done["errors"].collect()) == [(0, "tag already exists"), (2, "tag already exists")]
+    assert {r.id: r.status for r in done["candidates"].collect()} == {0: "pending", 1: "approved", 2: "pending", 3: "approved", 4: "approved"}
+    assert sorted((r.article_id, r.tag_id) for r in done["links"].collect()) == [(1, 3), (3, 3), (4, 4)]
