@@ -170,14 +170,17 @@ def rule_scorer(messages):
     )
 
 
-def scored_documents(spark, sf):
+def _requests(spark, sf):
     none = F.lit("")
     docs = t.read(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), none.alias("title"), none.alias("url"), F.col("source").alias("source_name"),
         F.array("lang").alias("source_tags"), F.col("text").alias("content"),
     )
-    requests = verdicts.with_messages(docs, F.lit("Judge.")).select("id", "messages")
-    return verdicts.score(requests, rule_scorer)
+    return verdicts.with_messages(docs, F.lit("Judge.")).select("id", "messages")
+
+
+def _evaluated(spark, sf):
+    return verdicts.evaluate(_requests(spark, sf), rule_scorer, "rules", F.lit("2025-01-01").cast("timestamp"))
 
 
 _SCORED = """
@@ -194,7 +197,7 @@ _FAULT = "'content_type must be a string; summary must be a string; recommendati
            CASE WHEN n % 11 = 0 THEN 'scorer unavailable' WHEN n % 7 = 0 THEN {_FAULT} END AS error
     FROM scored""")
 def scored(spark, sf):
-    return scored_documents(spark, sf).select("id", "verdict.decision", "attempts", "verdict.summary", "error")
+    return verdicts.score(_requests(spark, sf), rule_scorer).select("id", "verdict.decision", "attempts", "verdict.summary", "error")
 
 
 @query(f"""
@@ -202,7 +205,7 @@ def scored(spark, sf):
     SELECT doc_id AS article_id, attempts, CASE WHEN n % 11 = 0 THEN 'scorer unavailable' ELSE {_FAULT} END AS error,
            CASE WHEN n % 11 <> 0 THEN '{{"decision": "accept"}}' END AS raw_response FROM scored WHERE decision IS NULL""")
 def failed_verdicts(spark, sf):
-    rows = verdicts.failed_verdicts(scored_documents(spark, sf), F.lit("2025-01-01").cast("timestamp"))
+    rows = _evaluated(spark, sf)["failures"]
     return rows.select("article_id", "attempts", "error", "raw_response")
 
 
@@ -212,7 +215,7 @@ def failed_verdicts(spark, sf):
            COUNT(*) FILTER (WHERE decision = 'low_confidence') AS low_confidence, COUNT(*) FILTER (WHERE decision IS NULL) AS failed
     FROM scored""")
 def evaluation_counters(spark, sf):
-    return verdicts.evaluation_counters(scored_documents(spark, sf))
+    return _evaluated(spark, sf)["counters"]
 
 
 @query("""

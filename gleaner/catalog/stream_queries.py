@@ -13,7 +13,7 @@ from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
 from gleaner.catalog.state_queries import _BATCH, _FOLD
 from gleaner.functions.times import build_time_range
-from gleaner.operators import filters, upsert
+from gleaner.operators import filters, folds, upsert
 from gleaner.session import shared_folder
 from gleaner.streaming import incremental
 
@@ -49,12 +49,12 @@ def streamed_upsert(spark, sf):
     SELECT id, CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'low_confidence' THEN 'low_confidence'
                     ELSE status END AS status,
            CAST(retry_count + failed AS INTEGER) AS retry_count, {iso("COALESCE(published_at, found)")} AS published_at,
-           {iso("COALESCE(accepted_at, collected_at)")} AS collected_at,
+           {iso("COALESCE(accepted_at, collected_at)")} AS collected_at, {iso("COALESCE(last_at, updated_at)")} AS updated_at,
            CASE WHEN last_error IS NULL THEN error ELSE NULLIF(last_error[1], '') END AS error
     FROM fold""")
 def streamed_fold(spark, sf):
     folder = shared_folder(spark, "streamed-fold")
-    incremental.start_snapshots(t.articles(spark, sf), folder)
+    incremental.start_snapshots(folds.with_marks(t.articles(spark, sf)), folder)
     none = F.lit(None).cast("string")
     events = t.fetches(spark, sf).select(
         F.lit("fetch").alias("kind"), "id", "article_id", F.col("fetched_at").alias("at"), "status", "error",
@@ -65,10 +65,10 @@ def streamed_fold(spark, sf):
             none.alias("error"), "decision", F.lit(None).cast("timestamp").alias("published_at"),
         )
     )
-    # All events of an article lie in one file, as the order of files is not fixed.
-    stream = _as_stream(events.repartition(4, "article_id"), folder)
+    # The events of an article are spread over the files, and files come in any order.
+    stream = _as_stream(events.repartition(4, F.xxhash64("id", "kind")), folder)
     result = _final(spark, folder, incremental.fold_log_stream(stream, folder))
-    return result.select("id", "status", "retry_count", "published_at", "collected_at", "error")
+    return result.select("id", "status", "retry_count", "published_at", "collected_at", "updated_at", "error")
 
 
 @query(f"""

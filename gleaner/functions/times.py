@@ -25,6 +25,9 @@ _RFC = (
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([+-]\d{4}|[a-z]+))?(?:\s.*)?$"
 )
 
+# A date by year, ISO week and weekday (Monday if left out), with what follows it.
+_WEEK = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?(?=$|\D)(.*)$"
+
 
 def iso_z(ts: Column) -> Column:
     """Render a timestamp as ``YYYY-MM-DDTHH:MM:SSZ``."""
@@ -54,6 +57,20 @@ def _from_iso(text: Column) -> Column:
     return F.try_to_timestamp(stamp)
 
 
+def _from_week(text: Column) -> Column:
+    """The text with a week date written as a calendar date; null if it has none.
+
+    The week holds the Thursday that belongs to its year, which also tells whether
+    the year has that week.
+    """
+    year, week = (F.regexp_extract(text, _WEEK, group).try_cast("int") for group in (1, 3))
+    monday = F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (week - 1) * 7)
+    thursday = F.date_add(monday, 3)
+    day = F.date_add(monday, _part(text, _WEEK, 4, "1").cast("int") - 1)
+    exists = (F.year(thursday) == year) & (F.weekofyear(thursday) == week)
+    return F.when(exists, F.concat(F.date_format(day, "yyyy-MM-dd"), F.regexp_extract(text, _WEEK, 5)))
+
+
 def _from_rfc(text: Column) -> Column:
     month = (F.position(F.lower(F.left(F.regexp_extract(text, _RFC, 2), F.lit(3))), F.lit(MONTHS)) + 2) / 3
     year = F.regexp_extract(text, _RFC, 3)
@@ -75,20 +92,27 @@ def _from_rfc(text: Column) -> Column:
 
 
 def parse_datetime(value: Column, date_as_end: bool = False) -> Column:
-    """ISO date, ISO date-time (naive = UTC) or RFC 2822 to a timestamp; else null.
+    """ISO date (also by week), ISO date-time (naive = UTC) or RFC 2822 to a timestamp; else null.
 
     A plain date means its midnight, or with ``date_as_end`` the next midnight.
     Fractions of a second are cut off.
     """
     text = strip(value)
-    day = F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00Z")))
-    if date_as_end:
-        day = day + F.expr("INTERVAL 1 DAY")
+
+    def of_iso(text: Column) -> Column:
+        day = F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00Z")))
+        if date_as_end:
+            day = day + F.expr("INTERVAL 1 DAY")
+        return (
+            F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
+            .when(text.rlike(_PLAIN), F.date_trunc("second", F.try_to_timestamp(text)))
+            .when(text.rlike(_ISO), _from_iso(text))
+        )
+
     return (
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
-        .when(text.rlike(_PLAIN), F.date_trunc("second", F.try_to_timestamp(text)))
-        .when(text.rlike(_ISO), _from_iso(text))
+        F.when(text.rlike(_WEEK), of_iso(_from_week(text)))
         .when(text.rlike(_RFC), _from_rfc(text))
+        .otherwise(of_iso(text))
     )
 
 

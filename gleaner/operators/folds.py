@@ -72,9 +72,25 @@ def fold_events(
         F.min_by("published_at", F.when(F.col("published_at").isNotNull(), seq)).alias("found_published_at"),
         F.max(F.when(F.col("accepted"), seq)).alias("last_accept"),
         F.max(seq).alias("last_event"),
+        F.max(F.when(F.col("status").isNotNull(), seq)).alias("status_seq"),
+        F.max(F.when(F.col("sets_error"), seq)).alias("error_seq"),
+        F.min(F.when(F.col("published_at").isNotNull(), seq)).alias("published_seq"),
     )
 
 
+_SEQ = "struct<at:timestamp,rank:int,id:bigint>"
+_MARKS = ("last_event", "status_seq", "error_seq", "last_accept", "published_seq")
+
+
+def with_marks(articles: DataFrame) -> DataFrame:
+    """A snapshot that remembers which log rows decided its values (column ``marks``).
+
+    Folding batches of the log into such a snapshot gives the same state in whatever
+    order the batches come, because a late row is measured against its place in the log.
+    """
+    return articles.withColumn("marks", F.struct(*[F.lit(None).cast(_SEQ).alias(name) for name in _MARKS]))
+
+
 def fold_state(
     articles: DataFrame,
     fetches: DataFrame,
@@ -93,13 +109,29 @@ def fold_state(
     Failed evaluations change nothing here; they are only logged.
     """
     change = fold_events(fetches, evaluations, overrides, skips)
+    kept = "marks" in articles.columns
+
+    def mark(name: str) -> Column:
+        return F.col(f"marks.{name}") if kept else F.lit(None).cast(_SEQ)
+
+    def later(name: str) -> Column:
+        """Whether the new log rows decide: they have such a row, and none after it was seen."""
+        return F.col(name).isNotNull() & F.coalesce(F.col(name) > mark(name), F.lit(True))
+
+    # a time the article had before any log row stays; of the log's the earliest counts
+    earlier = mark("published_seq").isNotNull() & F.coalesce(F.col("published_seq") < mark("published_seq"), F.lit(False))
     new = {
-        "status": F.coalesce("new_status", "status"),
+        "status": F.when(later("status_seq"), F.col("new_status")).otherwise(F.col("status")),
         "retry_count": (F.col("retry_count") + F.coalesce("failures", F.lit(0))).cast("int"),
-        "published_at": F.coalesce("published_at", "found_published_at"),
-        "collected_at": F.coalesce("last_accept.at", "collected_at"),
-        "updated_at": F.coalesce("last_event.at", "updated_at"),
-        "error": F.when(F.col("last_error").isNotNull(), F.col("last_error.error")).otherwise(F.col("error")),
+        "published_at": F.when(earlier | F.col("published_at").isNull(), F.coalesce("found_published_at", "published_at")).otherwise(F.col("published_at")),
+        "collected_at": F.when(later("last_accept"), F.col("last_accept.at")).otherwise(F.col("collected_at")),
+        "updated_at": F.when(later("last_event"), F.col("last_event.at")).otherwise(F.col("updated_at")),
+        "error": F.when(later("error_seq"), F.col("last_error.error")).otherwise(F.col("error")),
     }
+    if kept:
+        # a fill counts as the log's only where the log gave the time
+        filled = F.when(F.col("published_at").isNull() | mark("published_seq").isNotNull(), F.least(mark("published_seq"), F.col("published_seq")))
+        newest = [F.greatest(mark(name), F.col(name)).alias(name) for name in _MARKS[:-1]]
+        new["marks"] = F.struct(*newest, filled.alias("published_seq"))
     joined = articles.join(change, articles.id == change.article_id, "left")
     return joined.select(*[new.get(name, F.col(name)).alias(name) for name in articles.columns])

@@ -12,11 +12,6 @@ from gleaner.functions.html import linked_data_dates
 from gleaner.functions.times import first_time
 
 _TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_KEYS = "|".join(SCRIPT_DATE_KEYS)
-_PLAIN = rf'"(?:{_KEYS})"\s*:\s*"([^"]+)"'
-_ESCAPED = rf'\\"(?:{_KEYS})\\"\s*:\s*\\"([^"\\]+)\\"'
-
-
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of a tag's text, null when absent."""
     pattern = rf"""(?is)[\s"']{name}\s*=\s*("([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -24,12 +19,26 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(given != "", F.regexp_replace(given, r"""(?s)^["'](.*)["']$""", "$1"))
 
 
+def _values_of_keys(html: Column, quote: str) -> Column:
+    """Texts that stand in quotes after a known date key and a colon.
+
+    The text is cut at the quoted keys; each part after a key starts with its value.
+    """
+    keys = "|".join(quote + key + quote for key in SCRIPT_DATE_KEYS).replace("\\", "\\\\")
+    parts = F.split(html, keys)
+
+    def value(part: Column) -> Column:
+        colon = F.regexp_replace(part, r"^\s+", "")
+        text = F.regexp_replace(F.substr(colon, F.lit(2)), r"^\s+", "")
+        named = colon.startswith(":") & text.startswith(quote)
+        return F.when(named, F.substring_index(F.substr(text, F.lit(len(quote) + 1)), quote, 1))
+
+    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), value)
+
+
 def script_time(html: Column) -> Column:
     """First parseable date next to a known key in script text, plain before escaped quoting."""
-    return F.coalesce(
-        first_time(F.regexp_extract_all(html, F.lit(_PLAIN), F.lit(1))),
-        first_time(F.regexp_extract_all(html, F.lit(_ESCAPED), F.lit(1))),
-    )
+    return F.coalesce(first_time(_values_of_keys(html, '"')), first_time(_values_of_keys(html, '\\"')))
 
 
 def _having(attribute: str, value: str) -> Callable[[Column], Column]:

@@ -21,6 +21,7 @@ from gleaner.constants import (
     VOCABULARY_HEADING,
 )
 from gleaner.functions.text import evaluator_input, normalize_tag, strip, strip_fences
+from gleaner.session import written
 
 VERDICT_KEYS = ["decision", "content_type", "summary", "tags", "suggested_tags", "recommendation_reason"]
 _VERDICT = (
@@ -246,6 +247,22 @@ def failed_verdicts(scored: DataFrame, failed_at: Column) -> DataFrame:
     )
 
 
+def evaluate(
+    requests: DataFrame, scorer: Scorer, model_name: str, at: Column, max_attempts: int = MAX_ATTEMPTS
+) -> dict[str, DataFrame]:
+    """Score requests once and route what came back: ``evaluations``, ``failures``, ``counters``.
+
+    Replies are written before anything reads them, so a call that is paid for is
+    made once per attempt, and every article lands in exactly one log.
+    """
+    scored = written(score(requests, scorer, max_attempts), "scored")
+    return {
+        "evaluations": accepted_verdicts(scored, model_name, at),
+        "failures": failed_verdicts(scored, at),
+        "counters": evaluation_counters(scored),
+    }
+
+
 def evaluation_counters(scored: DataFrame) -> DataFrame:
     decision = F.col("verdict.decision")
     return scored.agg(

@@ -2,7 +2,8 @@
 
 State lives in numbered snapshots: micro-batch ``n`` reads snapshot ``n`` and
 writes snapshot ``n + 1``, overwriting it.  A batch that is replayed after a
-failure therefore reads what it read before and leaves the same result.
+failure therefore reads what it read before and leaves the same result.  The two
+newest snapshots are kept.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from gleaner.functions.times import in_range
 from gleaner.operators.folds import fold_state
 from gleaner.operators.upsert import upsert_candidates
+from gleaner.session import drop_folder
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -41,6 +43,8 @@ def fold_stream(stream: DataFrame, folder: str, fold: Fold) -> DataStreamWriter:
         try:
             before = read_snapshot(kept.sparkSession, folder, number)
             fold(before, kept).write.mode("overwrite").parquet(snapshot_path(folder, number + 1))
+            if number:
+                drop_folder(kept.sparkSession, snapshot_path(folder, number - 1))
         finally:
             kept.unpersist()
 
@@ -77,7 +81,11 @@ def upsert_stream(
 
 
 def fold_log_stream(events: DataFrame, folder: str) -> DataStreamWriter:
-    """Fetch and evaluation events (``kind`` fetch or evaluation) into article snapshots."""
+    """Fetch and evaluation events (``kind`` fetch or evaluation) into article snapshots.
+
+    The first snapshot has to come from ``with_marks``; then events may arrive in any
+    order and in any batches.
+    """
 
     def fold(before: DataFrame, batch: DataFrame) -> DataFrame:
         fetches = batch.filter("kind = 'fetch'").select(
@@ -119,9 +127,7 @@ def run_to_end(writer: DataStreamWriter) -> None:
 
 
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot after the last committed micro-batch (named in the commit log)."""
-    commits = spark.read.text(f"{folder}/checkpoint/commits").select(
-        F.max(F.col("_metadata.file_name").cast("bigint")).alias("last")
-    )
-    last = commits.first()["last"]
-    return read_snapshot(spark, folder, 0 if last is None else last + 1)
+    """The newest snapshot that was written to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot-*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    return read_snapshot(spark, folder, max(int(one.getPath().getParent().getName().rpartition("-")[2]) for one in found))

@@ -139,3 +139,13 @@ def test_first_text(spark):
     frame = spark.createDataFrame([(["<br>", "<b>x</b>"],), ([],), (None,), (["plain"],)], "c array<string>")
     rows = [row[0] for row in frame.select(html.first_text("c")).collect()]
     assert [tuple(r) for r in rows] == [(1, "x"), (None, None), (None, None), (0, "plain")]
+
+
+def test_week_dates(spark):
+    cases = {
+        "2024-W05-2": "2024-01-30T00:00:00", "2024W052": "2024-01-30T00:00:00", "2024-W01": "2024-01-01T00:00:00", "2021-W01-1": "2021-01-04T00:00:00",
+        "2020-W53-7": "2021-01-03T00:00:00", "2021-W53-1": None, "2024-W00-1": None, "2024-W05-8": None, "2024-W05-2T10:30:00+02:00": "2024-01-30T08:30:00",
+    }
+    frame = spark.createDataFrame([(text,) for text in cases], "text string")
+    got = {r.text: r.at for r in frame.select("text", times.iso_z(times.parse_datetime(F.col("text"))).alias("at")).collect()}
+    assert got == {text: at and at + "Z" for text, at in cases.items()}

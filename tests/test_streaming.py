@@ -1,7 +1,8 @@
 from helpers import article, articles, entries, frame, moment, shown
+from pyspark.sql import functions as F
 
 from gleaner.functions.times import build_time_range
-from gleaner.operators import filters, upsert
+from gleaner.operators import filters, folds, upsert
 from gleaner.streaming import incremental
 
 EVENTS = "kind string, id bigint, article_id bigint, at timestamp, status string, error string, decision string, published_at timestamp"
@@ -64,3 +65,26 @@ def test_late_rows_are_dropped(spark, tmp_path):
         .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/counts"))
     got = {shown(r.window_start): r.n for r in spark.read.parquet(f"{folder}/counts").collect()}
     assert got == {"2026-01-01T00:00:00": 2, "2026-01-01T03:00:00": 2}
+
+
+def test_late_log_rows_do_not_win(spark):
+    log = [("evaluation", 1, "2026-02-02T00:00:00", None, "accept", None), ("evaluation", 2, "2026-01-01T00:00:00", None, "reject", None),
+           ("fetch", 3, "2026-02-03T00:00:00", "success", None, "2026-01-05T00:00:00"), ("fetch", 4, "2026-01-02T00:00:00", "failed", None, None),
+           ("fetch", 5, "2026-01-03T00:00:00", "success", None, "2025-12-01T00:00:00")]
+    rows = [dict(kind=k, id=i, article_id=1, at=at, status=s, error="late" if s == "failed" else None, decision=d, published_at=p) for k, i, at, s, d, p in log]
+    ddl = "kind string, id bigint, article_id bigint, at timestamp, status string, error string, decision string, published_at timestamp"
+
+    def parts(batch):
+        fetched = batch.filter("kind = 'fetch'").select("id", "article_id", F.col("at").alias("fetched_at"), "status", "error", "published_at")
+        judged = batch.filter("kind = 'evaluation'").select("id", "article_id", F.col("at").alias("evaluated_at"), "decision")
+        return fetched, judged
+
+    start = folds.with_marks(articles(spark, article(1), article(2, published_at="2025-01-01T00:00:00")))
+    whole = [tuple(r) for r in folds.fold_state(start, *parts(frame(spark, ddl, *rows))).drop("marks").orderBy("id").collect()]
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 0, 4, 1, 3]):
+        state = start
+        for i in order:
+            state = folds.fold_state(state, *parts(frame(spark, ddl, rows[i])))
+        assert [tuple(r) for r in state.drop("marks").orderBy("id").collect()] == whole
+    row = folds.fold_state(start, *parts(frame(spark, ddl, *rows))).filter("id = 1").first()
+    assert (row.status, row.retry_count, row.error) == ("accepted", 1, None) and row.published_at.year == 2025

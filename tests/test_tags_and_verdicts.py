@@ -206,3 +206,20 @@ def test_approval_keeps_slugs_unique(spark):
     assert sorted((r.candidate_id, r.error) for r in done["errors"].collect()) == [(0, "tag already exists"), (2, "tag already exists")]
     assert {r.id: r.status for r in done["candidates"].collect()} == {0: "pending", 1: "approved", 2: "pending", 3: "approved", 4: "approved"}
     assert sorted((r.article_id, r.tag_id) for r in done["links"].collect()) == [(1, 3), (3, 3), (4, 4)]
+
+
+def test_each_attempt_is_made_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def scorer(messages):
+        body = messages[1]["content"].split("# Markdown\n")[1]
+        with open(calls, "a") as log:
+            log.write(body + "\n")
+        return json.dumps(VALID) if body == "good" else ""
+
+    done = verdicts.evaluate(requests(spark, "good", "bad"), scorer, "m", moment(), max_attempts=2)
+    assert [r.article_id for r in done["evaluations"].collect()] == [0]
+    assert [(r.article_id, r.attempts) for r in done["failures"].collect()] == [(1, 2)]
+    assert done["counters"].first().attempted == 2
+    with open(calls) as log:
+        assert sorted(log.read().split()) == ["bad", "bad", "good"]
