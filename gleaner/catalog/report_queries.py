@@ -254,6 +254,7 @@ def published_snapshot(spark, sf):
     """The snapshot as written: index lines read back, joined with the stored records."""
     folder = shared_folder(spark, "published")
     publishing.publish_snapshot(_publishable(spark, sf), folder)
+    folder = publishing.published_version(spark, folder)
     index = spark.read.schema(
         "slug string, title string, published_at string, tags array<string>, markdown_path string"
     ).json(f"{folder}/index")

@@ -10,6 +10,7 @@ from gleaner.functions.times import http_date, item_time, iso_z, parse_datetime
 from gleaner.operators.latest import latest, latest_successful_fetch
 from gleaner.operators.tags import with_public_tags
 from gleaner.plans.listings import public_page
+from gleaner.session import drop_folder, point_to, pointed_to
 
 RECORD = ["slug", "title", "url", "source", "published_at", "collected_at", "content_type", "summary", "tags",
           "recommendation_reason", "markdown_path"]
@@ -79,18 +80,32 @@ def snapshot_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def publish_snapshot(rows: DataFrame, folder: str, documents_per_file: int = 20_000) -> None:
-    """Write records, documents and index; what was published before is replaced.
+def publish_snapshot(rows: DataFrame, folder: str, documents_per_file: int = 20_000) -> str:
+    """Write records, documents and index as a new version, then point readers to it.
 
     Records and documents go to files of bounded size instead of one tiny file
-    per article.  The index is then sorted out of what was written, reading only
-    the record column, and keeps the public order over its part files.
+    per article.  The index is sorted out of what was written, reading only the
+    record column, and keeps the public order over its part files.  Whoever reads
+    sees the old version or the new one, whole; the version before is kept for
+    readers that are still at it, older ones go.  Returns the new version's folder.
     """
-    snapshot_rows(rows).write.mode("overwrite").option("maxRecordsPerFile", documents_per_file).parquet(
-        f"{folder}/articles"
-    )
-    stored = rows.sparkSession.read.parquet(f"{folder}/articles")
-    stored.orderBy(F.desc("item_time"), F.desc("id")).select("record").write.mode("overwrite").text(f"{folder}/index")
+    spark = rows.sparkSession
+    before = pointed_to(spark, f"{folder}/current")
+    number = int(before) + 1 if before else 1
+    version = f"{folder}/version-{number}"
+    snapshot_rows(rows).write.mode("overwrite").option("maxRecordsPerFile", documents_per_file).parquet(f"{version}/articles")
+    stored = spark.read.parquet(f"{version}/articles")
+    stored.orderBy(F.desc("item_time"), F.desc("id")).select("record").write.mode("overwrite").text(f"{version}/index")
+    point_to(spark, f"{folder}/current", str(number))
+    if number > 2:
+        drop_folder(spark, f"{folder}/version-{number - 2}")
+    return version
+
+
+def published_version(spark: SparkSession, folder: str) -> str | None:
+    """The folder (``articles``, ``index``) of what is public now."""
+    number = pointed_to(spark, f"{folder}/current")
+    return number and f"{folder}/version-{number}"
 
 
 def publish_counter(rows: DataFrame) -> DataFrame:

@@ -69,6 +69,27 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def point_to(spark: SparkSession, pointer: str, target: str) -> None:
+    """Make the small file ``pointer`` name ``target``, in one step for whoever reads it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path, draft = hadoop.Path(pointer), hadoop.Path(f"{pointer}.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    stream = draft.getFileSystem(conf).create(draft, True)
+    stream.write(bytearray(target.encode()))
+    stream.close()
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(path.getFileSystem(conf).getUri(), conf).rename(draft, path, options)
+
+
+def pointed_to(spark: SparkSession, pointer: str) -> str | None:
+    """What a pointer names; nothing if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.text(pointer, wholetext=True).first()[0]
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.charsets import with_body_text
 from gleaner.functions.html import first_text
 from gleaner.functions.text import non_blank
 from gleaner.functions.times import first_time
@@ -33,9 +34,9 @@ def parse_feeds(bodies: DataFrame) -> DataFrame:
 
     A broken body gives an error in its own row and never fails the job.
     """
-    parsed = bodies.withColumn("_doc", F.from_xml(strip_control_chars(F.col("body").cast("string")), _FEED, _XML))
+    parsed = with_body_text(bodies).withColumn("_doc", F.from_xml(strip_control_chars(F.col("_text")), _FEED, _XML))
     items = F.coalesce("_doc.channel.item", "_doc.item", "_doc.entry", F.array().cast(f"array<{_ITEM}>"))
-    broken = F.col("body").isNull() | F.col("_doc._bad").isNotNull()
+    broken = F.col("_text").isNull() | F.col("_doc._bad").isNotNull()
     return parsed.select(
         *bodies.columns,
         F.when(broken, F.lit("feed parse failed")).alias("parse_error"),

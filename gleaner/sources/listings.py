@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.charsets import with_body_text
 from gleaner.functions.html import select_links
 from gleaner.functions.text import strip
 from gleaner.functions.urls import origin, resolve_url
@@ -15,13 +16,17 @@ def parse_listings(pages: DataFrame) -> DataFrame:
 
     Needs ``body`` and a ``feed`` struct with the selectors.
     """
-    picked = pages.withColumn(
+    picked = with_body_text(pages).withColumn(
         "_picked",
-        select_links(F.col("body").cast("string"), F.col("feed.link_selector"), F.col("feed.title_selector")),
+        select_links(F.col("_text"), F.col("feed.link_selector"), F.col("feed.title_selector")),
     )
     return picked.select(
         *pages.columns,
-        F.coalesce(F.when(F.col("body").isNull(), F.lit("listing body is missing")), "_picked.error").alias("parse_error"),
+        F.coalesce(
+            F.when(F.col("body").isNull(), F.lit("listing body is missing"))
+            .when(F.col("_text").isNull(), F.lit("listing body cannot be decoded")),
+            "_picked.error",
+        ).alias("parse_error"),
         F.col("_picked.links").alias("links"),
         F.col("_picked.titles").alias("titles"),
     )

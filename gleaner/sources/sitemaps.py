@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.constants import MAX_SITEMAP_DEPTH, MAX_SITEMAP_FILES
+from gleaner.functions.charsets import with_body_text
 from gleaner.functions.text import non_blank
 from gleaner.functions.times import parse_datetime
 from gleaner.session import written
@@ -21,8 +22,8 @@ _LOCATION = "array<struct<loc:string,lastmod:string>>"
 
 def parse_sitemaps(bodies: DataFrame) -> DataFrame:
     """Add ``root``, ``locations`` (url nodes, then sitemap nodes) and ``parse_error``."""
-    text = F.col("body").cast("string")
-    parsed = bodies.withColumn("_doc", F.from_xml(text, _SITEMAP, _XML)).withColumn(
+    text = F.col("_text")
+    parsed = with_body_text(bodies).withColumn("_doc", F.from_xml(text, _SITEMAP, _XML)).withColumn(
         "root", F.regexp_extract(text, _ROOT, 1)
     )
     none = F.array().cast(_LOCATION)
@@ -33,7 +34,7 @@ def parse_sitemaps(bodies: DataFrame) -> DataFrame:
         F.concat(F.coalesce("_doc.url", none), F.coalesce(nested, none)), lambda n: non_blank(n.loc).isNotNull()
     )
     error = (
-        F.when(F.col("body").isNull() | F.col("_doc._bad").isNotNull(), F.lit("sitemap parse failed"))
+        F.when(F.col("_text").isNull() | F.col("_doc._bad").isNotNull(), F.lit("sitemap parse failed"))
         .when(~F.col("root").isin("urlset", "sitemapindex"), F.concat(F.lit("unsupported sitemap root: "), F.col("root")))
     )
     return parsed.select(

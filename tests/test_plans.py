@@ -89,8 +89,10 @@ def test_snapshot_and_stale(spark, tmp_path):
     rows, log, judged, _, tagged, words = state(spark)
     ready = publishing.publishable(rows, log, judged, tagged, words)
     folder = str(tmp_path / "public")
-    publishing.publish_snapshot(ready, folder)
-    stored = {r.slug: r for r in spark.read.parquet(f"{folder}/articles").collect()}
+    assert publishing.published_version(spark, folder) is None
+    version = publishing.publish_snapshot(ready, folder)
+    assert publishing.published_version(spark, folder) == version
+    stored = {r.slug: r for r in spark.read.parquet(f"{publishing.published_version(spark, folder)}/articles").collect()}
     record = json.loads(stored["s-t2"].record)
     assert list(record) == publishing.RECORD and record["published_at"] is None and record["tags"] == []
     assert stored["s-t1"].document == (
@@ -98,13 +100,15 @@ def test_snapshot_and_stale(spark, tmp_path):
         'published_at: "2026-01-01T00:00:00Z"\ncollected_at: ""\ntags:\n  - "AI"\n  - "web"\n---\n\n'
         "> 来源信息\n>\n> - 来源：s\n> - 原文：https://e.com/1\n> - 原文时间：2026-01-01T00:00:00Z\n> - 抓取时间：2026-02-01T00:00:00Z\n\nbody\n")
     assert 'title: "Say \\"hi\\""' in stored["s-t2"].document and "原文时间：未知" in stored["s-t2"].document
-    lines = [json.loads(line) for part in sorted((tmp_path / "public" / "index").glob("part-*")) for line in part.read_text("utf-8").splitlines()]
+    lines = [json.loads(line) for part in sorted((tmp_path / "public" / "version-1" / "index").glob("part-*")) for line in part.read_text("utf-8").splitlines()]
     assert [line["slug"] for line in lines] == ["s-t2", "s-t1"]
     demoted = publishing.publishable(rows.filter("id <> 2"), log, judged, tagged, words)
     previous = spark.createDataFrame([(s,) for s in stored], "slug string")
     assert [r.slug for r in publishing.stale_slugs(previous, demoted).collect()] == ["s-t2"]
-    publishing.publish_snapshot(demoted, folder)
-    assert [r.slug for r in spark.read.parquet(f"{folder}/articles").collect()] == ["s-t1"]
+    for _ in range(2):
+        publishing.publish_snapshot(demoted, folder)
+    assert sorted(p.name for p in (tmp_path / "public").glob("version-*")) == ["version-2", "version-3"]
+    assert [r.slug for r in spark.read.parquet(f"{publishing.published_version(spark, folder)}/articles").collect()] == ["s-t1"]
     assert publishing.publish_counter(demoted).first().published == 1
 
 

@@ -197,3 +197,26 @@ def test_discovery_isolates_failures(spark, tmp_path):
         "rss": ("success", None, "e"), "broken": ("failed", "feed parse failed", None),
         "same": ("not_modified", None, None), "map": ("success", None, None),
         "list": ("failed", "listing is disabled", None), "silent": ("failed", "no response", None)}
+
+
+def test_bodies_in_other_character_sets(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.functions.charsets import with_body_text
+    from gleaner.sources.listings import parse_listings
+
+    cases = {
+        "plain": ("é 标题".encode(), "é 标题"), "gb": ('<?xml version="1.0" encoding="GB2312"?><a>标题</a>'.encode("gb2312"), "标题"),
+        "latin": ("<?xml version='1.0' encoding='ISO-8859-1'?><u>/é</u>".encode("latin-1"), "/é"), "wide": ("<a>题</a>".encode("utf-16"), "<a>题</a>"),
+        "meta": ('<meta charset=gbk><a href="/x">题</a>'.encode("gbk"), "题"), "marked": (b"\xef\xbb\xbf<a/>", "<a/>"),
+        "bad": (b"\xff\xfe\x00", None), "liar": (b'<?xml encoding="utf-8"?>\xff', None), "odd": (b'<?xml encoding="x-none"?><a/>', None), "none": (None, None),
+    }
+    frame = spark.createDataFrame([(name, raw) for name, (raw, _) in cases.items()], "name string, body binary")
+    got = {r.name: r._text for r in with_body_text(frame).collect()}
+    assert all((got[name] is None) == (text is None) and (text or "") in (got[name] or "") for name, (_, text) in cases.items()), got
+    assert got["marked"] == "<a/>"
+    text = frame.select("name", F.lit('<?xml encoding="gb2312"?>题').alias("body"))
+    assert with_body_text(text).first()._text.endswith("题")
+    pages = frame.filter("name IN ('meta', 'bad')").withColumn("feed", F.expr("named_struct('link_selector', 'a', 'title_selector', '')"))
+    listed = {r.name: (r.parse_error, r.titles or r.links) for r in parse_listings(pages).collect()}
+    assert listed["bad"][0] == "listing body cannot be decoded" and listed["meta"][0] is None
