@@ -6,8 +6,11 @@
 2. Classes that agree in a band of the signature share a bucket.  A bucket is not
    turned into all its pairs: every member is compared with one leader, the links
    found are contracted, and what is still apart takes part in the next round with
-   another leader.  What stays apart after ``ROUNDS`` rounds is compared pair by
-   pair, as far as the sizes allow a link, so no bucket is cut.
+   another leader.  Leaders are the members that share buckets with most others:
+   of copies with many kinds of changes, those nearest to the original.  What stays apart after ``ROUNDS`` rounds is compared pair by
+   pair, so no bucket is cut, but only pairs that can link meet: shingles that no
+   other set holds and bits that only one of two bitmaps has set tell how many
+   shingles two sets can share at most, which bounds their similarity.
 3. A pair is compared in batches of hashes.  After each batch it is dropped when
    the posterior probability that its similarity reaches the threshold (uniform
    prior, binomial matches) is below ``MISS``.
@@ -31,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import arrays
@@ -42,7 +45,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-8
-ROUNDS = 4
+ROUNDS = 2
+WORDS = 16  # 64-bit words of the bitmaps that bound the similarity of what is left
 
 _mixers = arrays.mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _FACTORS, _MASKS = _mixers[:HASHES] | np.uint64(1), _mixers[HASHES:]
@@ -210,7 +214,14 @@ class _Matcher:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the given classes, from the texts."""
+        asked = nodes.join(self.classes.select("node", "doc_id", "text_hash", "set_key"), "node")
+        same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col("a.text_hash"))
+        texts = self.docs.alias("d").join(asked.alias("a"), same).select("a.node", "a.set_key", "d.text")
+        return written(texts.mapInArrow(_whole_sets(self.width), "node long, shingles binary"), "whole-sets").dropDuplicates(["node"])
+
+    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (left, right) of classes that link; the pairs must be distinct."""
         sketches = self.classes.select("node", "n_shingles", "signature")
         left = sketches.toDF("left", "left_size", "left_signature")
@@ -222,12 +233,8 @@ class _Matcher:
             .mapInArrow(_prune(self.percent), "left long, right long")
         )
         likely = written(likely, "likely-pairs")
-        nodes = likely.select(F.explode(F.array("left", "right")).alias("node")).distinct()
-        asked = nodes.join(self.classes.select("node", "doc_id", "text_hash", "set_key"), "node")
-        texts = self.docs.alias("d").join(
-            asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col("a.text_hash"))
-        ).select("a.node", "a.set_key", "d.text")
-        sets = written(texts.mapInArrow(_whole_sets(self.width), "node long, shingles binary"), "whole-sets").dropDuplicates(["node"])
+        if sets is None:
+            sets = self.sets(likely.select(F.explode(F.array("left", "right")).alias("node")).distinct())
         return (
             likely.join(sets.toDF("right", "right_set"), "right").join(sets.toDF("left", "left_set"), "left")
             .select("left", "right", "left_set", "right_set")
@@ -236,13 +243,14 @@ class _Matcher:
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (node, label) after joining whatever the links (left, right) connect.
+    """Labels (node, label, met) after joining whatever the links (left, right) connect.
 
-    Every label that has a smaller one beside it hooks to the smallest; hooks are
-    shortened by jumping, then links between the new labels are looked at again.
+    Every label that has a smaller one beside it hooks to the smallest, hooks are
+    shortened by two jumps, and links between the new labels are looked at again.
     """
     while True:
-        a, b = labels.toDF("left", "left_label"), labels.toDF("right", "right_label")
+        known = labels.select("node", "label")
+        a, b = known.toDF("left", "left_label"), known.toDF("right", "right_label")
         apart = (
             links.join(a, "left").join(b, "right").filter("left_label != right_label")
             .select(F.greatest("left_label", "right_label").alias("label"), F.least("left_label", "right_label").alias("low"))
@@ -250,16 +258,9 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
         hooks = written(apart.groupBy("label").agg(F.min("low").alias("low")), "hooks")
         if hooks.isEmpty():
             return labels
-        while True:
-            next_hooks = hooks.toDF("low", "lower")
-            jumped = written(
-                hooks.join(next_hooks, "low", "left").select("label", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")),
-                "hooks",
-            )
-            hooks = jumped.select("label", "low")
-            if jumped.filter("moved").isEmpty():
-                break
-        labels = written(labels.join(hooks, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
+        for _ in range(2):
+            hooks = hooks.join(hooks.toDF("low", "lower"), "low", "left").select("label", F.coalesce("lower", "low").alias("low"))
+        labels = written(labels.join(hooks, "label", "left").select("node", F.coalesce("low", "label").alias("label"), "met"), "labels")
 
 
 def near_duplicates(
@@ -291,58 +292,111 @@ def near_duplicates(
     )
     held = classes.select("node", "signature").mapInArrow(_band_rows, "node long, bucket long")
     shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(with_group_facts(held, shared, "bucket", "size", total * BANDS).select("bucket", "node"), "buckets")
-    labels = written(buckets.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
+    buckets = written(with_group_facts(held, shared, "bucket", "size", total * BANDS).select("bucket", "node", "size"), "buckets")
+    held_rows = buckets.count()
+    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
+    labels = written(met.select("node", F.col("node").alias("label"), "met"), "labels")
     matcher = _Matcher(docs, classes, width, percent)
     for number in range(ROUNDS + 1):
-        apart = _apart(buckets, labels)
+        apart = _apart(buckets, labels, held_rows)
         if apart.isEmpty():
             break
-        pairs = _with_leaders(apart, number) if number < ROUNDS else _with_all(apart, classes, percent)
-        links = written(matcher.links(written(pairs, "pairs")), "links")
+        if number < ROUNDS:
+            found = matcher.links(_with_leaders(apart, number, held_rows))
+        else:
+            sets = matcher.sets(apart.select("node").distinct())
+            found = matcher.links(_with_all(apart, classes, sets, percent), sets)
+        links = written(found, "links")
         if not links.isEmpty():
             labels = contract(labels, links)
     return _decisions(sketches, classes, labels, order, total)
 
 
-def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, label) of the buckets whose members are not one component yet."""
-    labelled = buckets.join(labels, "node")
+def _apart(buckets: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """(bucket, node, label, met) of the buckets whose members are not one component yet."""
+    labelled = buckets.select("bucket", "node").join(labels, "node")
     split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
     return written(
-        with_group_facts(labelled, split.filter("low != high"), "bucket", "size", 0).select("bucket", "node", "label"), "apart"
+        with_group_facts(labelled, split.filter("low != high"), "bucket", "size", total).select("bucket", "node", "label", "met"), "apart"
     )
 
 
-def _with_leaders(apart: DataFrame, number: int) -> DataFrame:
+def _with_leaders(apart: DataFrame, number: int, total: int) -> DataFrame:
     """Each member beside the leader of its bucket, another one in every round."""
-    turn = F.xxhash64("node", F.lit(number))
-    leaders = apart.groupBy("bucket").agg(
-        F.min(F.struct(turn.alias("turn"), F.col("node"), F.col("label"))).alias("leader"), F.count(F.lit(1)).alias("size")
-    )
-    met = with_group_facts(apart, leaders, "bucket", "size", 0).filter("label != leader.label")
-    return met.select(F.col("leader.node").alias("left"), F.col("node").alias("right")).distinct()
+    fitness = F.struct("met", F.xxhash64("node"), "node", "label")
+    # after the first round one that stands alone goes first
+    first = F.max(F.when(F.col("label") == F.col("node"), fitness)) if number else F.max(fitness)
+    leaders = apart.groupBy("bucket").agg(F.coalesce(first, F.max(fitness)).alias("leader"), F.count(F.lit(1)).alias("size"))
+    beside = with_group_facts(apart, leaders, "bucket", "size", total).filter("label != leader.label")
+    return beside.select(F.col("leader.node").alias("left"), F.col("node").alias("right")).distinct()
+
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, held in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+            shingles = np.frombuffer(held, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), node)), pa.array(shingles)], names=["node", "shingle"])
 
-def _with_all(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket that are still apart and whose sizes allow a link.
 
-    Sizes that allow a link lie in one or in neighbouring classes of a logarithmic
-    scale, which keeps others from meeting.
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit per shingle, placed by its hash."""
+    for batch in batches:
+        maps = []
+        for held in batch.column("shingles").to_pylist():
+            bits = np.zeros(64 * WORDS, bool)
+            bits[np.frombuffer(held, np.uint64) % np.uint64(64 * WORDS)] = True
+            maps.append(np.packbits(bits).view(np.int64))
+        flat = np.concatenate(maps) if maps else np.zeros(0, np.int64)
+        column = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * WORDS, pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), column], names=["node", "bits"])
+
+
+def _with_all(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket that are still apart and can link.
+
+    At least as many shingles of one set are missing in the other as no other set
+    holds, and as bits are set in its bitmap alone.  That bounds the common ones, o,
+    and the similarity of sets of n and m shingles by o / (n + m - o).  A set of
+    which too many shingles stand alone links with none.  Sizes that allow a link
+    lie in one or in neighbouring classes of a logarithmic scale.
     """
+    alone = (
+        sets.mapInArrow(_each_shingle, "node long, shingle long").groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")).filter("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    )
+    bitmaps = sets.mapInArrow(_bitmaps, "node long, bits array<long>")
+    facts = (
+        classes.select("node", "n_shingles").join(bitmaps, "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        .filter((F.col("n_shingles") - F.col("alone")) * 100 >= F.col("n_shingles") * percent)
+    )
+    words = [f"word_{i}" for i in range(WORDS)]
+    facts = facts.select("node", "n_shingles", "alone", *[F.col("bits")[i].alias(word) for i, word in enumerate(words)])
+    able = written(apart.select("bucket", "node", "label").join(facts, "node"), "able")
     step = float(np.log(100 / percent))
-    sized = apart.join(classes.select("node", "n_shingles"), "node").withColumn("scale", F.floor(F.log("n_shingles") / F.lit(step)))
-    left = sized.select("bucket", "scale", F.col("node").alias("left"), F.col("label").alias("left_label"), F.col("n_shingles").alias("left_size"))
-    right = sized.select(
-        "bucket", F.explode(F.array("scale", F.col("scale") + 1, F.col("scale") - 1)).alias("scale"), F.col("node").alias("right"),
-        F.col("label").alias("right_label"), F.col("n_shingles").alias("right_size"),
+    scale = F.floor(F.log("n_shingles") / F.lit(step))
+    left = able.withColumn("scale", scale).alias("a")
+    right = able.withColumn("scale", F.explode(F.array(scale, scale + 1, scale - 1))).alias("b")
+
+    # o / (n + m - o) >= t for o = n - missing is (n - missing) * (1 + t) >= (n + m) * t
+    least = (F.col("a.n_shingles") + F.col("b.n_shingles")) * percent
+
+    def fits(one: str, missing) -> Column:
+        return (F.col(f"{one}.n_shingles") - missing) * (100 + percent) >= least
+
+    def only_in(one: str, other: str) -> Column:
+        bits = [F.bit_count(F.col(f"{one}.{word}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{word}")))) for word in words]
+        return sum(bits[1:], bits[0])
+
+    can = (
+        (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.scale") == F.col("b.scale"))
+        & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+        & fits("a", F.col("a.alone")) & fits("b", F.col("b.alone")) & fits("a", only_in("a", "b")) & fits("b", only_in("b", "a"))
     )
-    near = F.least("left_size", "right_size") * 100 >= F.greatest("left_size", "right_size") * percent
-    return left.join(right, ["bucket", "scale"]).filter(near & (F.col("left") < F.col("right")) & (F.col("left_label") != F.col("right_label"))).select("left", "right").distinct()
+    return left.join(right, can).select(F.col("a.node").alias("left"), F.col("b.node").alias("right")).distinct()
 
 
 def _decisions(sketches: DataFrame, classes: DataFrame, labels: DataFrame, order, total: int) -> DataFrame:
-    labelled = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = classes.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     keepers = labelled.groupBy("label").agg(F.min(order).alias("keeper"))
     facts = labelled.join(keepers, "label").select("set_key", "members", "keeper")
     rows = sketches.select("doc_id", "text_hash", "n_shingles", "set_key")
