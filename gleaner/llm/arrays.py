@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from gleaner.llm import arrays
 LIMIT = 18
 BLOCK_IDS = 1 << 18
 STRIDE = 512
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000  # words a worker remembers
 _APOSTROPHE, _BLANK = 39, 32
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSURE = range(5)
 
@@ -131,11 +132,16 @@ class Tokens:
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
 
         def work_out(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = []
-            for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist()):
-                word = points[a:b].tobytes().decode("utf-32-le").encode().decode("latin-1").translate(self.letters)
-                found.append([token.id for token in self.tokenizer.model.tokenize(word)])
-            return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+            lengths = (ends - starts)[chosen]
+            flat = points[arrays.ranges(starts[chosen], lengths)]
+            # all words at once in the letters that stand for their bytes
+            mapped = flat.tobytes().decode("utf-32-le").encode().decode("latin-1").translate(self.letters)
+            sizes = 1 + (flat >= 0x80).astype(np.int64) + (flat >= 0x800) + (flat >= 0x10000)
+            edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+            tokenize = self.tokenizer.model.tokenize
+            found = [[token.id for token in tokenize(mapped[a:b])] for a, b in zip(edges, edges[1:])]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
         ids, counts = self.words.look_up(arrays.Substrings(points).hashes(starts, ends), work_out)
         edges = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, places)]
