@@ -29,7 +29,7 @@ from gleaner.llm import arrays
 from gleaner.llm.pieces import PLAIN_SPACE_MARK, SPACE, Lattice, Pieces, default_path, pieces
 
 UNKNOWN = -30.0  # below every piece, so that bytes are the last resort
-MOST_WORDS = 500_000  # segmented words a worker remembers
+MOST_WORDS = 300_000  # segmented words a worker remembers
 
 
 def segment(vocabulary: Pieces, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +134,12 @@ def encode(docs: DataFrame, text_column: str = "text", ids_column: str = "pieces
         encoder = _encoder(path)
         for batch in batches:
             data, offsets = arrays.string_bytes(batch.column(text_column))
-            found, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for start, stop in arrays.chunks(offsets):
                 part = offsets[start : stop + 1]
                 ids, places = encoder.encode(data[part[0] : part[-1]], part - part[0])
-                found.append(ids)
-                ends.append(places[1:] + ends[-1][-1])
-            column = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids_column])
+                column = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids, pa.int32()))
+                rows = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*batch.schema.names, ids_column])
 
     rest, schema = _carried(docs, ids_column, T.ArrayType(T.IntegerType()))
     return rest.mapInArrow(work, schema)
