@@ -4,19 +4,23 @@ Short test items are searched inside long documents.  A text is a set of distinc
 shingles of ``width`` words (runs of letters and digits, lower-cased); a text with
 fewer words is one shingle, one without words has an empty set and matches nothing.
 
-Documents are partitioned by the size of their sets, a class per power of two.  A
-set of class c is sketched by one-permutation MinHash with ``8 * 2^c`` bins: the
-least hash of every bin.  An item is sketched anew for every class it can be
-contained in, and its first ``PROBES`` bins are looked up among those of the
-documents.  The number of bins follows the size, so a shingle that both sets hold
-is the least of its bin in the larger one with a chance of about 94 percent, however
-long the document is: with 8 or more common shingles an item is missed with a chance
-below 1e-9.  Each candidate is verified on the whole sets: it is a hit when
-``100 * common >= percent * size of the item``.
-
-The items are broadcast when their sketches have at most ``most_probes`` rows and
-their sets as many shingles; beyond that all meets in shuffles.  Only hits are
-shuffled in the first case.
+Every shingle of every document is looked up.  An item that needs fewer than
+``FEW`` common shingles is searched exactly: of its n shingles, a document that
+holds the needed k holds one of any n - k + 1, so the first n - k + 1 are probed.
+
+For longer items documents are partitioned by the size of their sets, a class per
+power of two.  A set of class c is sketched by one-permutation MinHash with
+``8 * 2^c`` bins: the least hash of every bin.  An item is sketched anew for every
+class it can be contained in, and its first ``PROBES`` bins are looked up among those
+of the documents.  The number of bins follows the size, so a shingle that both sets
+hold is the least of its bin in the larger one with a chance of about 94 percent,
+however long the document is: with ``FEW`` or more common shingles, and 80 percent, an
+item is missed with a chance below 1e-9.  Each candidate is verified on the whole
+sets: it is a hit when ``100 * common >= percent * size of the item``.
+
+The items are broadcast when their sets have at most ``most_probes`` shingles, and
+then only hits are shuffled; beyond that all shingles meet in shuffles, where common
+ones are counted without any sketch.
 
 An item that is repeated counts once; of several texts under one item id the best
 hit is returned.  Rows that agree in document id and text are one document.  Null
@@ -32,6 +36,7 @@ from gleaner.llm.common import own_name
 
 WIDTH, PERCENT = 5, 80
 PROBES = 16
+FEW = 8  # common shingles from which on the sketch is sure enough
 MOST_PROBES = 1_000_000
 _SPARE = 3  # bins per possible shingle, as a power of two
 _CLASSES = 24
@@ -53,14 +58,20 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return F.sort_array(F.array_distinct(F.coalesce(hashes, F.array().cast("array<long>"))))
 
 
-def _sketch(hashes: Column, size_class: Column) -> Column:
-    """The least hash of every bin; ``hashes`` ascend and a bin is a range of them."""
+def _least_of_bin(value: Column, before: Column, size_class: Column) -> Column:
+    """Whether a hash is the least of its bin; hashes ascend, a bin is a range of them, and the first has null before it."""
     shift = F.lit(64 - _SPARE) - size_class
+    bin_of = lambda one: F.call_function("shiftright", one, shift)
+    return before.isNull() | (bin_of(value) != bin_of(before))
+
 
-    def bin_of(value: Column) -> Column:
-        return F.call_function("shiftright", value, shift)
+def _sketch(hashes: Column, size_class: Column) -> Column:
+    """The least hash of every bin."""
+    return F.filter(hashes, lambda value, i: _least_of_bin(value, F.get(hashes, i - 1), size_class))
 
-    return F.filter(hashes, lambda value, i: (i == 0) | (bin_of(value) != bin_of(F.get(hashes, i - 1))))
+
+def _bit(size_class: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), size_class)
 
 
 def _size_class(size: Column) -> Column:
@@ -77,26 +88,32 @@ def hits(
         .filter(F.size("item_set") > 0).distinct().withColumn("n_item", F.size("item_set").cast("long"))
         .withColumn("item", F.xxhash64("item_id", "item_set"))
     )
-    smallest = F.greatest(F.ceil(F.log2(F.col("n_item") * percent / 100)).cast("int"), F.lit(0))
-    probes = (
-        wanted.filter(smallest <= _CLASSES)
-        .select("item", "item_set", F.explode(F.sequence(smallest, F.lit(_CLASSES))).alias("class"))
+    needed = F.greatest(F.ceil(F.col("n_item") * percent / 100).cast("int"), F.lit(1))
+    sketches = (
+        wanted.filter(needed >= FEW)
+        .select("item", "item_set", F.explode(F.sequence(_size_class(needed), F.lit(_CLASSES))).alias("class"))
         .select("item", "class", F.explode(F.slice(_sketch(F.col("item_set"), F.col("class")), 1, PROBES)).alias("value"))
+        .groupBy("item", "value").agg(F.bit_or(_bit(F.col("class"))).alias("classes"))
+    )
+    few = wanted.filter(needed < FEW).select(
+        "item", F.explode(F.slice("item_set", F.lit(1), F.size("item_set") - needed + 1)).alias("value"), F.lit(None).cast("int").alias("classes")
     )
     sets = docs.select(
         F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_column}`")).alias("text_hash"),
         shingles(F.col(f"`{text_column}`"), width).alias("doc_set"),
-    ).filter(F.size("doc_set") > 0).withColumn("class", _size_class(F.size("doc_set")))
-    sketched = sets.withColumn("value", F.explode(_sketch(F.col("doc_set"), F.col("class"))))
+    ).filter(F.size("doc_set") > 0)
+    size_class = _size_class(F.size("doc_set"))
+    least = _least_of_bin(F.col("value"), F.get("doc_set", F.col("place") - 1), size_class)
     common = F.size(F.array_intersect("doc_set", "item_set")).cast("long")
     size = wanted.agg(F.sum("n_item")).first()[0] or 0
-    if size <= most_probes and probes.count() <= most_probes:
+    if size <= most_probes:
         met = (
-            sketched.join(F.broadcast(probes), ["class", "value"])
+            sets.select("*", F.posexplode("doc_set").alias("place", "value")).join(F.broadcast(few.unionByName(sketches)), "value")
+            .filter(F.col("classes").isNull() | ((F.col("classes").bitwiseAND(_bit(size_class)) != 0) & least))
             .join(F.broadcast(wanted), "item").withColumn("n_common", common)
         )
     else:
-        met = _by_shuffle(sets, sketched, probes, wanted)
+        met = _by_shuffle(sets, wanted)
     return (
         met.filter(F.col("n_common") * 100 >= F.col("n_item") * percent)
         .groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(F.col("n_common") / F.col("n_item"), "n_item", "n_common")).alias("best"))
@@ -104,15 +121,13 @@ def hits(
     )
 
 
-def _by_shuffle(sets: DataFrame, sketched: DataFrame, probes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Candidates and their common shingles where the items are too many to broadcast."""
+def _by_shuffle(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Common shingles of documents and items where the items are too many to broadcast."""
     key = ["doc_id", "text_hash"]
-    candidates = sketched.select(*key, "class", "value").join(probes, ["class", "value"]).select(*key, "item").distinct()
     held = sets.select(*key, F.explode("doc_set").alias("value")).distinct()
     asked = wanted.select("item", F.explode("item_set").alias("value"))
-    common = held.join(asked, "value").groupBy(*key, "item").agg(F.count(F.lit(1)).alias("n_common")).alias("m")
-    same = [F.col(f"m.{name}").eqNullSafe(F.col(f"c.{name}")) for name in [*key, "item"]]
-    return common.join(candidates.alias("c"), same, "left_semi").join(wanted.select("item", "item_id", "n_item"), "item")
+    common = held.join(asked, "value").groupBy(*key, "item").agg(F.count(F.lit(1)).alias("n_common"))
+    return common.join(wanted.select("item", "item_id", "n_item"), "item")
 
 
 def clean(

@@ -177,6 +177,25 @@ def test_contained_items(prepared):
     assert decontaminate.hits(frame.limit(0), items).count() == decontaminate.hits(frame, items.limit(0)).count() == 0
 
 
+def test_short_items_in_long_documents(prepared):
+    random.seed(4)
+    frame, items, expected = [], [], set()
+    for i in range(40):
+        n = random.choice([260, 500, 512, 2000, 4090])
+        words = [f"v{random.randrange(100_000)}" for _ in range(n)]
+        frame.append((i, " ".join(words)))
+        for k in range(25):
+            size = 5 + k % 2
+            at = random.randrange(n - size)
+            items.append((100 * i + k, " ".join(words[at : at + size])))
+            expected.add((i, 100 * i + k))
+    wanted = prepared.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MOST_PROBES, 0):
+        got = decontaminate.hits(docs(prepared, *frame), wanted, most_probes=most).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == expected
+    assert decontaminate.clean(docs(prepared, *frame), wanted).count() == 0
+
+
 # pieces and languages
 
 
