@@ -7,8 +7,8 @@ text: a key needs an identifier, an account a secret, an endpoint both.
 Identifiers are access ids and accounts; secrets are assignments, hex runs and keys.
 
 Places come from the lengths of matches and of the text between them, summed over
-the matches of a text.  The interval join cuts texts into cells of ``scope`` code
-points.  Of the parts of a role in a cell only the first start and the last end
+the matches of a text.  The interval join cuts texts into cells of ``scope + 1`` code
+points, so that parts at a distance of ``scope`` lie in neighbouring cells at most.  Of the parts of a role in a cell only the first start and the last end
 are needed: a weak part meets all of its own cells, and in the neighbouring ones
 the nearest part decides.  So no pairs are made, however many parts a text has.
 
@@ -88,7 +88,7 @@ def linked(candidates: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak candidates whose complementary parts stand in scope."""
     key = ["doc_id", "text_hash"]
     of_kind = {role: [i for i, kind in enumerate(KINDS) if kind.role == role] for role in ("identifier", "secret")}
-    cell = lambda place: F.floor(place / scope)
+    cell = lambda place: F.floor(place / (scope + 1))
     last = F.greatest(F.col("end") - 1, F.col("start"))
     roles = F.when(F.col("kind").isin(of_kind["identifier"]), F.lit("identifier")).when(F.col("kind").isin(of_kind["secret"]), F.lit("secret"))
     present = (

@@ -377,6 +377,23 @@ def test_secret_spans(prepared):
     assert secret_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_scope_at_all_offsets(prepared):
+    rows, expected = [], set()
+    for offset in range(2 * secret_scan.SCOPE + 2):
+        for distance in (299, 300, 301):
+            # a key after an access id, and one before it
+            for id, key, access in ((1, offset + 20 + distance, offset), (2, offset, offset + 40 + distance)):
+                number = 10 * (1000 * distance + offset) + id
+                rows += [(number, 0, 1, access, access + 20), (number, 0, 3, key, key + 40)]
+                if distance <= 300:
+                    expected.add((number, key))
+    frame = prepared.createDataFrame(rows, "doc_id long, text_hash long, kind int, start int, end int")
+    assert {(r.doc_id, r.start) for r in secret_scan.linked(frame).collect()} == expected
+    text = "." * 280 + "AKIA" + "Z9" * 8 + "." * 300 + "Qw3/" * 10
+    one = docs(prepared, (1, text))
+    assert secret_scan.digests(one, secret_scan.scan(one)).first().spans == "access:280:300,key:600:640"
+
+
 def test_many_secrets_in_one_text(prepared):
     text = " ".join(f"token=abc{i:05d} user=u{i}" for i in range(5000))
     frame = docs(prepared, (1, text))
