@@ -13,7 +13,7 @@ from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
 from gleaner.catalog.state_queries import _BATCH, _FOLD
 from gleaner.functions.times import build_time_range
-from gleaner.operators import filters, folds, upsert
+from gleaner.operators import folds
 from gleaner.session import shared_folder
 from gleaner.streaming import incremental
 
@@ -85,19 +85,54 @@ def streamed_stage_counts(spark, sf):
     return spark.read.parquet(f"{folder}/counts").select("window_start", "stage", "status", "n")
 
 
+_PARTS = 4
+
+
+def _discovery_run(spark, sf, purpose):
+    """Counters of a streamed discovery: micro-batch ``b`` has the sightings whose ordinal leaves ``b`` when divided by four."""
+    folder = shared_folder(spark, purpose)
+    since, until = build_time_range("2024-03-20")
+    incremental.start_snapshots(t.known_pages(spark, sf), folder)
+    seen = t.sightings(spark, sf).withColumn("seen_at", F.lit("2025-01-01").cast("timestamp"))
+    states = t.read(spark, sf, "supplier").select(
+        t.pick(["success", "failed", "not_modified", "success"], F.col("s_suppkey") % 4).alias("last_status")
+    )
+    logs = t.fetches(spark, sf), t.stage_history(spark, sf)
+    for part in range(_PARTS):
+        # all files that are new since the last run are one micro-batch
+        seen.filter(F.col("ordinal") % _PARTS == part).write.mode("append").parquet(f"{folder}/input")
+        stream = spark.readStream.schema(seen.schema).parquet(f"{folder}/input")
+        incremental.run_to_end(incremental.discovery_stream(stream, folder, since, until, *logs, states))
+    totals = [F.sum(name).alias(name) for name in ("found", "inserted", "queued_fetch", "skipped", "out_of_range")]
+    # sources are polled once in a run, so every batch tells the same of them
+    polled = [F.max(name).alias(name) for name in ("sources_failed", "sources_not_modified")]
+    return spark.read.parquet(f"{folder}/counters").agg(*totals, *polled)
+
+
 @query("""
     SELECT COUNT(*) AS found, COUNT(*) FILTER (WHERE published_at < TIMESTAMP '2024-03-20') AS out_of_range FROM sightings""")
 def streamed_discovery_counters(spark, sf):
     """Counters per micro-batch add up to those of one run."""
-    folder = shared_folder(spark, "streamed-counters")
-    since, until = build_time_range("2024-03-20")
-    stream = _as_stream(t.sightings(spark, sf).repartition(3, "ordinal"), folder)
-    nothing = t.known_pages(spark, sf).filter(F.lit(False))
-    no_logs = t.fetches(spark, sf).filter(F.lit(False)), t.stage_history(spark, sf).filter(F.lit(False))
+    return _discovery_run(spark, sf, "streamed-counters").select("found", "out_of_range")
 
-    def counters(batch):
-        return upsert.discovery_counters(filters.with_window_flag(batch, since, until), nothing, *no_logs)
 
-    incremental.run_to_end(incremental.counter_stream(stream, folder, counters))
-    runs = spark.read.parquet(f"{folder}/counters")
-    return runs.agg(F.sum("found").alias("found"), F.sum("out_of_range").alias("out_of_range"))
+# Batches are taken in order.  An entry inside the window is inserted by the first batch that has one of its address, unless
+# it was known from the start; later batches find it as a candidate under its new id.
+@query(f"""
+    WITH s AS (SELECT *, ordinal % {_PARTS} AS part, COALESCE(published_at < TIMESTAMP '2024-03-20', false) AS outside FROM sightings),
+         p AS (SELECT normalized_url, part, MIN(ordinal) AS ordinal FROM s WHERE NOT outside GROUP BY ALL),
+         fresh AS (SELECT normalized_url, MIN(part) AS part, arg_min(ordinal, part) AS ordinal FROM p
+                   WHERE normalized_url NOT IN (SELECT normalized_url FROM known_pages) GROUP BY normalized_url),
+         ids AS (SELECT normalized_url, id, status, -1 AS part FROM known_pages UNION ALL
+                 SELECT normalized_url, (SELECT COALESCE(MAX(id), 0) FROM known_pages) + ROW_NUMBER() OVER (ORDER BY part, ordinal), 'candidate', part
+                 FROM fresh),
+         queued AS (SELECT COUNT(*) AS n FROM p JOIN ids USING (normalized_url) WHERE p.part = ids.part OR (status = 'candidate'
+              AND id NOT IN (SELECT article_id FROM fetches WHERE status = 'success')
+              AND id NOT IN (SELECT article_id FROM stage_history WHERE stage = 'fetch' AND status IN ('queued', 'running'))))
+    SELECT COUNT(*) AS found, (SELECT COUNT(*) FROM fresh) AS inserted, (SELECT n FROM queued) AS queued_fetch,
+           COUNT(*) - (SELECT COUNT(*) FROM fresh) AS skipped, COUNT(*) FILTER (WHERE outside) AS out_of_range,
+           (SELECT COUNT(*) FROM sources WHERE k % 4 = 1) AS sources_failed, (SELECT COUNT(*) FROM sources WHERE k % 4 = 2) AS sources_not_modified
+    FROM s""")
+def streamed_discovery_run(spark, sf):
+    """All counters of a streamed discovery run."""
+    return _discovery_run(spark, sf, "streamed-discovery")

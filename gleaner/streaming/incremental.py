@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from gleaner.functions.times import in_range
+from gleaner.operators.filters import with_window_flag
 from gleaner.operators.folds import fold_state
-from gleaner.operators.upsert import upsert_candidates
+from gleaner.operators.upsert import discovery_counters, upsert_candidates
 from gleaner.session import drop_folder
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
@@ -35,13 +36,18 @@ def read_snapshot(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(snapshot_path(folder, version))
 
 
-def fold_stream(stream: DataFrame, folder: str, fold: Fold) -> DataStreamWriter:
-    """Fold every micro-batch into the snapshots of a folder."""
+def fold_stream(stream: DataFrame, folder: str, fold: Fold, counters: Fold | None = None) -> DataStreamWriter:
+    """Fold every micro-batch into the snapshots of a folder.
+
+    ``counters`` of the snapshot before a batch and the batch are written, one overwritten folder per batch.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
             before = read_snapshot(kept.sparkSession, folder, number)
+            if counters:
+                write_counters(counters(before, kept), folder, number)
             fold(before, kept).write.mode("overwrite").parquet(snapshot_path(folder, number + 1))
             if number:
                 drop_folder(kept.sparkSession, snapshot_path(folder, number - 1))
@@ -51,6 +57,25 @@ def fold_stream(stream: DataFrame, folder: str, fold: Fold) -> DataStreamWriter:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint")
 
 
+def discovery_stream(
+    entries: DataFrame, folder: str, since: Column | None, until: Column | None, fetches: DataFrame, history: DataFrame, states: DataFrame
+) -> DataStreamWriter:
+    """Incremental discovery as in ``upsert_stream``, with the counters of every micro-batch.
+
+    A batch is counted against the snapshot before it, so what an earlier batch
+    inserted is known and not inserted again.
+    """
+
+    def counters(before: DataFrame, batch: DataFrame) -> DataFrame:
+        return discovery_counters(with_window_flag(batch, since, until), before, fetches, history, states)
+
+    def fold(before: DataFrame, batch: DataFrame) -> DataFrame:
+        inside = batch.filter(in_range(F.col("published_at"), since, until))
+        return upsert_candidates(before, inside, batch.agg(F.max("seen_at")).scalar())
+
+    return fold_stream(entries, folder, fold, counters)
+
+
 def upsert_stream(
     entries: DataFrame,
     folder: str,
@@ -112,11 +137,15 @@ def stage_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 min
     )
 
 
+def write_counters(counters: DataFrame, folder: str, number: int) -> None:
+    counters.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/counters/run={number}")
+
+
 def counter_stream(stream: DataFrame, folder: str, counters: Callable[[DataFrame], DataFrame]) -> DataStreamWriter:
     """Counters of every micro-batch, one overwritten folder per batch."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        counters(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/counters/run={number}")
+        write_counters(counters(batch), folder, number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint")
 

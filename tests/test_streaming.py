@@ -51,6 +51,27 @@ def test_streamed_fold_and_replay(spark, tmp_path):
     assert look() == {1: ("candidate", 2, "f"), 2: ("accepted", 0, None)}
 
 
+def test_streamed_discovery_counts_against_earlier_batches(spark, tmp_path):
+    folder = str(tmp_path)
+    page = lambda i, at=None: dict(title=f"t{i}", url=f"https://e.com/{i}", published_at=at)
+    rows = [page(1), page(5), page(5), page(6), page(7, "2020-01-01T00:00:00"), page(5), page(7), page(2)]
+    whole = entries(spark, *rows).withColumn("seen_at", moment())
+    since, until = build_time_range("2026-01-01")
+    known = articles(spark, article(1, status="accepted"), article(2))
+    ddl = "article_id bigint, stage string, status string"
+    logs = frame(spark, "article_id bigint, status string", dict(article_id=2, status="success")), frame(
+        spark, ddl, dict(article_id=4, stage="fetch", status="running"))
+    states = frame(spark, "last_status string", *[dict(last_status=s) for s in ("failed", "not_modified", "failed", "success")])
+    incremental.start_snapshots(known, folder)
+    stream = stream_of(spark, folder, whole.filter("ordinal < 5"), whole.filter("ordinal >= 5"))
+    incremental.run_to_end(incremental.discovery_stream(stream, folder, since, until, *logs, states))
+    got = [tuple(r)[:7] for r in spark.read.parquet(f"{folder}/counters").orderBy("batch").collect()]
+    # 5 gets id 3 and stays queued; 6 gets id 4; 7 is outside at first
+    assert got == [(5, 2, 2, 3, 1, 2, 1), (3, 1, 2, 2, 0, 2, 1)]
+    ids = {r.normalized_url[-1]: r.id for r in incremental.latest_snapshot(spark, folder).collect()}
+    assert ids == {"1": 1, "2": 2, "5": 3, "6": 4, "7": 5}
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     # Spark judges lateness by the watermark that held before the previous
     # micro-batch, so the late row comes two batches after the one that passed it.
