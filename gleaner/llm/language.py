@@ -8,8 +8,9 @@ run of over ``LONGEST`` letters is scored in slices of that length.
 
 Training is expectation maximisation of the piece probabilities, run as Spark jobs
 on a bounded sample: about ``sample_rows`` labelled rows of each language (all rows
-where there are fewer), chosen by a hash of the text.  What reaches the driver are
-expected counts: vocabulary size times number of languages.
+where there are fewer), chosen by a hash of id and text, so that copies of a text under
+ids of their own are drawn one by one.  What reaches the driver are expected counts:
+vocabulary size times number of languages.
 
 Predictions read whole texts and nothing else.  The prior is uniform; ``score`` is
 the posterior of the language that is returned, and ties go to the first name.  A
@@ -129,16 +130,18 @@ class Model:
 
 def train(
     docs: DataFrame, text_column: str = "text", language_column: str = "lang", sample_rows: int = SAMPLE_ROWS,
-    path: str | None = None, steps: int = STEPS,
+    path: str | None = None, steps: int = STEPS, id_column: str = "doc_id",
 ) -> Model:
     """Fit the piece probabilities to the labelled rows of ``docs``."""
     path = path or default_path()
-    labelled = docs.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{language_column}`").alias("lang")).dropna()
+    labelled = docs.select(
+        F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{language_column}`").alias("lang")
+    ).dropna(subset=["text", "lang"])
     sizes = labelled.groupBy("lang").count()
-    # a hash of the text below the share that is wanted of its language
+    # a hash of id and text below the share that is wanted of its language
     share = F.lit(float(sample_rows)) / F.col("count") * (1 << 30)
     sample = written(
-        labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("text", "lang"), "labelled"
+        labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share).select("text", "lang"), "labelled"
     )
     languages = sorted(row.lang for row in sizes.select("lang").collect())
     vocabulary = pieces(path)

@@ -278,6 +278,16 @@ def test_language_edges(prepared):
     assert language.identify(asked.limit(0), model).count() == 0
 
 
+def test_training_sample_is_bounded_whatever_is_copied(prepared, monkeypatch):
+    seen = []
+    keep = language.written
+    monkeypatch.setattr(language, "written", lambda frame, purpose: seen.append(keep(frame, purpose)) or seen[-1])
+    for text in ("one two", "three four", "five six", "seven eight"):
+        rows = [(i, text, "en") for i in range(4000)]
+        language.train(prepared.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=400, steps=0)
+    assert all(250 < frame.count() < 550 for frame in seen) and len(seen) == 4
+
+
 # token files
 
 
