@@ -1,7 +1,7 @@
 """Streaming runs over files derived from the given tables.
 
-The input is written in several files first, so that each run takes several
-micro-batches; the streamed result must equal the batch result.
+The input is dealt into a few parts by rule.  Each is a micro-batch of as many files
+as the table has tasks; the streamed result must equal the batch result.
 """
 
 from __future__ import annotations
@@ -18,16 +18,17 @@ from gleaner.session import shared_folder
 from gleaner.streaming import incremental
 
 
-def _as_stream(frame, folder):
-    """Write a frame in four files and read them as a stream, one file at a time."""
-    frame.write.parquet(f"{folder}/input")
-    spark = frame.sparkSession
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+_PARTS = 4
 
 
-def _final(spark, folder, writer):
-    incremental.run_to_end(writer)
-    return incremental.latest_snapshot(spark, folder)
+def _run_in_parts(frame, part, folder, writer_of, parts=_PARTS):
+    """Write the rows whose ``part`` is 0, 1, ... one part after another, and stream each as one micro-batch."""
+    spark = frame.sparkSession
+    for number in range(parts):
+        # all files that are new since the last run are one micro-batch
+        frame.filter(part == number).write.mode("append").parquet(f"{folder}/input")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{folder}/input")
+        incremental.run_to_end(writer_of(stream))
 
 
 @query(f"""
@@ -39,9 +40,8 @@ def streamed_upsert(spark, sf):
     folder = shared_folder(spark, "streamed-upsert")
     incremental.start_snapshots(t.known_pages(spark, sf), folder)
     seen = t.sightings(spark, sf).withColumn("seen_at", F.lit("2025-01-01").cast("timestamp"))
-    stream = _as_stream(seen.repartition(4, "ordinal"), folder)
-    result = _final(spark, folder, incremental.upsert_stream(stream, folder))
-    return result.select("normalized_url", "title", "source_name", "published_at", "source_content")
+    _run_in_parts(seen, F.col("ordinal") % _PARTS, folder, lambda stream: incremental.upsert_stream(stream, folder))
+    return incremental.latest_snapshot(spark, folder).select("normalized_url", "title", "source_name", "published_at", "source_content")
 
 
 @query(f"""
@@ -65,10 +65,10 @@ def streamed_fold(spark, sf):
             none.alias("error"), "decision", F.lit(None).cast("timestamp").alias("published_at"),
         )
     )
-    # The events of an article are spread over the files, and files come in any order.
-    stream = _as_stream(events.repartition(4, F.xxhash64("id", "kind")), folder)
-    result = _final(spark, folder, incremental.fold_log_stream(stream, folder))
-    return result.select("id", "status", "retry_count", "published_at", "collected_at", "updated_at", "error")
+    # The events of an article are spread over the parts, in no order of time.
+    part = F.pmod(F.xxhash64("id", "kind"), F.lit(_PARTS))
+    _run_in_parts(events, part, folder, lambda stream: incremental.fold_log_stream(stream, folder))
+    return incremental.latest_snapshot(spark, folder).select("id", "status", "retry_count", "published_at", "collected_at", "updated_at", "error")
 
 
 @query(f"""
@@ -78,16 +78,15 @@ def streamed_fold(spark, sf):
 def streamed_stage_counts(spark, sf):
     folder = shared_folder(spark, "streamed-counts")
     history = t.stage_history(spark, sf).select("created_at", "stage", "status")
-    stream = _as_stream(history.coalesce(1), folder)
-    writer = incremental.stage_counts(stream).writeStream.format("parquet").option(
-        "checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/counts").outputMode("append")
-    incremental.run_to_end(writer)
+    # Two parts, the earlier half of the time first, so that no row is late.
+    micros = F.unix_micros("created_at")
+    middle = history.agg(((F.min(micros) + F.max(micros)) / 2).alias("middle")).first().middle or 0.0
+    _run_in_parts(history, (micros > F.lit(middle)).cast("int"), folder, lambda stream: incremental.stage_counts(
+        stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option(
+        "path", f"{folder}/counts").outputMode("append"), parts=2)
     return spark.read.parquet(f"{folder}/counts").select("window_start", "stage", "status", "n")
 
 
-_PARTS = 4
-
-
 def _discovery_run(spark, sf, purpose):
     """Counters of a streamed discovery: micro-batch ``b`` has the sightings whose ordinal leaves ``b`` when divided by four."""
     folder = shared_folder(spark, purpose)
@@ -98,11 +97,8 @@ def _discovery_run(spark, sf, purpose):
         t.pick(["success", "failed", "not_modified", "success"], F.col("s_suppkey") % 4).alias("last_status")
     )
     logs = t.fetches(spark, sf), t.stage_history(spark, sf)
-    for part in range(_PARTS):
-        # all files that are new since the last run are one micro-batch
-        seen.filter(F.col("ordinal") % _PARTS == part).write.mode("append").parquet(f"{folder}/input")
-        stream = spark.readStream.schema(seen.schema).parquet(f"{folder}/input")
-        incremental.run_to_end(incremental.discovery_stream(stream, folder, since, until, *logs, states))
+    _run_in_parts(seen, F.col("ordinal") % _PARTS, folder, lambda stream: incremental.discovery_stream(
+        stream, folder, since, until, *logs, states))
     totals = [F.sum(name).alias(name) for name in ("found", "inserted", "queued_fetch", "skipped", "out_of_range")]
     # sources are polled once in a run, so every batch tells the same of them
     polled = [F.max(name).alias(name) for name in ("sources_failed", "sources_not_modified")]

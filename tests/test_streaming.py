@@ -1,6 +1,8 @@
 from helpers import article, articles, entries, frame, moment, shown
 from pyspark.sql import functions as F
 
+from gleaner import catalog
+from gleaner.catalog import stream_queries
 from gleaner.functions.times import build_time_range
 from gleaner.operators import filters, folds, upsert
 from gleaner.streaming import incremental
@@ -88,6 +90,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got == {"2026-01-01T00:00:00": 2, "2026-01-01T03:00:00": 2}
 
 
+def test_streamed_stage_counts_write_with_many_tasks(spark, tmp_path, monkeypatch):
+    schema = "created_at timestamp, stage string, status string"
+    rows = [dict(created_at=f"2026-01-01T{i // 60:02}:{i % 60:02}:00", stage="fetch", status="failed") for i in range(600)]
+    history = frame(spark, schema, *rows).repartition(6)
+    monkeypatch.setattr(stream_queries.t, "stage_history", lambda spark, sf: history)
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda spark, purpose: str(tmp_path))
+    got = catalog.queries()["streamed_stage_counts"](spark, "").collect()
+    assert len(list(tmp_path.glob("input/part-*"))) == 12
+    assert sorted(r.n for r in got) == [60] * 9
+
+
 def test_late_log_rows_do_not_win(spark):
     log = [("evaluation", 1, "2026-02-02T00:00:00", None, "accept", None), ("evaluation", 2, "2026-01-01T00:00:00", None, "reject", None),
            ("fetch", 3, "2026-02-03T00:00:00", "success", None, "2026-01-05T00:00:00"), ("fetch", 4, "2026-01-02T00:00:00", "failed", None, None),
