@@ -136,3 +136,32 @@ class Remembered:
         rows = np.searchsorted(self.keys, keys)[inverse]
         counts = self.counts[rows]
         return self.flat[ranges(self.begins[rows], counts)], counts
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 on in groups of seven bits, the last group below 128, and how many bytes each takes."""
+    values = np.asarray(values, np.int64)
+    sizes = np.ones(len(values), np.int64)
+    rest = values >> 7
+    while rest.any():
+        sizes += rest > 0
+        rest = rest >> 7
+    out = np.empty(int(sizes.sum()), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    for step in range(int(sizes.max(initial=0))):
+        chosen = np.flatnonzero(sizes > step)
+        more = (sizes[chosen] > step + 1).astype(np.int64) << 7
+        out[begins[chosen] + step] = (values[chosen] >> (7 * step)) & 127 | more
+    return out, sizes
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    """The numbers of ``varints``."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    stops = np.flatnonzero(raw < 128)
+    begins = np.concatenate([[0], stops[:-1] + 1])[: len(stops)]
+    values = raw[stops].copy()
+    for step in range(1, int((stops - begins).max(initial=0)) + 1):
+        chosen = np.flatnonzero(stops - begins >= step)
+        values[chosen] = values[chosen] << 7 | raw[stops[chosen] - step] & 127
+    return values

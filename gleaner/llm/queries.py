@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, language, near_dedup, secret_scan, sentence_pieces, sharding, token_files, url_filter, warc
+from gleaner.llm import (
+    byte_pairs, decontaminate, exact_dedup, language, near_dedup, periodic_runs, secret_scan, sentence_pieces, sharding, token_files, url_filter,
+    warc,
+)
 from gleaner.llm.common import prepared
 from gleaner.session import shared_folder
 
@@ -273,3 +276,38 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     addresses = pages.select("page_id", parts["host"].alias("host"), parts["path"].alias("path"))
     changes = spark.sql(_CHANGES.replace("addresses", "{addresses}"), addresses=addresses)
     return url_filter.judge(pages, changes).select("page_id", "blocked", "n_entries", "lists")
+
+
+@_query()
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_pairs.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids",
+    )
+    return byte_pairs.decode(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# In one document of ten the words from some place on repeat with a period that doc_id tells.
+_CONTINUED = r"""
+    CASE WHEN crc32(cast(doc_id AS string)) % 10 = 0 THEN
+        transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)), words ->
+            transform(array(named_struct('g', crc32(cast(doc_id AS string)) div 10, 'n', greatest(size(words), 1))), v ->
+                transform(array(named_struct('a', v.g % v.n, 'p', 1 + (v.n - v.g % v.n) div (3 + v.g % 8))), w ->
+                    array_join(transform(words, (word, i) -> IF(i < w.a, word, get(words, cast(w.a + (i - w.a) % w.p AS int)))), ' ')
+                )[0])[0])[0]
+    ELSE text END
+"""
+
+
+@_query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_CONTINUED).alias("text"))
+    found = periodic_runs.periodic_runs(docs).drop("text")
+    # the longest run, the first of equals
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.array_join(listed, "").alias("lines")).select(
+        "doc_id", "n_runs", (-F.col("top.col2")).alias("start"), F.col("top.length"), (-F.col("top.col3")).alias("period"),
+        F.expr("1000 * top.length div -top.col3").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
