@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    byte_pairs, decontaminate, exact_dedup, language, near_dedup, periodic_runs, secret_scan, sentence_pieces, sharding, token_files, url_filter,
+    byte_pairs, conversation_trie, decontaminate, exact_dedup, language, near_dedup, periodic_runs, secret_scan, sentence_pieces, sharding, token_files, url_filter,
     warc,
 )
-from gleaner.llm.common import prepared
-from gleaner.session import shared_folder
+from gleaner.llm.common import prepared, with_group_facts
+from gleaner.session import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,12 +57,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # CRC-32 in SQL: the table of 256 remainders is made by rule, then folded over the bytes
-_CRC_SQL = """
+_REMAINDERS_SQL = """
     remainders AS (
         SELECT list(r ORDER BY i) AS t
         FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
                      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) s(i))
     ),
+"""
+_CRC_SQL = f"""
+    {_REMAINDERS_SQL}
     sums AS (
         SELECT text, xor(4294967295, list_reduce(
                    list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::BIGINT)),
@@ -311,3 +314,64 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * top.length div -top.col3").alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _with_heads(own: DataFrame) -> DataFrame:
+    """Every conversation c as the first turns of conversation c - c % 20 and its own turns after as many; its id tells how many."""
+    heads = own.filter("conv_id % 20 = 0 AND position < 3").groupBy(F.col("conv_id").alias("base")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "digest", "words"))).alias("head")
+    )
+    told = own.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base", "left").select(
+        "conv_id", "n", F.expr("cast(crc32(cast(conv_id AS string)) % 4 AS int) AS h"), "head"
+    )
+    told = told.withColumn("head", F.coalesce(F.expr("slice(head, 1, h)"), F.expr("slice(array(named_struct('position', 0L, 'digest', X'', 'words', 0L)), 1, 0)")))
+    facts = told.select("conv_id", "n", "h", F.size("head").alias("m"))
+    rest = with_group_facts(own, facts, "conv_id", "n", own.count()).filter("position >= h").select(
+        "conv_id", F.expr("position - h + m AS position"), "digest", "words"
+    )
+    return told.select("conv_id", F.inline("head")).unionByName(rest)
+
+
+@_query(rf"""
+    WITH RECURSIVE {_REMAINDERS_SQL}
+    placed AS (
+        SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), digest) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    ids AS (
+        SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+                   list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda b: ('0x' || b)::BIGINT)),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM placed), remainders
+    ),
+    heads AS (SELECT i.conv_id, p.pos, p.digest, p.text FROM ids i JOIN placed p ON p.conv_id = i.base AND p.pos < i.h),
+    rebuilt AS (
+        SELECT * FROM heads UNION ALL
+        SELECT i.conv_id, p.pos - i.h + coalesce(m, 0), p.digest, p.text
+        FROM ids i JOIN placed p ON p.conv_id = i.conv_id AND p.pos >= i.h LEFT JOIN (SELECT conv_id, count(*) AS m FROM heads GROUP BY ALL) s ON s.conv_id = i.conv_id
+    ),
+    prefixes AS (
+        SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS words FROM ids UNION ALL
+        SELECT conv_id, pos + 1, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM rebuilt
+    ),
+    nodes AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM prefixes GROUP BY prefix, depth),
+    ups AS (SELECT n.*, p.prefix AS parent FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+    fans AS (SELECT parent AS prefix, count(*) AS n_children FROM ups WHERE parent IS NOT NULL GROUP BY parent),
+    below AS (
+        SELECT p.prefix, count(*) FILTER (f.prefix IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens
+        FROM nodes v LEFT JOIN fans f USING (prefix) JOIN prefixes p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.prefix
+    ),
+    ends AS (
+        SELECT prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+        FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS length FROM prefixes) WHERE depth = length GROUP BY prefix
+    )
+    SELECT u.conv_id, u.depth, up.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+           coalesce(ends_sha256, sha256('')) AS ends_sha256
+    FROM ups u LEFT JOIN nodes up ON up.prefix = u.parent LEFT JOIN fans f ON f.prefix = u.prefix
+         JOIN below b ON b.prefix = u.prefix LEFT JOIN ends e ON e.prefix = u.prefix
+""")
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.turns(_table(spark, sf_dir, "conversations"))
+    rebuilt = written(_with_heads(own), "rebuilt-turns")
+    return conversation_trie.trie(rebuilt, own.select("conv_id").distinct())

@@ -7,7 +7,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-TABLES = ["documents", "pages", "benchmark", "labels", "events"]
+TABLES = ["documents", "pages", "benchmark", "labels", "events", "conversations"]
 
 
 def compare(spark, name, folder):
