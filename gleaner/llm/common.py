@@ -34,15 +34,15 @@ def own_name(frame: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, least: int = 1_000) -> DataFrame:
     """Inner join of rows with the facts of their group, whatever the sizes of groups.
 
-    Groups of over ``total / 10,000`` rows (1,000 at least) number 10,000 at most,
+    Groups of over ``total / 10,000`` rows (``least`` at least) number 10,000 at most,
     so their facts are broadcast and their rows stay where they are.  The rows of
     the others meet them in a shuffle in which no key has more rows than that.
     ``groups`` has a row per key and counts the rows of each in ``size``.
     """
-    most = max(1_000, total // 10_000)
+    most = max(least, total // 10_000)
     rows, names = rows.alias("r"), [name for name in groups.columns if name != key]
     large = groups.filter(F.col(size) > most).alias("g")
     tagged = rows.join(F.broadcast(large), F.col(f"r.{key}") == F.col(f"g.{key}"), "left")
