@@ -177,7 +177,7 @@ def sitemap_tables(spark, sf):
         leaf.alias("url"), _urlset(F.col("url")).alias("body")
     )
 
-    def listed(size):
+    def listed(size, pages=pages):
         return pages.groupBy(F.floor(F.col("page_id") / size).alias("g")).agg(
             F.transform(F.array_sort(F.collect_list("page_id")), lambda p: F.concat(F.lit("leaf-"), p.cast("string"))).alias("names")
         )
@@ -196,33 +196,43 @@ def sitemap_tables(spark, sf):
     tens = listed(10)
     root = F.when(shape == 1, _index(one("mid-"))).when(shape == 3, _index(one("a-"))).otherwise(_index(F.col("names")))
     roots = tens.select(F.concat(F.lit("root-"), g).alias("url"), root.alias("body"))
-    wide = listed(100).select(F.concat(F.lit("wide-"), g).alias("url"), _index(F.col("names")).alias("body"))
+    # every other wide tree lists only what is there
+    gone = (F.floor(F.col("page_id") / 100) % 2 == 1) & (group % 4 == 2) & (F.col("page_id") % 10 == 3)
+    wide = listed(100, pages.filter(~gone)).select(F.concat(F.lit("wide-"), g).alias("url"), _index(F.col("names")).alias("body"))
     documents = leaves.unionByName(tens.select(F.explode(below).alias("d")).select("d.*"))
     sources = roots.unionByName(wide).select(F.concat(F.lit("source-"), "url").alias("source_name"), "url", "body")
     return sources, documents
 
 
-@query("""
+_WIDE = """
+    listed AS (SELECT page_id, url, page_id // 100 AS w, (page_id // 10) % 4 = 2 AND page_id % 10 = 3 AS gone FROM pages),
+    wide AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY w ORDER BY page_id) AS visit FROM listed WHERE NOT (w % 2 = 1 AND gone)),
+    ends AS (SELECT w, MIN(visit) FILTER (WHERE gone AND visit <= 32) AS lost, MIN(page_id) FILTER (WHERE gone) AS page, COUNT(*) AS n FROM wide GROUP BY w)
+"""
+
+
+@query(f"""
+    WITH {_WIDE}
     SELECT 'source-root-' || (page_id // 10) AS source_name,
            CAST(page_id % 10 + CASE WHEN (page_id // 10) % 4 = 1 THEN 2 ELSE 1 END AS INTEGER) AS visit, url
     FROM pages WHERE (page_id // 10) % 4 < 2
     UNION ALL
-    SELECT 'source-wide-' || (page_id // 100), CAST(page_id % 100 + 1 AS INTEGER), url
-    FROM pages p WHERE (SELECT COUNT(*) FROM pages q WHERE q.page_id // 100 = p.page_id // 100) < 32
-      AND NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id // 100 = p.page_id // 100 AND (q.page_id // 10) % 4 = 2 AND q.page_id % 10 = 3)""")
+    SELECT 'source-wide-' || w, CAST(visit AS INTEGER), url FROM wide JOIN ends USING (w) WHERE lost IS NULL AND n < 32""")
 def sitemap_expansion(spark, sf):
     entries, _ = sitemaps.expand_sitemaps(*sitemap_tables(spark, sf))
     return entries.select("source_name", "visit", "url")
 
 
-@query("""
+@query(f"""
+    WITH {_WIDE}
     SELECT 'source-root-' || g AS source_name,
            CASE g % 4 WHEN 2 THEN 'sitemap document not found: leaf-' || (g * 10 + 3)
                       ELSE 'sitemap nesting too deep: leaf-' || (g * 10) END AS error
     FROM (SELECT DISTINCT page_id // 10 AS g FROM pages) t
     WHERE g % 4 = 3 OR (g % 4 = 2 AND EXISTS (SELECT 1 FROM pages WHERE page_id = g * 10 + 3))
     UNION ALL
-    SELECT 'source-wide-' || (page_id // 100), 'sitemap expansion limit exceeded' FROM pages GROUP BY page_id // 100 HAVING COUNT(*) > 31""")
+    SELECT 'source-wide-' || w, CASE WHEN lost IS NULL THEN 'sitemap expansion limit exceeded' ELSE 'sitemap document not found: leaf-' || page END
+    FROM ends WHERE lost IS NOT NULL OR n > 31""")
 def sitemap_failures(spark, sf):
     _, failed = sitemaps.expand_sitemaps(*sitemap_tables(spark, sf))
     return failed

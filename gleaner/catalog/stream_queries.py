@@ -38,7 +38,7 @@ def _run_in_parts(frame, part, folder, writer_of, parts=_PARTS):
     FROM batch b LEFT JOIN known_pages k USING (normalized_url)""")
 def streamed_upsert(spark, sf):
     folder = shared_folder(spark, "streamed-upsert")
-    incremental.start_snapshots(t.known_pages(spark, sf), folder)
+    incremental.start_snapshots(t.known_pages(spark, sf), folder, "normalized_url")
     seen = t.sightings(spark, sf).withColumn("seen_at", F.lit("2025-01-01").cast("timestamp"))
     _run_in_parts(seen, F.col("ordinal") % _PARTS, folder, lambda stream: incremental.upsert_stream(stream, folder))
     return incremental.latest_snapshot(spark, folder).select("normalized_url", "title", "source_name", "published_at", "source_content")
@@ -54,7 +54,7 @@ def streamed_upsert(spark, sf):
     FROM fold""")
 def streamed_fold(spark, sf):
     folder = shared_folder(spark, "streamed-fold")
-    incremental.start_snapshots(folds.with_marks(t.articles(spark, sf)), folder)
+    incremental.start_snapshots(folds.with_marks(t.articles(spark, sf)), folder, "id", folds.FOLDED)
     none = F.lit(None).cast("string")
     events = t.fetches(spark, sf).select(
         F.lit("fetch").alias("kind"), "id", "article_id", F.col("fetched_at").alias("at"), "status", "error",
@@ -68,7 +68,7 @@ def streamed_fold(spark, sf):
     # The events of an article are spread over the parts, in no order of time.
     part = F.pmod(F.xxhash64("id", "kind"), F.lit(_PARTS))
     _run_in_parts(events, part, folder, lambda stream: incremental.fold_log_stream(stream, folder))
-    return incremental.latest_snapshot(spark, folder).select("id", "status", "retry_count", "published_at", "collected_at", "updated_at", "error")
+    return incremental.latest_snapshot(spark, folder, changing_only=True).select("id", "status", "retry_count", "published_at", "collected_at", "updated_at", "error")
 
 
 @query(f"""
@@ -91,7 +91,7 @@ def _discovery_run(spark, sf, purpose):
     """Counters of a streamed discovery: micro-batch ``b`` has the sightings whose ordinal leaves ``b`` when divided by four."""
     folder = shared_folder(spark, purpose)
     since, until = build_time_range("2024-03-20")
-    incremental.start_snapshots(t.known_pages(spark, sf), folder)
+    incremental.start_snapshots(t.known_pages(spark, sf), folder, "normalized_url")
     seen = t.sightings(spark, sf).withColumn("seen_at", F.lit("2025-01-01").cast("timestamp"))
     states = t.read(spark, sf, "supplier").select(
         t.pick(["success", "failed", "not_modified", "success"], F.col("s_suppkey") % 4).alias("last_status")

@@ -81,6 +81,9 @@ def fold_events(
 _SEQ = "struct<at:timestamp,rank:int,id:bigint>"
 _MARKS = ("last_event", "status_seq", "error_seq", "last_accept", "published_seq")
 
+# columns that folding may change, with the marks
+FOLDED = ("status", "retry_count", "published_at", "collected_at", "updated_at", "error", "marks")
+
 
 def with_marks(articles: DataFrame) -> DataFrame:
     """A snapshot that remembers which log rows decided its values (column ``marks``).

@@ -74,9 +74,13 @@ def unseen(batch: DataFrame, articles: DataFrame) -> DataFrame:
     return batch.join(matched, "normalized_url", "left_anti")
 
 
-def new_articles(batch: DataFrame, articles: DataFrame, as_of: Column, id_base: Column) -> DataFrame:
-    """Rows to insert.  Ids follow the order of sighting from ``id_base + 1`` on, without gaps."""
-    fresh = numbered(assign_slugs(unseen(batch, articles), articles), ["ordinal"], id_base)
+def new_articles(batch: DataFrame, articles: DataFrame, as_of: Column, id_base: Column, taken: DataFrame | None = None) -> DataFrame:
+    """Rows to insert.  Ids follow the order of sighting from ``id_base + 1`` on, without gaps.
+
+    ``taken`` has the slugs in use; without it they are those of ``articles``.
+    """
+    slugs = articles if taken is None else taken
+    fresh = numbered(assign_slugs(unseen(batch, articles), slugs), ["ordinal"], id_base)
     return fresh.select(
         "id",
         "source_name", "title", "url", "normalized_url", "slug",
@@ -116,19 +120,37 @@ def fill_known(articles: DataFrame, batch: DataFrame, as_of: Column) -> DataFram
     return joined.select(*[changed.get(name, F.col(name)).alias(name) for name in articles.columns])
 
 
-def upsert_candidates(articles: DataFrame, entries: DataFrame, as_of: Column) -> DataFrame:
-    """The new snapshot after a batch of entries (already inside the window).
+def folded_entries(entries: DataFrame) -> DataFrame:
+    """The folded batch with its base slugs.
 
-    The folded batch is written once, because filling and inserting both need
-    it; its true size then also decides whether it is broadcast.
+    It is written once, because filling and inserting both need it; its true size
+    then also decides whether it is broadcast.
     """
     base = title_slug(F.col("source_name"), F.col("title"))
-    batch = written(fold_batch(entries).withColumn("base", base), "folded-batch")
-    top_id = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    fresh = new_articles(batch, articles, as_of, top_id)
+    return written(fold_batch(entries).withColumn("base", base), "folded-batch")
+
+
+def known_urls(entries: DataFrame) -> DataFrame:
+    """The distinct addresses of a batch."""
+    return entries.select(normalize_url(F.col("url")).alias("normalized_url")).distinct()
+
+
+def upsert_folded(articles: DataFrame, batch: DataFrame, as_of: Column, taken: DataFrame, top_id: Column) -> DataFrame:
+    """``articles`` after a folded batch, with the new ones.
+
+    Only articles of the batch's addresses have to be given, if ``taken`` has all
+    slugs in use that the batch may want and ``top_id`` is the largest id.
+    """
+    fresh = new_articles(batch, articles, as_of, top_id, taken)
     return fill_known(articles, batch, as_of).unionByName(fresh.select(*articles.columns))
 
 
+def upsert_candidates(articles: DataFrame, entries: DataFrame, as_of: Column) -> DataFrame:
+    """The new snapshot after a batch of entries (already inside the window)."""
+    top_id = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    return upsert_folded(articles, folded_entries(entries), as_of, articles, top_id)
+
+
 def repair_duplicates(articles: DataFrame) -> DataFrame:
     """Make stored URLs unique: rows after the first of a URL get ``#duplicate-<id>``.
 

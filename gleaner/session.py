@@ -69,6 +69,13 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def point_to(spark: SparkSession, pointer: str, target: str) -> None:
     """Make the small file ``pointer`` name ``target``, in one step for whoever reads it."""
     hadoop = spark._jvm.org.apache.hadoop.fs

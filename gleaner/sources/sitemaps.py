@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from gleaner.constants import MAX_SITEMAP_DEPTH, MAX_SITEMAP_FILES
 from gleaner.functions.charsets import with_body_text
 from gleaner.functions.text import non_blank
 from gleaner.functions.times import parse_datetime
+from gleaner.operators.ids import numbered
 from gleaner.session import written
 
 _SITEMAP = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string>>, _bad string"
@@ -55,106 +55,82 @@ def sitemap_entries(parsed: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _walk_order(steps: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first visiting order of one source's documents.
+def _documents_by_path(roots: DataFrame, pairs: DataFrame, max_depth: int, max_files: int | None) -> DataFrame:
+    """Every document a source reaches, with its place in the walk as a path.
 
-    A source reaches this only with at most ``MAX_SITEMAP_FILES`` documents, so
-    the group is small whatever the size of the data.
+    A path holds the positions of the links that lead to a document, so the order of
+    paths, a prefix first, is the order of a depth-first walk, and a document is first
+    met on the smallest of its paths without a circle.  Each level goes on from the
+    documents whose smallest path it found: a longer way round a circle is never
+    smaller than the way to where it closes.  One level beyond the limit is kept to
+    tell which source nests too deep.  What follows ``max_files`` others in the walk is
+    never reached and is cut before the shuffle.
     """
-    source = steps["source_name"].iloc[0]
-    root = _ROOT_KEY + source
-    problems = {row.url: row.problem for row in steps.itertuples() if isinstance(row.problem, str)}
-    listed = steps.dropna(subset=["child"]).sort_values(["url", "at"])
-    children = listed.groupby("url")["child"].agg(list).to_dict()
-
-    def problem(url: str, depth: int) -> str | None:
-        if problems.get(url) == "missing":
-            return f"sitemap document not found: {url}"
-        if depth > MAX_SITEMAP_DEPTH:
-            return f"sitemap nesting too deep: {url}"
-        return problems.get(url)
-
-    order, seen, error = [root], {root, steps["root_url"].iloc[0]}, problem(root, 0)
-    open_lists = [iter(children.get(root, []))]
-    while open_lists and error is None:
-        url = next((child for child in open_lists[-1] if child not in seen), None)
-        if url is None:
-            open_lists.pop()
-            continue
-        seen.add(url)
-        order.append(url)
-        error = problem(url, len(open_lists))
-        open_lists.append(iter(children.get(url, [])))
-    if error:
-        return pd.DataFrame({"source_name": [source], "url": [None], "visit": [None], "error": [error]})
-    return pd.DataFrame({"source_name": source, "url": order, "visit": range(len(order)), "error": None})
-
-
-_WALK = "source_name string, url string, visit int, error string"
-
-
-def expand_sitemaps(roots: DataFrame, documents: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    found = written(
+        roots.select("source_name", F.concat(F.lit(_ROOT_KEY), F.col("source_name")).alias("url"), F.col("url").alias("root_url"),
+                     F.array().cast("array<int>").alias("path")),
+        "sitemap-level",
+    )
+    in_order = Window.partitionBy("source_name").orderBy("path")
+    for depth in range(max_depth + 1):
+        level = (
+            found.filter(F.size("path") == depth).join(pairs, F.col("url") == F.col("parent"))
+            .filter(F.col("child") != F.col("root_url"))
+            .select("source_name", F.col("child").alias("url"), "root_url", F.concat("path", F.array("at")).alias("path"))
+        )
+        found = found.unionByName(level).groupBy("source_name", "url", "root_url").agg(F.min("path").alias("path"))
+        if max_files is not None:
+            found = found.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= max_files + 1).drop("n")
+        found = written(found, "sitemap-level")
+        if found.filter(F.size("path") == depth + 1).isEmpty():
+            break
+    return found.select("source_name", "url", "path")
+
+
+def expand_sitemaps(
+    roots: DataFrame, documents: DataFrame, *keep: str, max_depth: int = MAX_SITEMAP_DEPTH, max_files: int | None = MAX_SITEMAP_FILES
+) -> tuple[DataFrame, DataFrame]:
     """Expand sitemap indexes over a table of bodies.
 
     ``roots`` has ``source_name, url, body`` and the columns to ``keep``;
     ``documents`` has one ``body`` per ``url``.  Returns entries ``(source_name, visit, at,
     title, url, published_at)`` in visiting order, and ``(source_name, error)``
-    per failed source.  A source fails as a whole when it nests deeper than the
-    depth limit, needs more documents than the file limit (the root counts), or
-    names a document that is missing or unreadable.
+    per failed source.  A source fails as a whole at the first document of its walk that
+    is missing, lies deeper than ``max_depth`` below the root, comes after ``max_files``
+    others (the root counts; None for no limit) or can't be read, in this order of checks.
 
-    Bodies are parsed once and written as narrow rows.  The levels are joined breadth-first over narrow (parent, child) pairs.  A
-    level keeps at most one document above the file limit per source, which is
-    enough to know that the source fails; the row limit is applied before the
-    shuffle, so a huge index cannot fill one task.
+    Bodies are parsed once and written as narrow rows.  Documents are found level by
+    level over (parent, child) pairs and ordered by their paths in ranges, so a source
+    may have any number of them.
     """
     key = F.concat(F.lit(_ROOT_KEY), F.col("source_name"))
     bodies = documents.select("url", "body").unionByName(roots.select(key.alias("url"), "body"))
     known = written(parse_sitemaps(bodies).drop("body"), "sitemaps")
-    status = known.select(
-        "url", F.coalesce("parse_error", F.lit("")).alias("status")
-    )
     pairs = (
         known.filter(F.col("parse_error").isNull() & (F.col("root") == "sitemapindex"))
         .select(F.col("url").alias("parent"), F.posexplode("locations").alias("at", "node"))
         .groupBy("parent", non_blank(F.col("node.loc")).alias("child"))
         .agg(F.min("at").alias("at"))
     )
-    ranked = Window.partitionBy("source_name").orderBy("url")
-    level = roots.select("source_name", key.alias("url"), F.col("url").alias("root_url"))
-    found = level
-    for _ in range(MAX_SITEMAP_DEPTH + 1):
-        level = (
-            level.join(pairs, level.url == pairs.parent)
-            .filter(F.col("child") != F.col("root_url"))
-            .select("source_name", F.col("child").alias("url"), "root_url")
-            .distinct()
-            .withColumn("n", F.row_number().over(ranked))
-            .filter(F.col("n") <= MAX_SITEMAP_FILES + 1)
-            .drop("n")
-        )
-        found = found.unionByName(level)
-    found = written(found.distinct(), "sitemap-levels")
-    over = (
-        found.groupBy("source_name")
-        .count()
-        .filter(F.col("count") > MAX_SITEMAP_FILES)
-        .select("source_name", F.lit("sitemap expansion limit exceeded").alias("error"))
-    )
-    within = (
-        found.join(over, "source_name", "left_anti")
-        .join(status, "url", "left")
-        .select(
-            "source_name", "url", "root_url",
-            F.coalesce(F.nullif("status", F.lit("")), F.when(F.col("status").isNull(), F.lit("missing"))).alias("problem"),
-        )
+    pairs = written(pairs, "sitemap-links")
+    found = _documents_by_path(roots, pairs, max_depth, max_files)
+    placed = numbered(found, ["source_name", "path"], F.lit(-1), "place")
+    firsts = placed.groupBy("source_name").agg(F.min("place").alias("first"))
+    status = known.select("url", F.lit(True).alias("there"), "parse_error")
+    visit = (F.col("place") - F.col("first")).cast("int")
+    error = (
+        F.when(F.col("there").isNull(), F.concat(F.lit("sitemap document not found: "), F.col("url")))
+        .when(F.size("path") > max_depth, F.concat(F.lit("sitemap nesting too deep: "), F.col("url")))
+        .when(F.lit(False) if max_files is None else F.col("visit") >= max_files, F.lit("sitemap expansion limit exceeded"))
+        .otherwise(F.col("parse_error"))
     )
-    steps = within.join(pairs, within.url == pairs.parent, "left").select(
-        "source_name", "url", "root_url", "problem", "child", "at"
+    walked = (
+        placed.join(firsts, "source_name").select("source_name", "url", "path", visit.alias("visit"))
+        .join(status, "url", "left").select("source_name", "url", "visit", error.alias("error"))
     )
-    walked = steps.groupBy("source_name").applyInPandas(_walk_order, _WALK)
-    failed = walked.filter(F.col("error").isNotNull()).select("source_name", "error").unionByName(over)
-    visits = walked.filter(F.col("visit").isNotNull()).select("source_name", "url", "visit")
+    walked = written(walked, "sitemap-walk")
+    failed = walked.filter(F.col("error").isNotNull()).groupBy("source_name").agg(F.min_by("error", "visit").alias("error"))
+    visits = walked.join(failed, "source_name", "left_anti").select("source_name", "url", "visit")
     if keep:
         visits = visits.join(roots.select("source_name", *keep), "source_name")
     entries = sitemap_entries(

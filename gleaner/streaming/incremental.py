@@ -1,9 +1,9 @@
 """Incremental runs on Structured Streaming.
 
-State lives in numbered snapshots: micro-batch ``n`` reads snapshot ``n`` and
-writes snapshot ``n + 1``, overwriting it.  A batch that is replayed after a
-failure therefore reads what it read before and leaves the same result.  The two
-newest snapshots are kept.
+State is a table in hash buckets (``buckets``): micro-batch ``n`` reads the rows of
+its keys from version ``n`` and writes version ``n + 1``, of which only what it
+touches is new.  A batch that is replayed after a failure reads what it read before
+and leaves the same result.
 """
 
 from __future__ import annotations
@@ -17,44 +17,108 @@ from pyspark.sql.streaming import DataStreamWriter
 from gleaner.functions.times import in_range
 from gleaner.operators.filters import with_window_flag
 from gleaner.operators.folds import fold_state
-from gleaner.operators.upsert import discovery_counters, upsert_candidates
-from gleaner.session import drop_folder
+from gleaner.operators.upsert import discovery_counters, folded_entries, known_urls, upsert_folded
+from gleaner.session import path_exists
+from gleaner.streaming.buckets import BUCKETS, Buckets
 
-Fold = Callable[[DataFrame, DataFrame], DataFrame]
+Counters = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def snapshot_path(folder: str, version: int) -> str:
-    return f"{folder}/snapshot-{version}"
+def start_snapshots(
+    articles: DataFrame, folder: str, key: str | None = None, changing: tuple[str, ...] | None = None, buckets: int = BUCKETS
+) -> None:
+    """Write the state before the first micro-batch.
 
+    ``key`` is the column the stream finds articles by (``id`` for logs, ``normalized_url``
+    for entries), unique and never null; without it the first stream on the folder deals
+    the rows into buckets.  Columns that aren't ``changing`` are written once and apart,
+    so that batches don't carry them.
+    """
+    if changing:
+        articles.drop(*changing).write.mode("overwrite").parquet(f"{folder}/constant")
+        articles = articles.select(key, *changing)
+    if key:
+        Buckets.create(articles, f"{folder}/state", key, buckets, **_facts(articles))
+    else:
+        articles.write.mode("overwrite").parquet(f"{folder}/start")
+
+
+def _facts(articles: DataFrame) -> dict[str, int]:
+    return {"top_id": articles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]} if "id" in articles.columns else {}
 
-def start_snapshots(articles: DataFrame, folder: str) -> None:
-    """Write the state before the first micro-batch."""
-    articles.write.mode("overwrite").parquet(snapshot_path(folder, 0))
+
+def _prepared(spark: SparkSession, folder: str, key: str) -> None:
+    """Buckets for a stream that finds articles by ``key``."""
+    if path_exists(spark, f"{folder}/state/manifest-*"):
+        held = Buckets.latest(spark, f"{folder}/state").key
+        if held != key:
+            raise ValueError(f"the state in {folder} is kept by {held}, not by {key}")
+    else:
+        start_snapshots(spark.read.parquet(f"{folder}/start"), folder, key)
 
 
 def read_snapshot(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(snapshot_path(folder, version))
+    """The articles as the given number of micro-batches left them (the two newest versions are kept)."""
+    return _whole(spark, folder, Buckets.load(spark, f"{folder}/state", version))
 
 
-def fold_stream(stream: DataFrame, folder: str, fold: Fold, counters: Fold | None = None) -> DataStreamWriter:
-    """Fold every micro-batch into the snapshots of a folder.
+def latest_snapshot(spark: SparkSession, folder: str, changing_only: bool = False) -> DataFrame:
+    """The newest version that was written to its end, with its constant columns unless told otherwise."""
+    if not path_exists(spark, f"{folder}/state/manifest-*"):
+        return spark.read.parquet(f"{folder}/start")
+    state = Buckets.latest(spark, f"{folder}/state")
+    return state.rows() if changing_only else _whole(spark, folder, state)
 
-    ``counters`` of the snapshot before a batch and the batch are written, one overwritten folder per batch.
-    """
 
-    def apply(batch: DataFrame, number: int) -> None:
+def _whole(spark: SparkSession, folder: str, state: Buckets) -> DataFrame:
+    if not path_exists(spark, f"{folder}/constant"):
+        return state.rows()
+    return spark.read.parquet(f"{folder}/constant").join(state.rows(), state.key)
+
+
+def _each_batch(stream: DataFrame, folder: str, apply: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    def held(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
-            before = read_snapshot(kept.sparkSession, folder, number)
-            if counters:
-                write_counters(counters(before, kept), folder, number)
-            fold(before, kept).write.mode("overwrite").parquet(snapshot_path(folder, number + 1))
-            if number:
-                drop_folder(kept.sparkSession, snapshot_path(folder, number - 1))
+            apply(kept, number)
         finally:
             kept.unpersist()
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint")
+    return stream.writeStream.foreachBatch(held).option("checkpointLocation", f"{folder}/checkpoint")
+
+
+def _entry_stream(entries: DataFrame, folder: str, within: Callable[[DataFrame], DataFrame], counters: Counters | None = None) -> DataStreamWriter:
+    """Entries folded into articles by address; slugs in use are kept in buckets of their own."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state, slugs = Buckets.load(spark, f"{folder}/state", number), Buckets.load(spark, f"{folder}/slugs", number)
+        folded = folded_entries(within(batch))
+        touched = state.touched(folded)
+        before = state.having(folded, touched).persist()
+        if counters:
+            urls = known_urls(batch)
+            known = state.having(urls, state.touched(urls))
+            write_counters(counters(known, batch), folder, number)
+        bases = folded.select(F.col("base").alias("slug")).distinct()
+        taken = slugs.having(bases, slugs.touched(bases))
+        as_of = batch.agg(F.max("seen_at")).scalar()
+        after = upsert_folded(before, folded, as_of, taken, F.lit(state.facts["top_id"])).persist()
+        top = after.agg(F.max("id")).first()[0]
+        new = state.advanced(after, folded, touched, top_id=max(state.facts["top_id"], top or 0))
+        used = after.select("slug").distinct()
+        new_slugs = slugs.advanced(used, used, slugs.touched(used))
+        for one in (after, before):
+            one.unpersist()
+        for one in (new, new_slugs):
+            one.forget_before()
+
+    spark = entries.sparkSession
+    _prepared(spark, folder, "normalized_url")
+    if not path_exists(spark, f"{folder}/slugs/manifest-*"):
+        state = Buckets.load(spark, f"{folder}/state", 0)
+        Buckets.create(state.rows().select("slug").distinct(), f"{folder}/slugs", "slug", state.count)
+    return _each_batch(entries, folder, apply)
 
 
 def discovery_stream(
@@ -62,18 +126,14 @@ def discovery_stream(
 ) -> DataStreamWriter:
     """Incremental discovery as in ``upsert_stream``, with the counters of every micro-batch.
 
-    A batch is counted against the snapshot before it, so what an earlier batch
+    A batch is counted against the state before it, so what an earlier batch
     inserted is known and not inserted again.
     """
 
     def counters(before: DataFrame, batch: DataFrame) -> DataFrame:
         return discovery_counters(with_window_flag(batch, since, until), before, fetches, history, states)
 
-    def fold(before: DataFrame, batch: DataFrame) -> DataFrame:
-        inside = batch.filter(in_range(F.col("published_at"), since, until))
-        return upsert_candidates(before, inside, batch.agg(F.max("seen_at")).scalar())
-
-    return fold_stream(entries, folder, fold, counters)
+    return _entry_stream(entries, folder, lambda batch: batch.filter(in_range(F.col("published_at"), since, until)), counters)
 
 
 def upsert_stream(
@@ -83,7 +143,7 @@ def upsert_stream(
     until: Column | None = None,
     dedup_within: str | None = None,
 ) -> DataStreamWriter:
-    """Incremental discovery: entries with ``seen_at`` into article snapshots.
+    """Incremental discovery: entries with ``seen_at`` into articles.
 
     The upsert itself is exact over all time.  ``dedup_within`` additionally
     drops repeated identical entries that arrive within that time of each other,
@@ -98,30 +158,31 @@ def upsert_stream(
             .dropDuplicatesWithinWatermark(["_same", "url"])
             .drop("_same")
         )
-
-    def fold(before: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert_candidates(before, batch, batch.agg(F.max("seen_at")).scalar())
-
-    return fold_stream(inside, folder, fold)
+    return _entry_stream(inside, folder, lambda batch: batch)
 
 
 def fold_log_stream(events: DataFrame, folder: str) -> DataStreamWriter:
-    """Fetch and evaluation events (``kind`` fetch or evaluation) into article snapshots.
+    """Fetch and evaluation events (``kind`` fetch or evaluation) into article state.
 
-    The first snapshot has to come from ``with_marks``; then events may arrive in any
+    The first state has to come from ``with_marks``; then events may arrive in any
     order and in any batches.
     """
 
-    def fold(before: DataFrame, batch: DataFrame) -> DataFrame:
+    def apply(batch: DataFrame, number: int) -> None:
+        state = Buckets.load(batch.sparkSession, f"{folder}/state", number)
+        keys = batch.filter(F.col("article_id").isNotNull()).select(F.col("article_id").alias("id")).distinct()
+        touched = state.touched(keys)
         fetches = batch.filter("kind = 'fetch'").select(
             "id", "article_id", F.col("at").alias("fetched_at"), "status", "error", "published_at"
         )
         evaluations = batch.filter("kind = 'evaluation'").select(
             "id", "article_id", F.col("at").alias("evaluated_at"), "decision"
         )
-        return fold_state(before, fetches, evaluations)
+        after = fold_state(state.having(keys, touched), fetches, evaluations)
+        state.advanced(after, keys, touched).forget_before()
 
-    return fold_stream(events, folder, fold)
+    _prepared(events.sparkSession, folder, "id")
+    return _each_batch(events, folder, apply)
 
 
 def stage_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -153,10 +214,3 @@ def counter_stream(stream: DataFrame, folder: str, counters: Callable[[DataFrame
 def run_to_end(writer: DataStreamWriter) -> None:
     """Process all that is there, in as many micro-batches as it takes, and stop."""
     writer.trigger(availableNow=True).start().awaitTermination()
-
-
-def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest snapshot that was written to its end."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot-*/_SUCCESS")
-    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-    return read_snapshot(spark, folder, max(int(one.getPath().getParent().getName().rpartition("-")[2]) for one in found))

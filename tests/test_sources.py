@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from gleaner import schemas
@@ -110,6 +112,61 @@ def expand(spark, roots, documents):
     )
 
 
+def walk(documents, root, max_depth, max_files):
+    """The walk of one source, document by document."""
+    order, seen = [], {root}
+
+    def visit(url, depth):
+        if url not in documents:
+            raise ValueError(f"sitemap document not found: {url}")
+        if depth > max_depth:
+            raise ValueError(f"sitemap nesting too deep: {url}")
+        if len(order) >= max_files:
+            raise ValueError("sitemap expansion limit exceeded")
+        order.append(url)
+        for child in documents[url]:
+            if child not in seen:
+                seen.add(child)
+                visit(child, depth + 1)
+
+    try:
+        visit(root, 0)
+    except ValueError as error:
+        return str(error)
+    return [url for url in order if not documents[url]]
+
+
+def test_sitemap_walks_of_random_graphs(spark):
+    draw = random.Random(4)
+    names = [f"n{i}" for i in range(9)]
+    for max_depth, max_files in ((3, 32), (2, 5), (8, 9)):
+        graph = {name: [draw.choice([*names, "gone"] if draw.random() < 0.03 else names) for _ in range(draw.choice([0, 0, 1, 2, 3]))] for name in names}
+        bodies = [(n, index(*links) if links else urlset((f"https://e.com/{n}", None))) for n, links in graph.items()]
+        entries, failed = sitemaps.expand_sitemaps(
+            spark.createDataFrame([(f"s-{n}", n, dict(bodies)[n]) for n in names], "source_name string, url string, body string"),
+            spark.createDataFrame(bodies, "url string, body string"), max_depth=max_depth, max_files=max_files,
+        )
+        got = {r.source_name: r.error for r in failed.collect()}
+        for r in entries.orderBy("source_name", "visit").collect():
+            got.setdefault(r.source_name, []).append(r.url.rpartition("/")[2])
+        want = {f"s-{n}": walk(graph, n, max_depth, max_files) for n in names}
+        assert got == {source: told for source, told in want.items() if told}
+
+
+def test_a_source_of_very_many_documents(spark):
+    n = 100_000
+    links = spark.range(n).select(F.concat(F.lit("d"), F.format_string("%06d", "id")).alias("url"))
+    leaf = links.select("url", F.concat(F.lit("<urlset><url><loc>https://e.com/"), "url", F.lit("</loc></url></urlset>")).alias("body"))
+    whole = index(*[f"d{i:06}" for i in range(n)])
+    roots = spark.createDataFrame([("big", "big", whole), ("small", "d000007", urlset(("https://e.com/s", None)))], "source_name string, url string, body string")
+    entries, failed = sitemaps.expand_sitemaps(roots, leaf, max_files=None)
+    assert failed.count() == 0
+    facts = entries.groupBy("source_name").agg(F.count("*").alias("n"), F.sum((F.concat(F.lit("https://e.com/"), F.format_string("d%06d", F.col("visit") - 1)) == F.col("url")).cast("int")).alias("right"))
+    assert {r.source_name: (r.n, r.right) for r in facts.collect()} == {"big": (n, n), "small": (1, 0)}
+    _, failed = sitemaps.expand_sitemaps(roots, leaf, max_files=n)
+    assert [tuple(r) for r in failed.collect()] == [("big", "sitemap expansion limit exceeded")]
+
+
 def test_sitemaps(spark):
     documents = [
         ("r1", index("m1", "m2", "m1", "r1")), ("m1", urlset(("https://e.com/1", "2026-05-20"))),
