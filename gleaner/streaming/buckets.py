@@ -10,8 +10,7 @@ batch, not the table, and the files of untouched buckets stay as they are.
 Version ``n + 1`` is made from version ``n`` alone, and its manifest appears in one
 step after its rows: a batch that is replayed after a failure overwrites what it left
 and gives the same version.  The two newest versions are kept.  A manifest has one
-entry per bucket, so it is small whatever the table's size; give large tables more
-buckets (some hundred megabytes each).
+entry per bucket, and buckets number 65,536 at most, however large the table is.
 """
 
 from __future__ import annotations
@@ -25,11 +24,17 @@ from pyspark.sql import types as T
 
 from gleaner.session import drop_folder, point_to, pointed_to
 
-BUCKETS = 64
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 16
+BUCKET_ROWS = 100_000
 MOST_LAYERS = 8
 _SHARE = 4  # changes of a quarter of the base
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of some hundred thousand rows, within bounds."""
+    return min(max(rows // BUCKET_ROWS, LEAST_BUCKETS), MOST_BUCKETS)
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -48,8 +53,8 @@ class Buckets:
     facts: dict[str, int]  # small numbers that go with the version
 
     @classmethod
-    def create(cls, rows: DataFrame, folder: str, key: str, count: int = BUCKETS, **facts: int) -> Buckets:
-        """Write a table (unique in ``key``) as version 0."""
+    def create(cls, rows: DataFrame, folder: str, key: str, count: int, **facts: int) -> Buckets:
+        """Write a table (unique in ``key``, which is never null) as version 0."""
         new = cls(rows.sparkSession, folder, 0, key, count, rows.schema, {}, facts)
         new._write(rows)
         return new._published({bucket: [[0, n]] for bucket, n in new._sizes().items()}, facts)
@@ -84,12 +89,17 @@ class Buckets:
         """The rows of the given distinct keys."""
         return self.rows(set(touched)).join(keys.select(self.key), self.key, "left_semi")
 
-    def advanced(self, changed: DataFrame, keys: DataFrame, touched: dict[int, int], **facts: int) -> Buckets:
-        """The next version: ``changed`` has the new rows of (all or some of) the keys."""
-        due = {bucket for bucket, n in touched.items() if self._is_due(bucket, n)}
+    def before(self, keys: DataFrame, touched: dict[int, int]) -> DataFrame:
+        """The rows a batch with these distinct keys starts from: theirs, and all rows of buckets that will be written anew."""
+        due = self._due(touched)
+        whole, others = self.rows(due), {bucket: n for bucket, n in touched.items() if bucket not in due}
+        return whole.unionByName(self.having(keys, others)) if others else whole
+
+    def advanced(self, after: DataFrame, touched: dict[int, int], **facts: int) -> Buckets:
+        """The next version: what became of the rows of ``before``, and new rows."""
+        due = self._due(touched)
         new = replace(self, version=self.version + 1)
-        kept = self.rows(due).join(keys.select(self.key), self.key, "left_anti")
-        new._write(changed.select(*self.schema.names).unionByName(kept) if due else changed.select(*self.schema.names))
+        new._write(after.select(*self.schema.names))
         sizes, parts = new._sizes(), {}
         for bucket in {*self.parts, *sizes}:
             layers = [] if bucket in due else self.parts.get(bucket, [])
@@ -109,9 +119,14 @@ class Buckets:
                 drop_folder(self.spark, f"{self.folder}/rows/batch={batch}")
             drop_folder(self.spark, f"{self.folder}/manifest-{gone}")
 
-    def _is_due(self, bucket: int, more: int) -> bool:
-        layers = self.parts.get(bucket, [])
-        return bool(layers) and (len(layers) >= MOST_LAYERS or _SHARE * (more + sum(n for _, n in layers[1:])) >= layers[0][1])
+    def _due(self, touched: dict[int, int]) -> set[int]:
+        """Touched buckets whose changes would outgrow their share, so that they are written anew."""
+        due = set()
+        for bucket, more in touched.items():
+            layers = self.parts.get(bucket, [])
+            if layers and (len(layers) >= MOST_LAYERS or _SHARE * (more + sum(n for _, n in layers[1:])) >= layers[0][1]):
+                due.add(bucket)
+        return due
 
     def _write(self, rows: DataFrame) -> None:
         placed = rows.withColumn("bucket", bucket_of(F.col(self.key), self.count))

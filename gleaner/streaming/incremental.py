@@ -19,34 +19,31 @@ from gleaner.operators.filters import with_window_flag
 from gleaner.operators.folds import fold_state
 from gleaner.operators.upsert import discovery_counters, folded_entries, known_urls, upsert_folded
 from gleaner.session import path_exists
-from gleaner.streaming.buckets import BUCKETS, Buckets
+from gleaner.streaming.buckets import Buckets, buckets_for
 
 Counters = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def start_snapshots(
-    articles: DataFrame, folder: str, key: str | None = None, changing: tuple[str, ...] | None = None, buckets: int = BUCKETS
+    articles: DataFrame, folder: str, key: str | None = None, changing: tuple[str, ...] | None = None, buckets: int | None = None
 ) -> None:
     """Write the state before the first micro-batch.
 
     ``key`` is the column the stream finds articles by (``id`` for logs, ``normalized_url``
     for entries), unique and never null; without it the first stream on the folder deals
     the rows into buckets.  Columns that aren't ``changing`` are written once and apart,
-    so that batches don't carry them.
+    so that batches don't carry them.  The number of buckets follows the number of rows.
     """
     if changing:
         articles.drop(*changing).write.mode("overwrite").parquet(f"{folder}/constant")
         articles = articles.select(key, *changing)
     if key:
-        Buckets.create(articles, f"{folder}/state", key, buckets, **_facts(articles))
+        known = articles.agg(F.count("*"), F.coalesce(F.max("id"), F.lit(0))).first()
+        Buckets.create(articles, f"{folder}/state", key, buckets or buckets_for(known[0]), top_id=known[1])
     else:
         articles.write.mode("overwrite").parquet(f"{folder}/start")
 
 
-def _facts(articles: DataFrame) -> dict[str, int]:
-    return {"top_id": articles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]} if "id" in articles.columns else {}
-
-
 def _prepared(spark: SparkSession, folder: str, key: str) -> None:
     """Buckets for a stream that finds articles by ``key``."""
     if path_exists(spark, f"{folder}/state/manifest-*"):
@@ -95,7 +92,7 @@ def _entry_stream(entries: DataFrame, folder: str, within: Callable[[DataFrame],
         state, slugs = Buckets.load(spark, f"{folder}/state", number), Buckets.load(spark, f"{folder}/slugs", number)
         folded = folded_entries(within(batch))
         touched = state.touched(folded)
-        before = state.having(folded, touched).persist()
+        before = state.before(folded, touched).persist()
         if counters:
             urls = known_urls(batch)
             known = state.having(urls, state.touched(urls))
@@ -104,10 +101,11 @@ def _entry_stream(entries: DataFrame, folder: str, within: Callable[[DataFrame],
         taken = slugs.having(bases, slugs.touched(bases))
         as_of = batch.agg(F.max("seen_at")).scalar()
         after = upsert_folded(before, folded, as_of, taken, F.lit(state.facts["top_id"])).persist()
-        top = after.agg(F.max("id")).first()[0]
-        new = state.advanced(after, folded, touched, top_id=max(state.facts["top_id"], top or 0))
-        used = after.select("slug").distinct()
-        new_slugs = slugs.advanced(used, used, slugs.touched(used))
+        top = after.agg(F.max("id")).first()[0] or 0
+        new = state.advanced(after, touched, top_id=max(state.facts["top_id"], top))
+        used = after.filter(F.col("id") > state.facts["top_id"]).select("slug").distinct()
+        places = slugs.touched(used)
+        new_slugs = slugs.advanced(slugs.before(used, places).unionByName(used).distinct(), places)
         for one in (after, before):
             one.unpersist()
         for one in (new, new_slugs):
@@ -178,8 +176,8 @@ def fold_log_stream(events: DataFrame, folder: str) -> DataStreamWriter:
         evaluations = batch.filter("kind = 'evaluation'").select(
             "id", "article_id", F.col("at").alias("evaluated_at"), "decision"
         )
-        after = fold_state(state.having(keys, touched), fetches, evaluations)
-        state.advanced(after, keys, touched).forget_before()
+        after = fold_state(state.before(keys, touched), fetches, evaluations)
+        state.advanced(after, touched).forget_before()
 
     _prepared(events.sparkSession, folder, "id")
     return _each_batch(events, folder, apply)
