@@ -28,6 +28,7 @@ import base64
 import functools
 import heapq
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -124,6 +125,34 @@ def _merge_long(word: bytes, ranked: dict[bytes, int]) -> list[int]:
     return [ranked[word[i : stops[i]]] for i in range(count) if alive[i]]
 
 
+_LATIN = 0x240  # code points below it have a first byte below 0xC9 in UTF-8
+
+
+@functools.cache
+def _latin(pattern: str):
+    """The pattern for texts of code points below ``_LATIN`` alone, with its classes of letters written out, which
+    the standard library matches faster; None if it has escapes other than classes by property and blanks."""
+    import regex
+
+    def members(escape: str) -> str:
+        return "".join(re.escape(chr(point)) for point in range(_LATIN) if regex.match(escape, chr(point)))
+
+    out, inside = [], False
+    for part in re.split(r"(\\p\{\w+\}|\\.|\[\^?|\])", pattern):
+        if part.startswith("["):
+            inside = True
+        elif part == "]":
+            inside = False
+        elif part.startswith("\\p{") or part == r"\s":
+            part = members(part) if inside else f"[{members(part)}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{members(chr(92) + 's')}]"
+        elif part.startswith("\\"):
+            return None
+        out.append(part)
+    return re.compile("".join(out))
+
+
 class _Numbers(dict):
     """Numbers words by first occurrence."""
 
@@ -136,7 +165,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[in
     """Block by block: its id, whether it ends here, and a batch's rows, numbers of words and the state so far."""
     import regex
 
-    words_of = regex.compile(pattern).findall
+    any_text, latin = regex.compile(pattern), _latin(pattern)
     base, block = 0, 0
     numbers, seal, held = _Numbers(), 0, 0
     for batch in batches:
@@ -146,6 +175,8 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[in
         raw = data.tobytes()
         for start, stop in arrays.chunks(offsets):
             bounds = offsets[start : stop + 1].tolist()
+            plain = latin is not None and data[bounds[0] : bounds[-1]].max(initial=0) < 0xC9
+            words_of = (latin if plain else any_text).findall
             found = []
             for a, b in zip(bounds, bounds[1:]):
                 found.append(np.fromiter(map(numbers.__getitem__, words_of(raw[a:b].decode())), np.int64))

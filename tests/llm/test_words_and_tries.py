@@ -84,6 +84,19 @@ def test_ids_as_the_library_has_them(prepared, library, monkeypatch, parts, bloc
     assert sorted((repr(row.doc_id), bytes(row.decoded)) for row in decoded) == sorted((repr(r.doc_id), (r.text or "").encode()) for r in frame.collect())
 
 
+def test_the_latin_pattern_splits_alike():
+    import regex
+
+    pattern, draw = byte_pairs.default_pattern(), random.Random(3)
+    latin, plain = byte_pairs._latin(pattern), regex.compile(pattern)
+    every = [chr(point) for point in range(byte_pairs._LATIN)]
+    for letters in (every, list("aé'stvrel 12²\t\n\x1c\x85\xa0.-")):
+        for _ in range(400):
+            text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 60)))
+            assert latin.findall(text) == plain.findall(text)
+    assert byte_pairs._latin(r"\d+") is None and byte_pairs._latin(r"\w+|[^\S]") is None
+
+
 def test_words_are_encoded_once(prepared, monkeypatch):
     monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", 50)
     frame = prepared.createDataFrame([(i, "common word of all, and one" + str(i % 7) * 3) for i in range(400)], "doc_id long, text string").repartition(4)
