@@ -62,7 +62,7 @@ def test_review(spark):
         1: "approved", 2: "approved", 3: "approved", 4: "approved", 5: "rejected", 6: "pending"}
     words_after = {r.name: (r.id, r.slug, r.status) for r in out["vocabulary"].collect()}
     assert words_after == {"AI": (1, "ai", "active"), "Web": (2, "web", "active"), "Brand New": (3, "brand-new", "active")}
-    assert sorted((r.article_id, r.tag_id) for r in out["links"].collect()) == [(1, 2), (1, 4), (2, 3), (3, 1)]
+    assert sorted((r.article_id, r.tag_id) for r in out["links"].collect()) == [(1, 2), (1, 3), (2, 3), (3, 1)]
     assert [(r.candidate_id, r.error) for r in out["errors"].collect()] == [(6, "tag not found")]
 
 
