@@ -225,12 +225,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     folder = shared_folder(spark, "warc")
     warc.records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    back = spark.read.format("warc").load(folder)
-    whole = F.col("record_type") == "response"
-    return back.select(
-        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes",
-        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
+    page, first = warc.page_of(F.col("record_id")).alias("page_id"), warc.page_of(F.col("refers_to")).alias("refers_to")
+    whole = spark.read.format("warc").load(folder).filter("record_type = 'response'")
+    told = spark.read.format("warc").schema(
+        "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long"
+    ).load(folder).filter("record_type = 'revisit'")
+    return whole.select(page, "payload_bytes", F.sha2("payload", 256).alias("payload_digest"), "record_type", first).unionByName(
+        told.select(page, "payload_bytes", "payload_digest", "record_type", first)
     )
 
 

@@ -14,8 +14,10 @@ Writing takes the columns of ``SCHEMA`` it finds.  A task writes files of about
 ``FILE_BYTES`` under ``_temporary``; the commit moves the files of successful tasks
 to their place, so lost and repeated tasks leave nothing behind that is read.
 
-A null payload is an empty one.  A revisit has the headers of the response it
-stands for and no payload; its length is that of the HTTP header.  Line breaks in
+``payload_bytes`` is the length of a record's block without the HTTP header it may
+begin with, whatever columns are asked for.  A null payload is an empty one.  A revisit
+has the headers of the response it stands for and no payload; its length is the one
+its HTTP header tells.  Line breaks in
 header values become blanks; null headers are left out.  Columns the source does
 not know are ignored.
 """
@@ -38,6 +40,10 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from gleaner.llm import exact_dedup
+from gleaner.llm.common import with_group_facts
+from gleaner.session import written
+
 SCHEMA = (
     "record_type string, record_id string, target_uri string, warc_date string, refers_to string, "
     "payload_digest string, payload_bytes long, payload binary"
@@ -103,8 +109,8 @@ def _fields(head: bytes) -> dict[str, str]:
     }
 
 
-def parse_head(head: bytes) -> tuple[dict[str, str | None], int]:
-    """The header columns of a record and the length of its block."""
+def parse_head(head: bytes) -> tuple[dict[str, str | None], int, bool]:
+    """The header columns of a record, the length of its block, and whether that begins with an HTTP header."""
     fields = _fields(head)
     found: dict[str, str | None] = {column: fields.get(name.lower()) for column, name in HEADERS.items()}
     for column in ("record_id", "refers_to"):
@@ -112,7 +118,7 @@ def parse_head(head: bytes) -> tuple[dict[str, str | None], int]:
             found[column] = found[column].removeprefix("<").removesuffix(">")
     if found["payload_digest"]:
         found["payload_digest"] = found["payload_digest"].rpartition(":")[2]
-    return found, int(fields.get("content-length") or 0)
+    return found, int(fields.get("content-length") or 0), fields.get("content-type", "").startswith("application/http")
 
 
 class _Member:
@@ -160,7 +166,8 @@ class _Member:
         if self.length:
             return self.start + self.length
         self.whole()
-        return self.file.tell() - len(self.raw) - len(self.inflater.unused_data)
+        # what lies behind the member's end is in unused_data alone
+        return self.file.tell() - len(self.inflater.unused_data)
 
 
 def _passes(filters: list[Filter], found: dict[str, str | None]) -> bool:
@@ -243,20 +250,27 @@ class WarcReader(DataSourceReader):
             stop = one.upto(_END)
             if stop < 0:
                 raise ValueError(f"no WARC header at byte {start}")
-            found, length = parse_head(one.out[:stop])
+            found, length, is_http = parse_head(one.out[:stop])
             if _passes(self.filters, found):
-                body = stop + len(_END)
-                http = one.upto(_END, body) if "payload_bytes" in self.columns or "payload" in self.columns else -1
-                if http >= 0:
-                    told = _fields(one.out[body:http]).get("content-length")
-                    found["payload_bytes"] = int(told) if told else None
-                    if "payload" in self.columns and found["record_type"] != "revisit":
-                        found["payload"] = one.whole()[http + len(_END) : body + length]
-                        found["payload_bytes"] = len(found["payload"])
+                if "payload_bytes" in self.columns or "payload" in self.columns:
+                    self._add_payload(one, found, stop + len(_END), length, is_http)
                 yield found
             start = one.next_start()
 
 
+    def _add_payload(self, one: _Member, found: dict, body: int, length: int, is_http: bool) -> None:
+        """The block without its HTTP header is the payload; a revisit's is elsewhere, as long as its header says."""
+        http = one.upto(_END, body) if is_http else -1
+        begin = body if not is_http else http + len(_END) if 0 <= http <= body + length - len(_END) else body + length
+        if found["record_type"] == "revisit":
+            told = _fields(one.out[body:begin]).get("content-length", "")
+            found["payload_bytes"] = int(told) if told.isdigit() else None
+            return
+        found["payload_bytes"] = body + length - begin
+        if "payload" in self.columns:
+            found["payload"] = one.whole()[begin : body + length]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
@@ -333,19 +347,30 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """Records to write: of equal payloads of some size the smallest id is the response, others revisit it.
 
     Rows with one id and payload are each the response; a null id never is if
-    another id has the payload.  Groups of equal payloads are counted on digests
-    alone; the payloads meet the groups that have several rows.
+    another id has the payload.  Digests alone tell which payloads may repeat; only
+    the payloads of those that do, and of few others, are shuffled, and none of a
+    digest that very many pages share.
     """
-    rows = pages.select(
-        F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("target_uri"),
-        F.coalesce(F.col(f"`{html_column}`"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    repeated = (
-        rows.filter(F.col("payload_bytes") >= SMALLEST_REVISIT).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    def shaped(*names):
+        whole = F.coalesce(F.col(f"`{html_column}`"), F.lit("")).cast("binary")
+        found = pages.select(
+            F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("target_uri"), whole.alias("payload"),
+            F.sha2(whole, 256).alias("payload_digest"), F.octet_length(whole).cast("long").alias("payload_bytes"),
+        )
+        return found.select(*names) if names else found
+
+    narrow = written(shaped("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= SMALLEST_REVISIT), "payload-digests")
+    total = narrow.count()
+    blocks = exact_dedup.blocks_for(total)
+    bits = written(exact_dedup.repeated_bits(narrow, "payload_digest", blocks), "repeated-digests")
+    groups = exact_dedup.flagged(narrow, "payload_digest", bits, blocks, "maybe").filter("maybe").groupBy("payload_digest").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("members")
     )
-    met = rows.join(repeated, "payload_digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = exact_dedup.flagged(shaped(), "payload_digest", bits, blocks, "maybe")
+    rows = rows.withColumn("maybe", F.col("maybe") & (F.col("payload_bytes") >= SMALLEST_REVISIT))
+    alone = rows.filter("NOT maybe").withColumns({"first": F.col("page_id"), "members": F.lit(1).cast("long")})
+    met = alone.unionByName(with_group_facts(rows.filter("maybe"), groups, "payload_digest", "members", total))
+    again = (F.col("members") > 1) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
 
     def urn(value):
         return F.concat(F.lit("urn:page:"), F.coalesce(value.cast("string"), F.lit("none")))
