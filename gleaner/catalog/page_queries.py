@@ -9,7 +9,6 @@ from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
 from gleaner.functions.times import first_time, iso_z
 from gleaner.operators import page_dates, verdicts
-from gleaner.operators.latest import latest_rows
 
 # --- publication times -------------------------------------------------------------
 
@@ -142,8 +141,7 @@ def verdict_check(spark, sf):
              || chr(10) || chr(10) || '## Few-shot JSON examples' || chr(10) || chr(10) || '{"a": 1}' || chr(10) || chr(10) || '{"b": 2}') AS prompt_digest
     FROM base, vocab""")
 def evaluation_requests(spark, sf):
-    content = latest_rows(t.fetches(spark, sf), "article_id", F.col("status") == "success")
-    with_content, _ = verdicts.scorable(t.articles(spark, sf), content)
+    with_content, _ = verdicts.scorable(t.articles(spark, sf), t.fetches(spark, sf))
     prompt = verdicts.system_prompt("Judge.", t.vocabulary(spark, sf), ['{"a": 1}\n', '{"b": 2}'])
     requests = verdicts.with_messages(with_content, prompt)
     return requests.select(
@@ -221,9 +219,8 @@ def evaluation_counters(spark, sf):
 @query("""
     SELECT id, EXISTS (SELECT 1 FROM fetches f WHERE f.article_id = a.id AND f.status = 'success') AS scorable FROM articles a WHERE status = 'candidate'""")
 def scorable_articles(spark, sf):
-    content = latest_rows(t.fetches(spark, sf), "article_id", F.col("status") == "success")
     candidates = t.articles(spark, sf).filter("status = 'candidate'")
-    with_content, without = verdicts.scorable(candidates, content)
+    with_content, without = verdicts.scorable(candidates, t.fetches(spark, sf))
     return with_content.select("id", F.lit(True).alias("scorable")).unionByName(
         without.select("id", F.lit(False).alias("scorable"))
     )

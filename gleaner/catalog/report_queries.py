@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.catalog import tables as t
 from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
+from gleaner.functions.times import item_time
 from gleaner.operators import filters
-from gleaner.plans import listings, publishing, reports
+from gleaner.plans import listings, paging, publishing, reports
 from gleaner.session import shared_folder
 
 BASE_URL = "https://example.org"
@@ -102,6 +104,38 @@ def page_envelope(spark, sf):
     return envelope.select(ids.alias("ids"), "total", "page", "page_size", "has_next")
 
 
+def _behind(rows, keys, n):
+    """The cursor behind the first ``n`` rows."""
+    return paging.cursor_of(paging.cursor_page(rows, keys, n), keys)
+
+
+@query(f"""
+    SELECT ROW_NUMBER() OVER (ORDER BY p.published_at NULLS FIRST, p.id) AS position, id, title, published_at, fetch_status, evaluation_status
+    FROM ({_PAGE.format(where="true", order="a.published_at ASC NULLS FIRST, a.id ASC", limit=60, offset=500)}) p""")
+def article_cursor_page(spark, sf):
+    """The page after the first 500 articles by publication time, by cursor."""
+    articles, keys = t.articles(spark, sf), listings.listing_keys("published_at", "asc")
+    page = listings.article_page(
+        articles, *_state(spark, sf), t.stage_history(spark, sf), page_size=60, sort="published_at", order="asc", cursor=_behind(articles, keys, 500)
+    )
+    place = F.row_number().over(Window.orderBy(*paging.ordering(keys))).cast("long")
+    return page.select(place.alias("position"), "id", "title", "published_at", "fetch_status", "evaluation_status")
+
+
+@query(f"""
+    SELECT ROW_NUMBER() OVER (ORDER BY {_ITEM_TIME} DESC, a.id DESC) AS position, a.id, a.slug, COALESCE({_TAGS}, '') AS tags
+    FROM (SELECT * FROM articles a WHERE status = 'accepted' ORDER BY {_ITEM_TIME} DESC, a.id DESC LIMIT 40 OFFSET 200) a""")
+def public_cursor_page(spark, sf):
+    """The page after the first 200 accepted articles, by cursor."""
+    accepted = filters.by_status(t.articles(spark, sf), "accepted").withColumn("item_time", item_time())
+    page = listings.public_page(
+        t.articles(spark, sf), t.evaluations(spark, sf), t.links(spark, sf), t.vocabulary(spark, sf), page_size=40,
+        cursor=_behind(accepted, listings.PUBLIC_KEYS, 200),
+    )
+    place = F.row_number().over(Window.orderBy(F.desc(item_time()), F.desc("id"))).cast("long")
+    return page.select(place.alias("position"), "id", "slug", "tags")
+
+
 _PUBLIC = f"""
     SELECT a.id, a.slug, a.title, a.url, a.source_name AS source, a.status, {iso('a.published_at')} AS published_at,
            {iso('a.collected_at')} AS collected_at, {iso('a.created_at')} AS created_at, {iso('a.updated_at')} AS updated_at,
@@ -209,6 +243,23 @@ def failure_report(spark, sf):
     return reports.failure_report(t.articles(spark, sf), *_state(spark, sf))
 
 
+@query("""
+    WITH report AS (
+        SELECT a.id AS article_id, a.title, a.url, 'fetch' AS stage, f.error FROM fetches f JOIN articles a ON a.id = f.article_id
+        WHERE f.status = 'failed' AND f.id = (SELECT MAX(id) FROM fetches x WHERE x.article_id = f.article_id)
+        UNION ALL
+        SELECT a.id, a.title, a.url, 'evaluation', f.error FROM failures f JOIN articles a ON a.id = f.article_id
+        WHERE NOT EXISTS (SELECT 1 FROM evaluations e WHERE e.article_id = f.article_id)
+          AND f.id = (SELECT MAX(id) FROM failures x WHERE x.article_id = f.article_id)),
+    page AS (SELECT * FROM report ORDER BY article_id, stage LIMIT 50 OFFSET 100)
+    SELECT ROW_NUMBER() OVER (ORDER BY article_id, stage) AS position, *, (SELECT COUNT(*) FROM report) AS total FROM page""")
+def failure_report_page(spark, sf):
+    """The page after the first 100 standing failures, with the total."""
+    failed = reports.standing_failures(*_state(spark, sf))
+    page = reports.failure_report_page(t.articles(spark, sf), *_state(spark, sf), 50, _behind(failed, reports.FAILURE_KEYS, 100))
+    return page.select("total", F.posexplode("items").alias("at", "item")).select((F.col("at") + 1).cast("long").alias("position"), "item.*", "total")
+
+
 # --- publishing ------------------------------------------------------------------
 
 _PUBLISHED = f"""

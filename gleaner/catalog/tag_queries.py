@@ -9,7 +9,7 @@ from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
 from gleaner.catalog.state_queries import AS_OF, as_of
 from gleaner.operators import tags
-from gleaner.plans import listings, reports
+from gleaner.plans import listings, paging, reports
 
 _MENTIONS = r"""
     mentions AS (SELECT e.id AS evaluation_id, article_id, evaluated_at, m.origin, m.pos, m.name,
@@ -235,3 +235,32 @@ def tag_candidate_page(spark, sf):
     return page.select(
         "id", "article_id", "suggested_tag", "status", "created_at", "article_title", "article_url", "article_status"
     )
+
+
+@query("""
+    WITH page AS (SELECT * FROM vocabulary ORDER BY status, lower(name), name, id LIMIT 5 OFFSET 3)
+    SELECT ROW_NUMBER() OVER (ORDER BY status, lower(name), name, id) AS position, id, name, status,
+           (SELECT COUNT(*) FROM links l WHERE l.tag_id = page.id) AS article_count, (SELECT COUNT(*) FROM vocabulary) AS total FROM page""")
+def tag_listing(spark, sf):
+    """The page after the first three tags, with the total."""
+    words, links = t.vocabulary(spark, sf), t.links(spark, sf)
+    first = paging.cursor_page(listings.tag_rows(words, links), listings.TAG_KEYS, 3)
+    page = listings.tag_listing(words, links, limit=5, cursor=paging.cursor_of(first, listings.TAG_KEYS))
+    return page.select("total", F.posexplode("items").alias("at", "item")).select(
+        (F.col("at") + 1).cast("long").alias("position"), "item.id", "item.name", "item.status", "item.article_count", "total"
+    )
+
+
+@query("""
+    WITH page AS (SELECT * FROM tag_candidates WHERE status = 'pending' ORDER BY created_at DESC, id DESC LIMIT 40 OFFSET 60)
+    SELECT ROW_NUMBER() OVER (ORDER BY c.created_at DESC, c.id DESC) AS position, c.id, c.suggested_tag, a.title AS article_title,
+           (SELECT COUNT(*) FROM tag_candidates WHERE status = 'pending') AS total
+    FROM page c JOIN articles a ON a.id = c.article_id""")
+def candidate_listing(spark, sf):
+    """The page after the first sixty pending candidates, with the total."""
+    candidates = t.tag_candidates(spark, sf)
+    first = paging.cursor_page(candidates.filter("status = 'pending'"), listings.CANDIDATE_KEYS, 60)
+    page = listings.candidate_listing(candidates, t.articles(spark, sf), limit=40, cursor=paging.cursor_of(first, listings.CANDIDATE_KEYS))
+    return page.select("total", F.posexplode("items").alias("at", "item")).select(
+        (F.col("at") + 1).cast("long").alias("position"), "item.id", "item.suggested_tag", "item.article_title", "total"
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.membership import id_bitmaps, possibly_in
+
 
 def latest(log: DataFrame, key: str, *fields: str, order: str = "id", where: Column | None = None) -> DataFrame:
     """The given fields of the latest row of every key.
@@ -34,6 +36,23 @@ def latest_rows(log: DataFrame, key: str, where: Column | None = None) -> DataFr
     return log.join(latest_ids(log, key, where).select("id"), "id", "left_semi")
 
 
+def with_fetch_ids(rows: DataFrame, fetches: DataFrame, key: str = "id", how: str = "inner") -> DataFrame:
+    """Add ``fetch_id``, the latest successful fetch of each article."""
+    found = latest_ids(fetches, "article_id", F.col("status") == "success").select(F.col("article_id").alias("_of"), F.col("id").alias("fetch_id"))
+    return rows.join(found, F.col(key) == F.col("_of"), how).drop("_of")
+
+
+def with_content(rows: DataFrame, fetches: DataFrame, how: str = "inner") -> DataFrame:
+    """Add ``content`` and ``fetched_at`` of the fetches in ``fetch_id`` (dropped), the last thing to do.
+
+    The rows are narrow until here.  Bitmaps of the ids they chose filter the bulky
+    log where it is read, so only chosen content takes part in the one shuffle.  The
+    rows are read twice: write them first.
+    """
+    chosen = possibly_in(fetches.select(F.col("id").alias("_content_id"), "content", "fetched_at"), "_content_id", id_bitmaps(rows, "fetch_id"))
+    return rows.join(chosen, F.col("fetch_id") == F.col("_content_id"), how).drop("fetch_id", "_content_id")
+
+
 def latest_fetch(fetches: DataFrame) -> DataFrame:
     return latest(fetches, "article_id", "id", "status", "error")
 

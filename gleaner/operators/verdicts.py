@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Sequence
 
@@ -21,7 +22,8 @@ from gleaner.constants import (
     VOCABULARY_HEADING,
 )
 from gleaner.functions.text import evaluator_input, normalize_tag, strip, strip_fences
-from gleaner.session import written
+from gleaner.operators.latest import with_content, with_fetch_ids
+from gleaner.session import path_exists, shared_folder, written
 
 VERDICT_KEYS = ["decision", "content_type", "summary", "tags", "suggested_tags", "recommendation_reason"]
 _VERDICT = (
@@ -169,65 +171,66 @@ def _scoring(scorer: Scorer):
     return F.pandas_udf(score, _REPLY).asNondeterministic()
 
 
-def score(requests: DataFrame, scorer: Scorer, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def _attempt(open_rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Replies to rows with ``messages``, the reply before (``said``) and its error (``because``)."""
+    repeat = F.array(_message("user", repair_message(F.col("said"), F.col("because"))))
+    sent = F.when(F.col("said").isNull(), F.col("messages")).otherwise(F.concat("messages", repeat))
+    asked = open_rows.withColumn("_reply", _scoring(scorer)(sent))
+    checked = with_verdict(asked.withColumn("_got", F.col("_reply.raw")), "_got")
+    empty = F.col("_reply.error").isNull() & (F.coalesce("_got", F.lit("")) == "")
+    return checked.select(
+        "_key", F.coalesce(F.nullif("_got", F.lit("")), "said").alias("raw"),
+        F.coalesce("_reply.error", F.when(empty, F.lit("empty AI response content")), F.col("violation")).alias("error"),
+        F.when(F.col("verdict").isNotNull(), F.col("raw_json")).alias("raw_json"), "verdict",
+    )
+
+
+def score(
+    requests: DataFrame, scorer: Scorer, max_attempts: int = MAX_ATTEMPTS, key: str = "id", folder: str | None = None,
+    calls_per_task: int | None = None,
+) -> DataFrame:
     """Score every request, asking again up to ``max_attempts`` times.
 
     A reply that is invalid is repeated with the reply and its error appended; a
-    call that failed repeats what was sent before.  Each attempt is one Arrow
-    stage: rows that are done pass it as nulls, and replies are checked by column
-    expressions in between.  Repartition the requests to bound the number of
-    concurrent calls.
+    call that failed repeats what was sent before.  Every attempt is written as a log
+    by ``key`` (unique, never null) before the next one, which only the rows that are still
+    open go into.  So a task that fails repeats at most its own calls of one attempt
+    (``calls_per_task`` bounds them), and a run that is started again on the same ``folder``
+    goes on after the last whole attempt.
 
     Adds ``raw``, ``raw_json``, ``verdict``, ``error`` and ``attempts``.
     """
-    ask = _scoring(scorer)
-    original = requests.columns
-    state = requests.withColumns(
-        {
-            "_raw": F.lit(None).cast("string"),
-            "_error": F.lit(None).cast("string"),
-            "_json": F.lit(None).cast("string"),
-            "_verdict": F.lit(None).cast(
-                "struct<decision:string,content_type:string,summary:string,tags:array<string>,"
-                "suggested_tags:array<string>,recommendation_reason:string>"
-            ),
-            "_attempts": F.lit(0),
-        }
-    )
-    for _ in range(max(1, max_attempts)):
-        open_row = F.col("_verdict").isNull()
-        repeat = F.array(_message("user", repair_message(F.col("_raw"), F.col("_error"))))
-        sent = F.when(F.col("_raw").isNull(), F.col("messages")).otherwise(F.concat("messages", repeat))
-        asked = state.withColumn("_open", open_row).withColumn("_reply", ask(F.when(open_row, sent)))
-        checked = with_verdict(asked.withColumn("_got", F.col("_reply.raw")), "_got")
-        empty = F.col("_reply.error").isNull() & (F.coalesce("_got", F.lit("")) == "")
-        error = F.coalesce("_reply.error", F.when(empty, F.lit("empty AI response content")), F.col("violation"))
-        state = checked.select(
-            *original,
-            F.when(F.col("_open"), F.coalesce(F.nullif("_got", F.lit("")), F.col("_raw"))).otherwise(F.col("_raw")).alias("_raw"),
-            F.when(F.col("_open"), error).otherwise(F.col("_error")).alias("_error"),
-            F.when(F.col("_open"), F.col("raw_json")).otherwise(F.col("_json")).alias("_json"),
-            F.when(F.col("_open"), F.col("verdict")).otherwise(F.col("_verdict")).alias("_verdict"),
-            (F.col("_attempts") + F.col("_open").cast("int")).alias("_attempts"),
-        )
-    return state.select(
-        *[name for name in original if name != "messages"],
-        F.col("_raw").alias("raw"),
-        F.when(F.col("_verdict").isNotNull(), F.col("_json")).alias("raw_json"),
-        F.col("_verdict").alias("verdict"),
-        F.when(F.col("_verdict").isNull(), F.col("_error")).alias("error"),
-        F.col("_attempts").alias("attempts"),
+    spark = requests.sparkSession
+    folder = folder or shared_folder(spark, "attempts")
+    asked = requests.select(F.col(key).alias("_key"), "messages")
+    open_rows = asked.withColumns({"said": F.lit(None).cast("string"), "because": F.lit(None).cast("string")})
+    logs: list[DataFrame] = []
+    for attempt in range(1, max(1, max_attempts) + 1):
+        place = f"{folder}/attempt={attempt}"
+        if not path_exists(spark, f"{place}/_SUCCESS"):
+            if calls_per_task:
+                open_rows = open_rows.repartition(max(1, -(-open_rows.count() // calls_per_task)))
+            _attempt(open_rows, scorer).write.mode("overwrite").parquet(place)
+        log = spark.read.parquet(place)
+        logs.append(log.withColumn("attempts", F.lit(attempt)))
+        again = log.filter(F.col("verdict").isNull()).select("_key", F.col("raw").alias("said"), F.col("error").alias("because"))
+        if again.isEmpty():
+            break
+        open_rows = asked.join(again, "_key")
+    last = functools.reduce(DataFrame.unionByName, logs).groupBy("_key").agg(
+        F.max_by(F.struct("raw", "raw_json", "verdict", F.when(F.col("verdict").isNull(), F.col("error")).alias("error"), "attempts"), "attempts").alias("last")
     )
+    rest = requests.drop("messages")
+    return rest.join(last, F.col(key) == F.col("_key")).select(*rest.columns, "last.*")
 
 
 # --- routing -------------------------------------------------------------------
 
-def scorable(articles: DataFrame, successful_fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split articles into those with fetched content and those without."""
-    content = successful_fetches.select("article_id", "content")
-    with_content = articles.join(content, articles.id == content.article_id).drop("article_id")
-    without = articles.join(content.select("article_id"), articles.id == content.article_id, "left_anti")
-    return with_content, without
+def scorable(articles: DataFrame, fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split articles into those with fetched content, which is added last, and those without."""
+    told = written(with_fetch_ids(articles, fetches, how="left"), "scorable")
+    ready = with_content(told.filter(F.col("fetch_id").isNotNull()), fetches).drop("fetched_at")
+    return ready, told.filter(F.col("fetch_id").isNull()).drop("fetch_id")
 
 
 def accepted_verdicts(scored: DataFrame, model_name: str, evaluated_at: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from gleaner.constants import SORT_COLUMNS
 from gleaner.functions.times import item_time
 from gleaner.operators import latest as newest
 from gleaner.operators.filters import by_source, by_status, failed_only as only_failed, matching, published_between
+from gleaner.operators.latest import with_content, with_fetch_ids
 from gleaner.operators.tags import with_public_tags
+from gleaner.plans.paging import Order, cursor_envelope, cursor_page, ordering
+from gleaner.session import written
 
 _LISTED = ["id", "title", "url", "source_name", "status", "retry_count", "published_at", "created_at", "updated_at",
            "collected_at"]
@@ -50,10 +55,14 @@ def article_filter(
     return only_failed(frame, *logs) if logs else frame
 
 
-def listing_order(sort: str, order: str) -> list[Column]:
+def listing_keys(sort: str, order: str) -> Order:
     """A known sort column (else the update time) and the id, in one direction."""
-    column = sort if sort in SORT_COLUMNS else "updated_at"
-    return [F.asc(column), F.asc("id")] if order.lower() == "asc" else [F.desc(column), F.desc("id")]
+    column, ascending = sort if sort in SORT_COLUMNS else "updated_at", order.lower() == "asc"
+    return [(column, ascending), ("id", ascending)]
+
+
+def listing_order(sort: str, order: str) -> list[Column]:
+    return ordering(listing_keys(sort, order))
 
 
 def article_page(
@@ -68,16 +77,20 @@ def article_page(
     sort: str = "updated_at",
     order: str = "desc",
     failed_only: bool = False,
+    cursor: Mapping[str, object] | None = None,
     **filters: str | None,
 ) -> DataFrame:
     """One page of articles with the latest outcome of every stage.
 
-    The page is cut first; only then are the logs looked at, and only for its
-    ids.
+    The page is cut and written first; only then are the logs looked at, and only for
+    its ids.  With a ``cursor`` (sort value and id of the last row before) the page
+    follows it, and ``page`` isn't looked at.
     """
     logs = (fetches, evaluations, failures) if failed_only else None
-    chosen = article_filter(articles, logs=logs, **filters).select(*_LISTED).orderBy(*listing_order(sort, order))
-    rows = paged(chosen, page, page_size)
+    chosen = article_filter(articles, logs=logs, **filters).select(*_LISTED)
+    keys = listing_keys(sort, order)
+    cut = cursor_page(chosen, keys, page_size, cursor) if cursor else paged(chosen.orderBy(*ordering(keys)), page, page_size)
+    rows = written(cut, "page")
     fetch = newest.latest(of_page(fetches, rows), "article_id", "status", "error")
     evaluation = newest.latest(of_page(evaluations, rows), "article_id", "decision")
     failure = newest.latest(of_page(failures, rows), "article_id", "error")
@@ -123,15 +136,22 @@ def _with_verdict(rows: DataFrame, evaluations: DataFrame) -> DataFrame:
     return rows.join(verdict, rows.id == verdict._of, "left").drop("_of")
 
 
+PUBLIC_KEYS: Order = [("item_time", False), ("id", False)]
+
+
 def public_page(
     articles: DataFrame, evaluations: DataFrame, links: DataFrame, vocabulary: DataFrame,
-    *, page: int = 1, page_size: int = 50, q: str | None = None,
+    *, page: int = 1, page_size: int = 50, q: str | None = None, cursor: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """One page of accepted articles, newest first, with verdict and tags (both optional)."""
-    order = [F.desc(item_time()), F.desc("id")]
-    rows = paged(_public_rows(articles, q).orderBy(*order), page, page_size)
+    """One page of accepted articles, newest first, with verdict and tags (both optional).
+
+    A ``cursor`` has ``item_time`` and ``id`` of the last row before.
+    """
+    chosen = _public_rows(articles, q).withColumn("item_time", item_time())
+    cut = cursor_page(chosen, PUBLIC_KEYS, page_size, cursor) if cursor else paged(chosen.orderBy(*ordering(PUBLIC_KEYS)), page, page_size)
+    rows = written(cut, "public-page")
     full = _with_verdict(rows, of_page(evaluations, rows))
-    return with_public_tags(full, of_page(links, rows), vocabulary).orderBy(*order)
+    return with_public_tags(full, of_page(links, rows), vocabulary).orderBy(*ordering(PUBLIC_KEYS)).drop("item_time")
 
 
 def public_index(
@@ -156,11 +176,12 @@ def public_detail(
         accepted = accepted.join(slug.select("slug").distinct(), "slug", "left_semi")
     elif slug is not None:
         accepted = accepted.filter(F.col("slug") == slug)
-    content = newest.latest_successful_fetch(fetches).select(
-        F.col("article_id").alias("_of"), "content", "fetched_at"
-    )
-    rows = accepted.join(content, accepted.id == content._of, "left").drop("_of")
-    return with_public_tags(_with_verdict(rows, evaluations), links, vocabulary)
+    if slug is not None:
+        # few articles: the logs are looked at for their ids only
+        accepted = written(accepted, "chosen-articles")
+        fetches, evaluations, links = (of_page(log, accepted) for log in (fetches, evaluations, links))
+    narrow = with_public_tags(_with_verdict(with_fetch_ids(accepted, fetches, how="left"), evaluations), links, vocabulary)
+    return with_content(written(narrow, "public-details"), fetches, how="left")
 
 
 def article_detail(
@@ -188,35 +209,54 @@ def article_detail(
     )
 
 
+TAG_KEYS: Order = [("status", True), ("name_key", True), ("name", True), ("id", True)]
+CANDIDATE_KEYS: Order = [("created_at", False), ("id", False)]
+
+
+def tag_rows(vocabulary: DataFrame, links: DataFrame, *, status: str | None = None, q: str | None = None) -> DataFrame:
+    """Vocabulary entries with their article counts, by status and case-insensitive name, and ``name_key`` to order by."""
+    counts = links.groupBy(F.col("tag_id").alias("_tag")).agg(F.count(F.lit(1)).alias("article_count"))
+    chosen = matching(by_status(vocabulary, status), q, "name", "description").withColumn("name_key", F.lower("name"))
+    return chosen.join(counts, chosen.id == counts._tag, "left").drop("_tag").withColumn("article_count", F.coalesce("article_count", F.lit(0)))
+
+
 def tag_page(
     vocabulary: DataFrame, links: DataFrame, *, status: str | None = None, q: str | None = None, limit: int = 200,
-    offset: int = 0,
+    offset: int = 0, cursor: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Vocabulary entries with their article counts, by status and case-insensitive name."""
-    counts = links.groupBy(F.col("tag_id").alias("_tag")).agg(F.count(F.lit(1)).alias("article_count"))
-    chosen = matching(by_status(vocabulary, status), q, "name", "description")
-    return (
-        chosen.join(counts, chosen.id == counts._tag, "left")
-        .drop("_tag")
-        .withColumn("article_count", F.coalesce("article_count", F.lit(0)))
-        .orderBy("status", F.lower("name"), "name")
-        .offset(offset)
-        .limit(limit)
-    )
+    """One page of ``tag_rows``; a ``cursor`` has the values of ``TAG_KEYS``."""
+    rows = tag_rows(vocabulary, links, status=status, q=q)
+    cut = cursor_page(rows, TAG_KEYS, limit, cursor) if cursor else rows.orderBy(*ordering(TAG_KEYS)).offset(offset).limit(limit)
+    return cut.drop("name_key")
 
 
 def candidate_page(
-    candidates: DataFrame, articles: DataFrame, *, status: str | None = "pending", limit: int = 100, offset: int = 0
+    candidates: DataFrame, articles: DataFrame, *, status: str | None = "pending", limit: int = 100, offset: int = 0,
+    cursor: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Tag candidates with their articles, newest first.
 
     A candidate always belongs to a stored article, so the page is cut first and
-    only its articles are looked up.
+    only its articles are looked up.  A ``cursor`` has ``created_at`` and ``id``.
     """
-    order = [F.desc("created_at"), F.desc("id")]
-    page = by_status(candidates, status).orderBy(*order).offset(offset).limit(limit)
+    chosen = by_status(candidates, status)
+    page = cursor_page(chosen, CANDIDATE_KEYS, limit, cursor) if cursor else chosen.orderBy(*ordering(CANDIDATE_KEYS)).offset(offset).limit(limit)
     known = articles.select(
         F.col("id").alias("article_id"), F.col("title").alias("article_title"), F.col("url").alias("article_url"),
         F.col("status").alias("article_status"),
     )
-    return page.join(known, "article_id").orderBy(*order)
+    return page.join(known, "article_id").orderBy(*ordering(CANDIDATE_KEYS))
+
+
+def tag_listing(vocabulary: DataFrame, links: DataFrame, *, status: str | None = None, q: str | None = None, limit: int = 200,
+                cursor: Mapping[str, object] | None = None) -> DataFrame:
+    """One page of vocabulary entries with the total of all and the cursor of the next page, in one row."""
+    page = cursor_page(tag_rows(vocabulary, links, status=status, q=q), TAG_KEYS, limit, cursor)
+    return cursor_envelope(page, matching(by_status(vocabulary, status), q, "name", "description"), TAG_KEYS)
+
+
+def candidate_listing(candidates: DataFrame, articles: DataFrame, *, status: str | None = "pending", limit: int = 100,
+                      cursor: Mapping[str, object] | None = None) -> DataFrame:
+    """One page of tag candidates with the total of all and the cursor of the next page, in one row."""
+    page = candidate_page(candidates, articles, status=status, limit=limit, cursor=cursor)
+    return cursor_envelope(page, by_status(candidates, status), CANDIDATE_KEYS)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import publishing as text
 from gleaner.functions.times import http_date, item_time, iso_z, parse_datetime
-from gleaner.operators.latest import latest, latest_successful_fetch
+from gleaner.operators.latest import latest, with_content, with_fetch_ids
 from gleaner.operators.tags import with_public_tags
 from gleaner.plans.listings import public_page
-from gleaner.session import drop_folder, point_to, pointed_to
+from gleaner.session import drop_folder, point_to, pointed_to, written
 
 RECORD = ["slug", "title", "url", "source", "published_at", "collected_at", "content_type", "summary", "tags",
           "recommendation_reason", "markdown_path"]
@@ -21,13 +21,14 @@ def publishable(
 ) -> DataFrame:
     """Accepted articles with their latest successful fetch, verdict and active tags.
 
-    Both joins are inner: an accepted article lacking either is not published.
+    Both joins are inner: an accepted article lacking either is not published.  What
+    is published is settled on narrow rows, which are written; content comes last.
     """
     accepted = articles.filter(F.col("status") == "accepted").drop("source_content", "source_content_metadata", "error")
-    content = latest_successful_fetch(fetches).select("article_id", "content", "fetched_at")
     verdict = latest(evaluations, "article_id", "summary", "content_type", "recommendation_reason")
-    rows = accepted.withColumnRenamed("id", "article_id").join(content, "article_id").join(verdict, "article_id")
-    return with_public_tags(rows, links, vocabulary, key="article_id").withColumnRenamed("article_id", "id")
+    rows = with_fetch_ids(accepted, fetches).withColumnRenamed("id", "article_id").join(verdict, "article_id")
+    tagged = with_public_tags(rows, links, vocabulary, key="article_id").withColumnRenamed("article_id", "id")
+    return with_content(written(tagged, "publishable"), fetches)
 
 
 def newest_first(rows: DataFrame) -> DataFrame:

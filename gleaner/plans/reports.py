@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.constants import ARTICLE_STATUSES
 from gleaner.operators.latest import latest, latest_fetch
+from gleaner.plans.paging import Order, cursor_envelope, cursor_page, ordering
+from gleaner.session import written
 
 
 def status_counts(articles: DataFrame) -> DataFrame:
@@ -55,13 +59,39 @@ def run_history(runs: DataFrame, limit: int = 100) -> DataFrame:
     return runs.withColumn("seconds", seconds).orderBy(F.desc("created_at"), F.desc("job_id")).limit(limit)
 
 
-def failure_report(articles: DataFrame, fetches: DataFrame, evaluations: DataFrame, failures: DataFrame) -> DataFrame:
-    """Failed fetches and evaluations that still stand, by article and stage."""
-    failed = (
-        fetch_failed_ids(fetches).withColumn("stage", F.lit("fetch"))
-        .unionByName(evaluation_failed_ids(evaluations, failures).withColumn("stage", F.lit("evaluation")))
+FAILURE_KEYS: Order = [("article_id", True), ("stage", True)]
+
+
+def standing_failures(fetches: DataFrame, evaluations: DataFrame, failures: DataFrame) -> DataFrame:
+    """article_id, error and stage of the failed fetches and evaluations that still stand."""
+    return fetch_failed_ids(fetches).withColumn("stage", F.lit("fetch")).unionByName(
+        evaluation_failed_ids(evaluations, failures).withColumn("stage", F.lit("evaluation"))
     )
+
+
+def _named(failed: DataFrame, articles: DataFrame) -> DataFrame:
     named = articles.select(F.col("id").alias("article_id"), "title", "url")
-    return failed.join(named, "article_id").select("article_id", "title", "url", "stage", "error").orderBy(
-        "article_id", "stage"
-    )
+    return failed.join(named, "article_id").select("article_id", "title", "url", "stage", "error")
+
+
+def failure_report(articles: DataFrame, fetches: DataFrame, evaluations: DataFrame, failures: DataFrame) -> DataFrame:
+    """Failed fetches and evaluations that still stand, by article and stage."""
+    return _named(standing_failures(fetches, evaluations, failures), articles).orderBy(*ordering(FAILURE_KEYS))
+
+
+def failure_report_page(
+    articles: DataFrame, fetches: DataFrame, evaluations: DataFrame, failures: DataFrame, page_size: int = 50,
+    cursor: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """One page of the report, the total of all failures and the cursor of the next page, in one row.
+
+    Log rows of articles before the cursor aren't looked at for the page, and only the
+    page's articles are looked up; a failure always belongs to a stored article.
+    """
+    total = standing_failures(fetches, evaluations, failures)
+    logs = [fetches, evaluations, failures]
+    if cursor:
+        logs = [log.filter(F.col("article_id") >= F.lit(cursor["article_id"])) for log in logs]
+    page = written(cursor_page(standing_failures(*logs), FAILURE_KEYS, page_size, cursor), "failure-page")
+    known = articles.join(page.select(F.col("article_id").alias("id")).distinct(), "id", "left_semi")
+    return cursor_envelope(_named(page, known), total, FAILURE_KEYS)

@@ -1,11 +1,14 @@
 import json
+import random
 
+import pytest
 from helpers import article, articles, evaluations, failures, fetches, frame, shown, vocabulary
 from pyspark.sql import functions as F
 
 from gleaner import schemas
-from gleaner.operators import page_dates
-from gleaner.plans import listings, publishing, reports
+from gleaner.functions.times import item_time
+from gleaner.operators import membership, page_dates
+from gleaner.plans import listings, paging, publishing, reports
 
 
 def state(spark):
@@ -141,6 +144,86 @@ def test_tag_listing(spark):
     assert [r.name for r in listings.tag_page(words, tagged, status="active", q="W").collect()] == ["web"]
 
 
+ORDERS = [[("a", True), ("id", True)], [("a", False), ("id", False)], [("a", True), ("b", False), ("id", True)]]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_cursor_pages_are_the_offset_pages(spark, order):
+    draw = random.Random(7)
+    rows = [(i, draw.choice([None, 1, 2, 3]), draw.choice([None, "x", "y"])) for i in range(60)]
+    table = spark.createDataFrame(rows, "id bigint, a int, b string")
+    whole = [r.id for r in table.orderBy(*paging.ordering(order)).collect()]
+    cursor, seen = None, []
+    while True:
+        page = paging.cursor_page(table, order, 7, cursor)
+        envelope = paging.cursor_envelope(page, table, order).first()
+        assert envelope.total == 60
+        if not envelope["items"]:
+            assert envelope.cursor is None and paging.cursor_of(page, order) is None
+            break
+        seen += [item.id for item in envelope["items"]]
+        assert [r.id for r in table.orderBy(*paging.ordering(order)).offset(len(seen) - len(envelope["items"])).limit(7).collect()] == [i.id for i in envelope["items"]]
+        cursor = paging.cursor_of(page, order)
+        assert cursor == envelope.cursor.asDict()
+    assert seen == whole
+
+
+def test_listings_by_cursor(spark):
+    rows, log, judged, failed, tagged, words = state(spark)
+    history = frame(spark, schemas.STAGE_HISTORY, dict(id=1, article_id=1, stage="fetch", status="queued"))
+    for sort, order in (("updated_at", "desc"), ("published_at", "asc"), ("published_at", "desc")):
+        keys = listings.listing_keys(sort, order)
+        whole = [r.id for r in listings.article_page(rows, log, judged, failed, history, sort=sort, order=order).collect()]
+        cursor, seen = None, []
+        while page := listings.article_page(rows, log, judged, failed, history, sort=sort, order=order, page_size=2, cursor=cursor).collect():
+            seen += [r.id for r in page]
+            cursor = {name: page[-1][name] for name, _ in keys}
+        assert seen == whole
+    public = listings.public_page(rows, judged, tagged, words, page_size=1).collect()
+    first = rows.filter(F.col("id") == public[0].id).withColumn("item_time", item_time())
+    rest = listings.public_page(rows, judged, tagged, words, cursor=paging.cursor_of(first, listings.PUBLIC_KEYS)).collect()
+    assert [r.id for r in [*public, *rest]] == [r.id for r in listings.public_page(rows, judged, tagged, words).collect()]
+    report = reports.failure_report_page(rows, log, judged, failed, page_size=2).first()
+    assert ([(i.article_id, i.stage) for i in report["items"]], report.total) == ([(1, "fetch"), (4, "evaluation")], 3)
+    report = reports.failure_report_page(rows, log, judged, failed, page_size=2, cursor=report.cursor.asDict()).first()
+    assert ([(i.article_id, i.stage, i.title) for i in report["items"]], report.total) == ([(5, "fetch", rows.filter("id = 5").first().title)], 3)
+    tags_page = listings.tag_listing(words, tagged, limit=2).first()
+    assert ([i.name for i in tags_page["items"]], tags_page.total) == (["AI", "web"], 3)
+    assert [i.name for i in listings.tag_listing(words, tagged, limit=2, cursor=tags_page.cursor.asDict()).first()["items"]] == ["Off"]
+
+
+def test_only_chosen_content_is_shuffled_and_once(spark):
+    rows, log, judged, _, tagged, words = state(spark)
+    many = log.unionByName(log.withColumns({"id": F.col("id") + 1000, "article_id": F.lit(99).cast("bigint")}))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        frame_of = publishing.publishable(rows, many, judged, tagged, words)
+        plan = frame_of._jdf.queryExecution().executedPlan().toString()
+        found = frame_of.collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(_content_id" in line]
+    assert len(moved) == 1 and plan.count("bitmap#") > 0 and "BroadcastHashJoin" in plan
+    below = plan[plan.index(moved[0]):]
+    assert "getbit" in below or "bit_get" in below
+    assert sorted(r.id for r in found) == sorted(r.id for r in publishing.publishable(rows, log, judged, tagged, words).collect())
+
+
+def test_ids_that_share_bits(spark):
+    ids = spark.createDataFrame([(0,), (1,), (32_768,), (32_769,), (1 << 40,), (None,)], "id bigint")
+    asked = spark.range(0, 70_000).unionByName(spark.createDataFrame([(1 << 40,), ((1 << 40) + 1,), (None,)], "id bigint"))
+    exact = membership.possibly_in(asked, "id", membership.id_bitmaps(ids, "id"))
+    # with 2^30 bits, 2^40 falls on 0 and 2^40 + 1 on 1
+    assert sorted(r.id for r in exact.collect()) == [0, 1, 32_768, 32_769, 1 << 40, (1 << 40) + 1]
+    few = membership.possibly_in(asked, "id", membership.id_bitmaps(ids, "id", 64), 64)
+    assert {r.id for r in few.collect()} >= {0, 1, 32_768, 32_769, 1 << 40}
+    assert membership.possibly_in(asked, "id", membership.id_bitmaps(ids.limit(0), "id")).count() == 0
+
+
 def test_page_dates(spark):
     pages = {
         '<meta name="date" content="2025-01-02"><meta property="og:updated_time" content="2025-01-03">': ("meta", "2025-01-03T00:00:00"),

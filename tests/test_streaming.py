@@ -5,7 +5,7 @@ from gleaner import catalog
 from gleaner.catalog import stream_queries
 from gleaner.functions.times import build_time_range
 from gleaner.operators import filters, folds, upsert
-from gleaner.streaming import incremental
+from gleaner.streaming import buckets, incremental
 
 EVENTS = "kind string, id bigint, article_id bigint, at timestamp, status string, error string, decision string, published_at timestamp"
 
@@ -122,3 +122,45 @@ def test_late_log_rows_do_not_win(spark):
         assert [tuple(r) for r in state.drop("marks").orderBy("id").collect()] == whole
     row = folds.fold_state(start, *parts(frame(spark, ddl, *rows))).filter("id = 1").first()
     assert (row.status, row.retry_count, row.error) == ("accepted", 1, None) and row.published_at.year == 2025
+
+
+def test_small_batches_leave_most_files(spark, tmp_path):
+    n, folder = 20_000, str(tmp_path)
+    state = buckets.Buckets.create(spark.range(n).withColumn("v", F.lit(0)), folder, "id", 40, top=7)
+    files = lambda one: {(bucket, batch) for bucket, layers in one.parts.items() for batch, _ in layers}
+    want = {i: 0 for i in range(n)}
+    for number in range(1, 12):
+        keys = spark.range(number * 3, n + 5, n // 100).select(F.col("id").cast("long").alias("id"))
+        touched = state.touched(keys)
+        before = state.before(keys, touched)
+        after = before.withColumn("v", F.when(F.col("id") % (n // 100) == number * 3, F.lit(number)).otherwise(F.col("v")))
+        new = state.advanced(after, touched)
+        # a replay gives the same
+        assert state.advanced(after, touched).parts == new.parts
+        kept = files(state) & files(new)
+        if number < buckets.MOST_LAYERS:
+            assert kept == files(state)
+        new.forget_before()
+        want |= {i: number for i in range(number * 3, n, n // 100)}
+        state = new
+        assert buckets.Buckets.latest(spark, folder).version == number and state.facts == {"top": 7}
+    assert {r.id: r.v for r in state.rows().collect()} == want
+    assert all(len(layers) <= buckets.MOST_LAYERS + 1 for layers in state.parts.values())
+    used = {batch for _, batch in files(state)} | {batch for _, batch in files(buckets.Buckets.load(spark, folder, 10))}
+    assert {int(path.name.partition("=")[2]) for path in tmp_path.glob("rows/batch=*")} == used
+    # a batch of most rows writes its buckets anew, in one layer
+    whole = state.rows().select("id")
+    touched = state.touched(whole)
+    full = state.advanced(state.before(whole, touched), touched)
+    assert all(len(layers) == 1 for layers in full.parts.values()) and full.rows().count() == n
+
+
+def test_new_keys_and_empty_buckets(spark, tmp_path):
+    state = buckets.Buckets.create(spark.createDataFrame([(1, "a")], "id bigint, v string"), str(tmp_path), "id", 16)
+    more = spark.createDataFrame([(i, "b") for i in range(2, 30)], "id bigint, v string")
+    touched = state.touched(more)
+    state = state.advanced(state.before(more, touched).unionByName(more), touched)
+    assert sorted((r.id, r.v) for r in state.rows().collect()) == [(1, "a"), *[(i, "b") for i in range(2, 30)]]
+    assert state.advanced(more.limit(0), {}).rows().count() == 29
+    nothing = buckets.Buckets.create(more.limit(0), str(tmp_path / "empty"), "id", 4)
+    assert nothing.rows().count() == 0 and buckets.buckets_for(0) == 8 and buckets.buckets_for(10**12) == buckets.MOST_BUCKETS

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from helpers import article, articles, evaluations, frame, moment, vocabulary
@@ -157,6 +158,31 @@ def test_request_messages(spark):
     assert empty == "P"
 
 
+def test_no_attempt_is_paid_twice(spark, tmp_path):
+    """A worker that dies in the second attempt costs no call of the first one, and the run goes on from there."""
+    calls, trap = tmp_path / "calls", tmp_path / "trap"
+    trap.write_text("")
+
+    def scorer(messages):
+        body = messages[1]["content"].rsplit("\n", 1)[-1]
+        with open(calls, "a") as log:
+            log.write(f"{body} {len(messages)}\n")
+        if len(messages) == 3 and body == "flaky" and trap.exists():
+            trap.unlink()
+            os._exit(1)
+        return json.dumps(VALID) if body == "good" or len(messages) == 3 else "{}"
+
+    asked, folder = requests(spark, "good", "flaky", "other"), str(tmp_path / "attempts")
+    with pytest.raises(Exception, match="."):
+        verdicts.score(asked, scorer, folder=folder).collect()
+    rows = {r.id: r for r in verdicts.score(asked, scorer, folder=folder, calls_per_task=1).collect()}
+    assert [r.attempts for _, r in sorted(rows.items())] == [1, 2, 2] and all(r.verdict for r in rows.values())
+    made = calls.read_text().split("\n")
+    assert made.count("good 2") == made.count("flaky 2") == made.count("other 2") == 1
+    # the dead worker's own call of the second attempt is the only one that may come again
+    assert made.count("flaky 3") == 2 and made.count("other 3") <= 2 and not (tmp_path / "attempts" / "attempt=3").exists()
+
+
 def test_routing(spark):
     scored = verdicts.score(requests(spark, "a", "b"), lambda m: json.dumps(VALID) if m[1]["content"].endswith("a") else "{}", max_attempts=1)
     good = verdicts.accepted_verdicts(scored, "m1", moment()).first()
