@@ -109,8 +109,10 @@ def parse_datetime(value: Column, date_as_end: bool = False) -> Column:
             .when(text.rlike(_ISO), _from_iso(text))
         )
 
+    # few texts are week dates: their calendar form is bound once and parsed apart from the common ones
+    week = F.get(F.transform(F.array(_from_week(text)), of_iso), F.lit(0))
     return (
-        F.when(text.rlike(_WEEK), of_iso(_from_week(text)))
+        F.when(F.substring(text, 5, 2).contains("W") & text.rlike(_WEEK), week)
         .when(text.rlike(_RFC), _from_rfc(text))
         .otherwise(of_iso(text))
     )

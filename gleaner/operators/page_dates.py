@@ -27,13 +27,9 @@ def _values_of_keys(html: Column, quote: str) -> Column:
     keys = "|".join(quote + key + quote for key in SCRIPT_DATE_KEYS).replace("\\", "\\\\")
     parts = F.split(html, keys)
 
-    def value(part: Column) -> Column:
-        colon = F.regexp_replace(part, r"^\s+", "")
-        text = F.regexp_replace(F.substr(colon, F.lit(2)), r"^\s+", "")
-        named = colon.startswith(":") & text.startswith(quote)
-        return F.when(named, F.substring_index(F.substr(text, F.lit(len(quote) + 1)), quote, 1))
-
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), value)
+    # the value ends at the next such quote
+    value = r'^\s*:\s*"([^"]*+)' if quote == '"' else r'^\s*:\s*\\"((?:[^\\]++|\\(?!"))*+)'
+    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda part: F.regexp_extract(part, value, 1))
 
 
 def script_time(html: Column) -> Column:
