@@ -25,10 +25,10 @@ CTES: dict[str, str] = {
                CASE WHEN o_orderkey % 4 = 0 THEN 'kept text' END AS source_content
         FROM orders""",
     "log_base": """
-        SELECT l_orderkey, l_orderkey * 10 + l_linenumber AS id, l_shipdate, l_partkey, l_suppkey, l_returnflag, l_linestatus
-        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
-                ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_returnflag DESC, l_linestatus DESC) AS rn
-              FROM lineitem) WHERE rn = 1""",
+        SELECT l_orderkey, (l_orderkey * 10 + l_linenumber) * 1001 - 1 + ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
+                 ORDER BY l_shipdate, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS id,
+               l_shipdate, l_partkey, l_suppkey, l_returnflag, l_linestatus
+        FROM lineitem""",
     "fetches": """
         SELECT id, l_orderkey AS article_id, l_shipdate AS fetched_at,
                CASE WHEN l_linestatus = 'F' THEN 'failed' ELSE 'success' END AS status,

@@ -271,23 +271,23 @@ def state_fold(spark, sf):
 
 
 @query(f"""
-    WITH changes AS (SELECT article_id, status, moment, rank, id FROM (
-            SELECT article_id, CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE decision END AS status,
-                   evaluated_at AS moment, 2 AS rank, id FROM evaluations
-            UNION ALL SELECT o_orderkey, 'candidate', o_orderdate + INTERVAL 90 DAY, 3, o_orderkey FROM orders)),
-         last AS (SELECT article_id, status, moment FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id ORDER BY moment DESC, rank DESC, id DESC) AS rn
-                  FROM changes) WHERE rn = 1)
-    SELECT a.id, COALESCE(l.status, a.status) AS status, {iso("COALESCE(l.moment, a.updated_at)")} AS updated_at, a.error IS NOT NULL
-             AND NOT EXISTS (SELECT 1 FROM evaluations e WHERE e.article_id = a.id) AS keeps_error
+    WITH changes AS (
+            SELECT article_id, NULL AS status, CASE WHEN status = 'failed' THEN error END AS error, fetched_at AS moment, 0 AS rank, id FROM fetches
+            UNION ALL SELECT article_id, CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE decision END, NULL,
+                   evaluated_at, 2, id FROM evaluations
+            UNION ALL SELECT o_orderkey, 'candidate', NULL, o_orderdate + INTERVAL 90 DAY, 3, o_orderkey FROM orders),
+         last AS (SELECT article_id, arg_max(status, ROW(moment, rank, id)) FILTER (WHERE status IS NOT NULL) AS status, MAX(moment) AS moment,
+                         arg_max([error], ROW(moment, rank, id)) FILTER (WHERE rank < 3) AS error FROM changes GROUP BY article_id)
+    SELECT a.id, COALESCE(l.status, a.status) AS status, {iso("COALESCE(l.moment, a.updated_at)")} AS updated_at,
+           CASE WHEN l.error IS NULL THEN a.error ELSE l.error[1] END AS error
     FROM articles a LEFT JOIN last l ON l.article_id = a.id""")
 def override_fold(spark, sf):
     overrides = t.read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("article_id"), F.lit("candidate").alias("status"),
         (t.ts("o_orderdate") + t.days(90)).alias("changed_at"),
     )
-    nothing = t.fetches(spark, sf).filter(F.lit(False))
-    folded = folds.fold_state(t.articles(spark, sf), nothing, t.evaluations(spark, sf), overrides)
-    return folded.select("id", "status", "updated_at", F.col("error").isNotNull().alias("keeps_error"))
+    folded = folds.fold_state(t.articles(spark, sf), t.fetches(spark, sf), t.evaluations(spark, sf), overrides)
+    return folded.select("id", "status", "updated_at", "error")
 
 
 # --- content ---------------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import wraps
 from threading import RLock
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -103,13 +103,11 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 @stored
 def log_base(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per (article, line): the pairs repeat in the data, the largest row counts."""
+    """All line items as log rows.  Pairs of article and line repeat in the data: their rows are numbered, below 1,001 each."""
     fields = ["l_shipdate", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-    return (
-        read(spark, sf, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(F.max(F.struct(*fields)).alias("r"))
-        .select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "r.*")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*fields))
+    return read(spark, sf, "lineitem").select(
+        "l_orderkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1001 + nth - 1).alias("id"), *fields
     )
 
 

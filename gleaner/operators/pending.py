@@ -43,8 +43,11 @@ def queued_items(history: DataFrame, articles: DataFrame, stage: str, limit: int
         "range_since",
         "range_until",
     )
-    items = q.join(articles, q.article_id == articles.id).drop("article_id").orderBy("queue_id")
-    return items if limit is None else items.limit(limit)
+    if limit is not None:
+        # the page is cut on ids alone; articles are looked up for it afterwards
+        stored = articles.select(F.col("id").alias("article_id"))
+        q = q.join(stored, "article_id", "left_semi").orderBy("queue_id").limit(limit)
+    return q.join(articles, q.article_id == articles.id).drop("article_id").orderBy("queue_id")
 
 
 def enqueue(requests: DataFrame, history: DataFrame) -> DataFrame:

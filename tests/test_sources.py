@@ -266,6 +266,8 @@ def test_bodies_in_other_character_sets(spark):
         "plain": ("é 标题".encode(), "é 标题"), "gb": ('<?xml version="1.0" encoding="GB2312"?><a>标题</a>'.encode("gb2312"), "标题"),
         "latin": ("<?xml version='1.0' encoding='ISO-8859-1'?><u>/é</u>".encode("latin-1"), "/é"), "wide": ("<a>题</a>".encode("utf-16"), "<a>题</a>"),
         "meta": ('<meta charset=gbk><a href="/x">题</a>'.encode("gbk"), "题"), "marked": (b"\xef\xbb\xbf<a/>", "<a/>"),
+        "letter of gbk": ('<?xml version="1.0" encoding="gb2312"?><a>镕</a>'.encode("gbk"), "镕"),
+        "quotes": (b'<?xml version="1.0" encoding="iso-8859-1"?><a>\x93x\x94 \x80\x81</a>', "“x” €\x81"),
         "bad": (b"\xff\xfe\x00", None), "liar": (b'<?xml encoding="utf-8"?>\xff', None), "odd": (b'<?xml encoding="x-none"?><a/>', None), "none": (None, None),
     }
     frame = spark.createDataFrame([(name, raw) for name, (raw, _) in cases.items()], "name string, body binary")
