@@ -313,6 +313,42 @@ def published_snapshot(spark, sf):
     return index.join(stored, "slug").filter(F.col("path") == F.col("markdown_path")).drop("path")
 
 
+def _published_twice(spark, sf):
+    """Publish an earlier state (some titles differ, some articles aren't accepted yet, others are no more) and then the present one."""
+    folder, articles, logs = shared_folder(spark, "published-changes"), t.articles(spark, sf), t.fetches(spark, sf)
+    rest = logs, t.evaluations(spark, sf), t.links(spark, sf), t.vocabulary(spark, sf)
+    k = F.col("id")
+    earlier = articles.withColumns({
+        "title": F.when(k % 50 == 0, F.concat("title", F.lit(" (draft)"))).otherwise(F.col("title")),
+        "slug": F.when(k % 40 == 1, F.concat(F.lit("was-"), "slug")).otherwise(F.col("slug")),
+        "status": F.when(k % 30 == 2, F.lit("candidate")).otherwise(F.col("status")),
+    })
+    publishing.publish_changes(publishing.publishable_rows(earlier, *rest), logs, folder)
+    counts = publishing.publish_changes(publishing.publishable_rows(articles, *rest), logs, folder)
+    return folder, counts
+
+
+@query(f"""
+    WITH p AS ({_PUBLISHED})
+    SELECT COUNT(*) FILTER (WHERE id % 50 = 0 OR id % 40 = 1 OR id % 30 = 2) AS written,
+           COUNT(*) FILTER (WHERE id % 40 = 1 AND id % 30 <> 2) AS gone,
+           COUNT(*) FILTER (WHERE NOT (id % 50 = 0 OR id % 40 = 1 OR id % 30 = 2)) AS kept FROM p""")
+def published_change_counts(spark, sf):
+    _, counts = _published_twice(spark, sf)
+    return spark.createDataFrame([tuple(counts.values())], "written long, gone long, kept long")
+
+
+@query(f"WITH p AS ({_PUBLISHED}) SELECT slug, title, 'articles/' || slug || '.md' AS path, id FROM p")
+def published_changes(spark, sf):
+    """What stands after the second publishing: as if all had been published at once."""
+    folder, _ = _published_twice(spark, sf)
+    record = F.from_json("record", "title string, markdown_path string")
+    return publishing.published_articles(spark, folder).filter("document IS NOT NULL").select(
+        "slug", record["title"].alias("title"), record["markdown_path"].alias("path"), "id"
+    )
+
+
+
 @query(f"WITH p AS ({_PUBLISHED}) SELECT COUNT(*) AS published FROM p")
 def publish_counter(spark, sf):
     return publishing.publish_counter(_publishable(spark, sf))

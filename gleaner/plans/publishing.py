@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import publishing as text
@@ -11,24 +11,31 @@ from gleaner.operators.latest import latest, with_content, with_fetch_ids
 from gleaner.operators.tags import with_public_tags
 from gleaner.plans.listings import public_page
 from gleaner.session import drop_folder, point_to, pointed_to, written
+from gleaner.streaming.buckets import Buckets, buckets_for
 
 RECORD = ["slug", "title", "url", "source", "published_at", "collected_at", "content_type", "summary", "tags",
           "recommendation_reason", "markdown_path"]
 
 
-def publishable(
+def publishable_rows(
     articles: DataFrame, fetches: DataFrame, evaluations: DataFrame, links: DataFrame, vocabulary: DataFrame
 ) -> DataFrame:
-    """Accepted articles with their latest successful fetch, verdict and active tags.
+    """Accepted articles with verdict, active tags and the id of their latest successful fetch; written.
 
-    Both joins are inner: an accepted article lacking either is not published.  What
-    is published is settled on narrow rows, which are written; content comes last.
+    Both joins are inner: an accepted article lacking either is not published.
     """
     accepted = articles.filter(F.col("status") == "accepted").drop("source_content", "source_content_metadata", "error")
     verdict = latest(evaluations, "article_id", "summary", "content_type", "recommendation_reason")
     rows = with_fetch_ids(accepted, fetches).withColumnRenamed("id", "article_id").join(verdict, "article_id")
     tagged = with_public_tags(rows, links, vocabulary, key="article_id").withColumnRenamed("article_id", "id")
-    return with_content(written(tagged, "publishable"), fetches)
+    return written(tagged, "publishable")
+
+
+def publishable(
+    articles: DataFrame, fetches: DataFrame, evaluations: DataFrame, links: DataFrame, vocabulary: DataFrame
+) -> DataFrame:
+    """``publishable_rows`` with content, which comes last."""
+    return with_content(publishable_rows(articles, fetches, evaluations, links, vocabulary), fetches)
 
 
 def newest_first(rows: DataFrame) -> DataFrame:
@@ -74,10 +81,10 @@ def stale_slugs(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.select("slug").distinct().join(current.select("slug"), "slug", "left_anti")
 
 
-def snapshot_rows(rows: DataFrame) -> DataFrame:
+def snapshot_rows(rows: DataFrame, *keep: str) -> DataFrame:
     """Record (JSON, unknown values as null) and document of every article, with the sort keys of the index."""
     return rows.select(
-        "slug", item_time().alias("item_time"), "id", _record_json().alias("record"), _document().alias("document")
+        "slug", item_time().alias("item_time"), "id", _record_json().alias("record"), _document().alias("document"), *keep
     )
 
 
@@ -103,6 +110,50 @@ def publish_snapshot(rows: DataFrame, folder: str, documents_per_file: int = 20_
     return version
 
 
+_PUBLISHED = "slug string, item_time timestamp, id long, record string, document string, fingerprint string, gone boolean"
+
+
+def publish_changes(rows: DataFrame, fetches: DataFrame, folder: str) -> dict[str, int]:
+    """Bring what is published in ``folder`` to ``publishable_rows``, writing only what changed.
+
+    An article's fingerprint covers all its narrow columns and the id of its fetch, whose
+    content never changes, so content is read for changed articles alone.  Their records
+    and documents, and marks for the slugs that went, are added to the buckets of their
+    slugs; all other files are part of the new version as they are.  The index (records
+    only, in public order) is sorted anew, and one pointer moves when all is there.
+    Returns how many were written, gone and kept.
+    """
+    spark, state_folder = rows.sparkSession, f"{folder}/published"
+    told = pointed_to(spark, f"{folder}/current")
+    empty = spark.createDataFrame([], _PUBLISHED)
+    state = Buckets.load(spark, state_folder, int(told)) if told else Buckets.create(empty, state_folder, "slug", buckets_for(rows.count()))
+    names = sorted(rows.columns)
+    prints = rows.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
+    before = state.rows().filter("NOT gone").select("slug", "fingerprint")
+    changed = written(prints.join(before, ["slug", "fingerprint"], "left_anti"), "changed")
+    full = with_content(changed, fetches)
+    fresh = snapshot_rows(full, "fingerprint").withColumn("gone", F.lit(False))
+    lost = stale_slugs(before, prints).select("slug", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields[1:-1]], F.lit(True).alias("gone"))
+    new = written(fresh.select(*empty.columns).unionByName(lost), "published-changes")
+    touched = state.touched(new)
+    kept = state.before(new, touched).join(new.select("slug"), "slug", "left_anti")
+    state = state.advanced(kept.unionByName(new), touched)
+    public = state.rows().filter("NOT gone")
+    public.orderBy(F.desc("item_time"), F.desc("id")).select("record").write.mode("overwrite").text(f"{folder}/index-{state.version}")
+    point_to(spark, f"{folder}/current", str(state.version))
+    state.forget_before()
+    if state.version > 2:
+        drop_folder(spark, f"{folder}/index-{state.version - 2}")
+    counts = new.agg(F.count_if(~F.col("gone")).alias("written"), F.count_if(F.col("gone")).alias("gone")).first()
+    return {"written": counts.written, "gone": counts.gone, "kept": public.count() - counts.written}
+
+
+def published_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Slug, record and document of everything ``publish_changes`` has published."""
+    state = Buckets.load(spark, f"{folder}/published", int(pointed_to(spark, f"{folder}/current")))
+    return state.rows().filter("NOT gone").select("slug", "item_time", "id", "record", "document")
+
+
 def published_version(spark: SparkSession, folder: str) -> str | None:
     """The folder (``articles``, ``index``) of what is public now."""
     number = pointed_to(spark, f"{folder}/current")

@@ -213,6 +213,33 @@ def test_only_chosen_content_is_shuffled_and_once(spark):
     assert sorted(r.id for r in found) == sorted(r.id for r in publishing.publishable(rows, log, judged, tagged, words).collect())
 
 
+def test_publishing_writes_what_changed(spark, tmp_path):
+    rows, log, judged, _, tagged, words = state(spark)
+    many = spark.range(10, 310).select(F.col("id"), F.concat(F.lit("s"), "id").alias("n"))
+    base = rows.filter("id = 2").drop("id", "slug", "title", "url", "normalized_url")
+    more = many.crossJoin(base).select("*", F.col("n").alias("slug"), F.col("n").alias("title"), F.col("n").alias("url"), F.col("n").alias("normalized_url")).select(rows.columns)
+    content = log.filter("id = 3").drop("id", "article_id").crossJoin(many).select("*", (F.col("id") + 1000).alias("new"), F.col("id").alias("article_id")).drop("id", "n").withColumnRenamed("new", "id").select(log.columns)
+    verdict = judged.filter("article_id = 2").limit(1).drop("id", "article_id").crossJoin(many).select("*", F.col("id").alias("article_id")).drop("n").select(judged.columns)
+    everything = rows.unionByName(more), log.unionByName(content), judged.unionByName(verdict), tagged, words
+    folder = str(tmp_path)
+    first = publishing.publishable_rows(*everything)
+    n = first.count()
+    assert publishing.publish_changes(first, everything[1], folder) == {"written": n, "gone": 0, "kept": 0} and n > 300
+    changed = everything[0].withColumn("title", F.when(F.col("id").between(20, 28), F.lit("New")).otherwise(F.col("title"))).filter("id <> 30")
+    second = publishing.publishable_rows(changed, *everything[1:])
+    assert publishing.publish_changes(second, everything[1], folder) == {"written": 9, "gone": 1, "kept": n - 10}
+    stored = spark.read.parquet(str(next(tmp_path.glob("published/rows/batch=2"))))
+    assert stored.filter("NOT gone").count() < 9 + n // 4 and stored.filter("gone").count() == 1
+    pick = lambda frame_of: sorted((r.slug, r.record, r.document) for r in frame_of.collect())
+    whole = publishing.snapshot_rows(publishing.publishable(changed, *everything[1:]))
+    assert pick(publishing.published_articles(spark, folder)) == pick(whole)
+    lines = [r.value for r in spark.read.text(f"{folder}/index-2").collect()]
+    assert lines == [r.record for r in whole.orderBy(F.desc("item_time"), F.desc("id")).collect()]
+    assert publishing.publish_changes(second, everything[1], folder) == {"written": 0, "gone": 0, "kept": n - 1}
+    # an article that comes back is written again
+    assert publishing.publish_changes(first, everything[1], folder) == {"written": 10, "gone": 0, "kept": n - 10}
+
+
 def test_ids_that_share_bits(spark):
     ids = spark.createDataFrame([(0,), (1,), (32_768,), (32_769,), (1 << 40,), (None,)], "id bigint")
     asked = spark.range(0, 70_000).unionByName(spark.createDataFrame([(1 << 40,), ((1 << 40) + 1,), (None,)], "id bigint"))
