@@ -2,7 +2,8 @@
 
 The hash of values v[a:b] is mix(sum of f(v[i]) * B^(i-a)) modulo 2^64 for an odd
 B, taken from one running sum per batch, so that any number of substrings is
-hashed without a Python loop.
+hashed without a Python loop.  Some long words of one length share such a hash, so it
+only finds what is then compared; ``distinct`` and ``Remembered`` tell words apart.
 """
 
 from __future__ import annotations
@@ -102,10 +103,52 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+def distinct(values: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words as bytes, where each occurs first, and the number of every word's.
+
+    Words lie one after another and are told apart by what they hold; ``edges`` has the
+    start of every word and the end of the last.
+    """
+    offsets = pa.py_buffer(np.ascontiguousarray(edges * values.itemsize, np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+    coded = words.dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    return coded.dictionary.to_pylist(), first, numbers
+
+
+class _Growing:
+    """An array that grows at its end; room is doubled, so adding costs what is added."""
+
+    def __init__(self, kind):
+        self._all, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self._all):
+            self._all = np.concatenate([self._all, np.zeros_like(self._all)])
+        self._all[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._all[: self.size]
+
+
+def _differing(values: np.ndarray, starts: np.ndarray, others: np.ndarray, other_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of some words in ``values`` aren't the words of the same lengths in ``others``."""
+    unlike = values[ranges(starts, lengths)] != others[ranges(other_starts, lengths)]
+    word = np.zeros(len(lengths), bool)
+    word[np.searchsorted(np.cumsum(lengths), np.flatnonzero(unlike), "right")] = True
+    return word
+
+
 class Remembered:
-    """Ids of words by hash, so that a worker works each word out once.
+    """Ids of words, so that a worker works each word out once.
 
-    At most about ``most`` words are held; then all are forgotten.
+    Words are found by a hash and then compared; of several words with one hash only
+    the first is held, and the others are worked out whenever they come.  At most about
+    ``most`` words are held; then all are forgotten.
     """
 
     def __init__(self, most: int):
@@ -113,29 +156,60 @@ class Remembered:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.counts, self.begins = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def look_up(self, hashes: np.ndarray, work_out) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.counts, self.begins, self.lengths, self.places = (_Growing(np.int64) for _ in range(4))
+        self.ids, self.points = _Growing(np.int32), _Growing(np.uint32)
+
+    def _add(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        values, starts, lengths = words
+        ids, counts = found
+        rows = self.counts.size + np.arange(len(counts))
+        self.begins.add(self.ids.size + np.cumsum(counts) - counts)
+        self.places.add(self.points.size + np.cumsum(lengths) - lengths)
+        self.counts.add(counts)
+        self.lengths.add(lengths)
+        self.ids.add(ids)
+        self.points.add(values[ranges(starts, lengths)])
+        return rows
+
+    def look_up(self, values: np.ndarray, edges: np.ndarray, work_out) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another and how many each has.
 
-        ``work_out`` gives the same for the words at the places it is handed.
+        Words lie one after another between ``edges``; ``work_out`` gives ids and counts
+        of the words whose numbers it is handed.
         """
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        starts, lengths = edges[:-1], np.diff(edges)
+        keys, first, inverse = np.unique(Substrings(values).hashes(starts, edges[1:]), return_index=True, return_inverse=True)
+        if max(len(self.keys), self.counts.size // 2) > self.most:
             self._forget()
-        rows = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[rows] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            ids, counts = work_out(first[new])
-            at = np.searchsorted(self.keys, keys[new])
-            self.keys = np.insert(self.keys, at, keys[new])
-            self.counts = np.insert(self.counts, at, counts)
-            self.begins = np.insert(self.begins, at, len(self.flat) + np.cumsum(counts) - counts)
-            self.flat = np.concatenate([self.flat, ids])
-        rows = np.searchsorted(self.keys, keys)[inverse]
-        counts = self.counts[rows]
-        return self.flat[ranges(self.begins[rows], counts)], counts
+        places = np.searchsorted(self.keys, keys)
+        held = self.keys[np.minimum(places, max(len(self.keys) - 1, 0))] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        rows = np.full(len(keys), -1)
+        rows[held] = self.rows[places[held]]
+        # held under this hash, but another word?
+        known = np.flatnonzero(held)
+        fits = lengths[first[known]] == self.lengths.values[rows[known]]
+        known, unlike = known[fits], known[~fits]
+        other = _differing(values, starts[first[known]], self.points.values, self.places.values[rows[known]], lengths[first[known]])
+        strange = np.concatenate([unlike, known[other]])
+        new = np.flatnonzero(~held)
+        fresh = np.sort(np.concatenate([new, strange]))
+        if len(fresh):
+            at = first[fresh]
+            rows[fresh] = self._add((values, starts[at], lengths[at]), work_out(at))
+            self.rows = np.insert(self.rows, places[new], rows[new])
+            self.keys = np.insert(self.keys, places[new], keys[new])
+        rows = rows[inverse]
+        # words of this batch that share a hash with an earlier one of it, but aren't that word
+        again = np.flatnonzero(first[inverse] != np.arange(len(starts)))
+        leader = first[inverse[again]]
+        same = lengths[again] == lengths[leader]
+        other = _differing(values, starts[again[same]], values, starts[leader[same]], lengths[again[same]])
+        odd = np.sort(np.concatenate([again[~same], again[same][other]]))
+        if len(odd):
+            rows[odd] = self._add((values, starts[odd], lengths[odd]), work_out(odd))
+        counts = self.counts.values[rows]
+        return self.ids.values[ranges(self.begins.values[rows], counts)], counts
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

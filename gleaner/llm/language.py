@@ -4,7 +4,7 @@ The vocabulary is a public piece file.  Each language has a probability for ever
 piece; the probability of a word is the sum over all ways to cut it into pieces,
 found by a forward algorithm, and a text scores the product over its words.  Words
 are runs of letters of the lower-cased text with the visible blank before them; a
-run of over ``LONGEST`` letters is scored in slices of that length.
+run may have any length; only in training, runs of over ``LONGEST`` letters are cut.
 
 Training is expectation maximisation of the piece probabilities, run as Spark jobs
 on a bounded sample: about ``sample_rows`` labelled rows of each language (all rows
@@ -36,7 +36,8 @@ from gleaner.session import written
 UNDETERMINED = "und"
 SAMPLE_ROWS = 3_000
 STEPS = 2
-LONGEST = 64
+LONGEST = 64  # letters of a word in training
+RESCALED = 64
 SMOOTHING = 0.05
 UNKNOWN = 1e-9  # probability of a letter that is no piece, in every language
 _LIFT = 40.0  # each letter's factor that keeps products of probabilities in range
@@ -51,14 +52,19 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
     return _alphabetic[0][points]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters with a blank before each word, starts and ends of words, first word of each text."""
+def words_of(data: np.ndarray, offsets: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters with a blank before each word, starts and ends of words, first word of each text.
+
+    With ``longest`` longer words are cut into such lengths.
+    """
     points, places = arrays.code_points(data, offsets, lower=True)
     starts, ends = arrays.runs(_is_letter(points))
-    slices = np.maximum(-(-(ends - starts) // LONGEST), 1)
-    nth = arrays.ranges(np.zeros(len(slices), np.int64), slices)
-    starts, stops = np.repeat(starts, slices) + nth * LONGEST, np.repeat(ends, slices)
-    lengths = np.minimum(stops - starts, LONGEST)
+    if longest:
+        slices = np.maximum(-(-(ends - starts) // longest), 1)
+        nth = arrays.ranges(np.zeros(len(slices), np.int64), slices)
+        starts, ends = np.repeat(starts, slices) + nth * longest, np.repeat(ends, slices)
+        ends = np.minimum(ends, starts + longest)
+    lengths = ends - starts
     edges = np.cumsum(lengths + 1)
     values = np.full(int(edges[-1]) if len(edges) else 0, SPACE, np.uint32)
     values[arrays.ranges(edges - lengths, lengths)] = points[arrays.ranges(starts, lengths)]
@@ -71,11 +77,34 @@ def word_logs(vocabulary: Pieces, chances: np.ndarray, values: np.ndarray, start
     chances = np.vstack([chances * 1.0, np.zeros((1, chances.shape[1]))])
     logs = np.zeros((len(starts), chances.shape[1]))
     for numbers, length, places in lattice.by_length():
-        forward = _forward(vocabulary, lattice, chances, length, places)
-        np.add.at(logs, lattice.word[numbers], np.log(forward[length]) - length * np.log(_LIFT))
+        np.add.at(logs, lattice.word[numbers], _log_sums(vocabulary, lattice, chances, length, places))
     return logs
 
 
+def _log_sums(vocabulary: Pieces, lattice: Lattice, chances: np.ndarray, length: int, places: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations.
+
+    Only the sums that the longest piece can reach back to are held, and they are
+    brought back to range every ``RESCALED`` letters, so words may have any length.
+    """
+    recent, scale = [np.ones((len(places), chances.shape[1]))], 0.0
+    for end in range(1, length + 1):
+        total = 0.0
+        for size in range(1, min(end, vocabulary.longest) + 1):
+            hit = lattice.hits[size - 1][places + end - size]
+            if size > 1 and not (hit >= 0).any():
+                continue
+            step = chances[hit]
+            if size == 1:
+                step = np.where((hit < 0)[:, None], UNKNOWN, step)
+            total = total + recent[-size] * step * _LIFT**size
+        recent = [*recent[-vocabulary.longest + 1 :], total] if vocabulary.longest > 1 else [total]
+        if end % RESCALED == 0 and end < length:
+            scale = scale + np.log(total)
+            recent = [one / total for one in recent]
+    return np.log(recent[-1]) + scale - length * np.log(_LIFT)
+
+
 def _forward(vocabulary: Pieces, lattice: Lattice, chances: np.ndarray, length: int, places: np.ndarray) -> list[np.ndarray]:
     """Sums over all segmentations of the first letters, lifted by a factor per letter."""
     sums = [np.ones((len(places), chances.shape[1]))]
@@ -167,9 +196,9 @@ def _count_with(path: str, languages: list[str], chances: np.ndarray):
             label = np.array([number[name] for name in batch.column("lang").to_pylist()], np.int64)
             for start, stop in arrays.chunks(offsets):
                 part = offsets[start : stop + 1]
-                values, starts, ends, first = words_of(data[part[0] : part[-1]], part - part[0])
-                keys, place, inverse = np.unique(arrays.Substrings(values).hashes(starts, ends), return_index=True, return_inverse=True)
-                weights = np.zeros((len(keys), len(languages)))
+                values, starts, ends, first = words_of(data[part[0] : part[-1]], part - part[0], LONGEST)
+                words, place, inverse = arrays.distinct(values, np.append(starts, len(values)))
+                weights = np.zeros((len(words), len(languages)))
                 np.add.at(weights, (inverse, np.repeat(label[start:stop], np.diff(first))), 1)
                 lengths = ends[place] - starts[place]
                 edges = np.cumsum(lengths)
@@ -191,24 +220,25 @@ class _Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros((0, len(self.model.languages)))
+        self.rows: dict[bytes, int] = {}
+        self.logs = np.zeros((0, len(self.model.languages)))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Has a letter, number of the best language, its posterior; for each text."""
         values, starts, ends, first = words_of(data, offsets)
-        keys, place, inverse = np.unique(arrays.Substrings(values).hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > MOST_WORDS:
+        words, place, inverse = arrays.distinct(values, np.append(starts, len(values)))
+        if len(self.rows) > MOST_WORDS:
             self._forget()
-        rows = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[rows] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
+        rows = np.fromiter((self.rows.get(word, -1) for word in words), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
             lengths = (ends - starts)[place[new]]
             edges = np.cumsum(lengths)
             flat = values[arrays.ranges(starts[place[new]], lengths)]
-            logs = word_logs(self.vocabulary, self.model.chances, flat, edges - lengths, edges)
-            at = np.searchsorted(self.keys, keys[new])
-            self.keys, self.logs = np.insert(self.keys, at, keys[new]), np.insert(self.logs, at, logs, axis=0)
-        logs = self.logs[np.searchsorted(self.keys, keys)][inverse] if len(keys) else np.zeros((0, len(self.model.languages)))
+            rows[new] = len(self.logs) + np.arange(len(new))
+            self.rows.update((words[i], row) for i, row in zip(new.tolist(), rows[new].tolist()))
+            self.logs = np.concatenate([self.logs, word_logs(self.vocabulary, self.model.chances, flat, edges - lengths, edges)])
+        logs = self.logs[rows[inverse]]
         sums = np.vstack([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
         texts = sums[first[1:]] - sums[first[:-1]]
         best = texts.argmax(axis=1)

@@ -34,6 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +63,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     place = np.ones(len(wide), bool)
     place[stops] = False
     wide[place] = ~blank
-    points = np.zeros(len(wide), np.uint8)
-    points[place] = lowered
     starts, ends = arrays.runs(wide)
-    words = arrays.Substrings(points).hashes(starts, ends)
+    spelled, _, numbers = arrays.distinct(lowered[~blank], np.concatenate([[0], np.cumsum(ends - starts)]))
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, spelled), np.uint64, len(spelled))[numbers]
     firsts = np.searchsorted(starts, offsets + np.arange(len(offsets)))
     sets = []
     joined = np.zeros(max(len(words) - width + 1, 0), np.uint64)

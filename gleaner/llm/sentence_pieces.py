@@ -107,7 +107,7 @@ class Encoder:
             edges = np.cumsum(lengths)
             return segment(self.vocabulary, values[arrays.ranges(begins, lengths)], edges - lengths, edges)
 
-        ids, counts = self.words.look_up(arrays.Substrings(values).hashes(starts, ends), work_out)
+        ids, counts = self.words.look_up(values, np.append(starts, len(values)), work_out)
         return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, edges)]
 
 

@@ -1,11 +1,13 @@
 """Token ids in files: canonical length-limited Huffman codes from global counts.
 
-Texts are encoded with the ``tokenizers`` library.  A first pass counts every id
-over all documents; the counts (one per id of the vocabulary) give code lengths of
-at most ``LIMIT`` bits by package-merge, and canonical codes.  A second pass puts
-the documents in ascending order of (id, hash of the text) by one range exchange
-and writes blocks.  Encoding twice costs processor time and saves a copy of all ids
-on disk, and a document's place is fixed before it is coded.
+Texts are encoded once, with the ``tokenizers`` library, into a table of ids of two
+bytes (four for vocabularies above 65,536).  Every id of it is counted; the counts
+(one per id of the vocabulary) give code lengths of at most ``LIMIT`` bits by
+package-merge, and canonical codes.  Then the ids, not the texts, are put in ascending
+order of (document id, hash of the text) by one range exchange and written in blocks.
+
+Files of byte-level BPE with the usual splitting into words are read word by word, and
+a word's ids are remembered; every other kind of file gets whole texts.
 
 The format is two Parquet tables in a folder.  ``codebook`` has (id, length).
 ``blocks`` has a row per independent block of whole documents, at least
@@ -21,6 +23,7 @@ kept.  An empty table gives files without rows.  Extra columns are not carried.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import arrays
+from gleaner.session import shared_folder
 
 LIMIT = 18
 BLOCK_IDS = 1 << 18
@@ -105,6 +109,16 @@ def _byte_letters() -> dict[int, str]:
     return {byte: chr(byte) for byte in plain} | {byte: chr(256 + i) for i, byte in enumerate(others)}
 
 
+def _splits_as_usual(told: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE that splits words by its own pattern and changes nothing before."""
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    odd = any(model.get(name) for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return (
+        model["type"] == "BPE" and not odd and told["normalizer"] is None
+        and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    )
+
+
 class Tokens:
     """Encodes batches of texts with the library and remembers the words it has met."""
 
@@ -112,11 +126,16 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _splits_as_usual(json.loads(self.tokenizer.to_str()))
         self.kinds, self.letters = _classes(), _byte_letters()
         self.words = arrays.Remembered(MOST_WORDS)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        if not self.by_words:
+            raw, edges = data.tobytes(), offsets.tolist()
+            found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(edges, edges[1:])], add_special_tokens=False)
+            return [np.array(one.ids, np.int32) for one in found]
         points, places = arrays.code_points(data, offsets)
         kinds = self.kinds[points]
         result: list[np.ndarray | None] = [None] * (len(offsets) - 1)
@@ -143,7 +162,7 @@ class Tokens:
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
-        ids, counts = self.words.look_up(arrays.Substrings(points).hashes(starts, ends), work_out)
+        ids, counts = self.words.look_up(points, np.append(starts, len(points)), work_out)
         edges = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, places)]
         return [ids[edges[row] : edges[row + 1]] if one is None else one for row, one in enumerate(result)]
 
@@ -160,25 +179,59 @@ def _encoded(column: pa.Array, path: str, end_id: int) -> Iterator[list[np.ndarr
         yield [np.append(ids, np.int32(end_id)) for ids in tokens.encode(data[part[0] : part[-1]], part - part[0])]
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int, text_column: str = "text") -> np.ndarray:
-    """How often every id occurs in all documents; the vocabulary bounds what reaches the driver."""
+def _narrow(path: str, end_id: int) -> np.dtype:
+    """The type of written ids."""
+    tokens = _tokens.get(path) or _tokens.setdefault(path, Tokens(path))
+    return np.dtype("<u2" if max(tokens.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+
+_ENCODED = "doc_id long, tie long, ids binary, uses binary"
+
+
+def encoded_ids(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, tie and the ids of every text with the end id, written; and how often every id occurs in all documents.
+
+    A task adds one row with its counts, so the vocabulary bounds what reaches the driver.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, total = _narrow(path, end_id), np.zeros(0, np.int64)
+        names = ["doc_id", "tie", "ids", "uses"]
         for batch in batches:
+            at = 0
             for texts in _encoded(batch.column("text"), path, end_id):
+                rows = batch.slice(at, len(texts))
+                at += len(texts)
                 more = np.bincount(np.concatenate(texts), minlength=len(total))
                 more[: len(total)] += total
                 total = more
+                ids = pa.array([one.astype(kind).tobytes() for one in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), ids, pa.nulls(len(texts), pa.binary())], names=names)
+        if len(total):
+            nothing = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column("uses").to_pylist():
+                more = np.frombuffer(raw, "<i8")
+                both = np.zeros(max(len(more), len(total)), np.int64)
+                both[: len(total)] += total
+                both[: len(more)] += more
+                total = both
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "uses"])
 
-    spread = docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(count, "id long, uses long")
-    rows = spread.groupBy("id").agg(F.sum("uses").alias("uses")).collect()
+    folder = shared_folder(docs.sparkSession, "token-ids")
+    docs.mapInArrow(encode, _ENCODED).write.option("compression", "zstd").parquet(folder)
+    written = docs.sparkSession.read.schema(_ENCODED).parquet(folder)
+    uses = written.filter("uses IS NOT NULL").select("uses").mapInArrow(counted, "id long, uses long")
+    rows = uses.groupBy("id").agg(F.sum("uses").alias("uses")).collect()
     counts = np.zeros(max((row.id for row in rows), default=-1) + 1, np.int64)
     for row in rows:
         counts[row.id] = row.uses
-    return counts
+    return written.filter("ids IS NOT NULL").drop("uses"), counts
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -261,7 +314,7 @@ _BLOCKS = (
 
 def _block_writer(path: str, end_id: int, lengths: np.ndarray, limit: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part = Code(lengths, limit), TaskContext.get().partitionId()
+        code, part, kind = Code(lengths, limit), TaskContext.get().partitionId(), _narrow(path, end_id)
         state = {"block": 0, "before": 0}
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -280,17 +333,15 @@ def _block_writer(path: str, end_id: int, lengths: np.ndarray, limit: int):
 
         held = 0
         for batch in batches:
-            doc_ids = iter(batch.column("doc_id").to_pylist())
-            for texts in _encoded(batch.column("text"), path, end_id):
-                for one in texts:
-                    ids.append(one)
-                    names.append(next(doc_ids))
-                    held += len(one)
-                    if held >= BLOCK_IDS:
-                        yield block()
-                        ids.clear()
-                        names.clear()
-                        held = 0
+            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                ids.append(np.frombuffer(raw, kind))
+                names.append(name)
+                held += len(ids[-1])
+                if held >= BLOCK_IDS:
+                    yield block()
+                    ids.clear()
+                    names.clear()
+                    held = 0
         if ids:
             yield block()
 
@@ -302,17 +353,14 @@ def write_token_files(
 ) -> None:
     """Encode all documents into ``folder``."""
     path = path or default_path()
-    counts = count_ids(docs, path, end_id, text_column)
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    encoded, counts = encoded_ids(texts.withColumn("tie", F.xxhash64("text")), path, end_id)
     lengths = code_lengths(counts, limit)
     used = np.flatnonzero(lengths)
     spark = docs.sparkSession
     book = spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist())), "id int, length int")
     book.coalesce(1).write.parquet(f"{folder}/codebook")
-    ordered = (
-        docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    )
+    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.mapInArrow(_block_writer(path, end_id, lengths, limit), _BLOCKS).write.parquet(f"{folder}/blocks")
 
 

@@ -301,6 +301,15 @@ def test_word_starts_as_the_library_has_them():
         assert tokens.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist(), text
 
 
+def _least_bits(weights, limit):
+    """The bits of an optimal code of limited length: coins of every denomination, the cheapest paired upwards."""
+    coins = sorted(weights)
+    for _ in range(limit - 1):
+        pairs = [a + b for a, b in zip(coins[::2], coins[1::2])]
+        coins = sorted([*weights, *pairs])
+    return sum(coins[: 2 * len(weights) - 2])
+
+
 @pytest.mark.parametrize("limit", [9, 12, 18])
 def test_codes_are_short_and_exact(limit):
     rng = np.random.default_rng(limit)
@@ -308,9 +317,7 @@ def test_codes_are_short_and_exact(limit):
     counts = np.bincount(ids)
     lengths = token_files.code_lengths(counts, limit)
     assert lengths.max() <= limit and (0.5 ** lengths[lengths > 0]).sum() == 1
-    share = counts[counts > 0] / counts.sum()
-    entropy = -(share * np.log2(share)).sum()
-    assert entropy <= (lengths * counts).sum() / counts.sum() <= entropy + 1
+    assert (lengths * counts).sum() == _least_bits(counts[counts > 0].tolist(), limit)
     code = token_files.Code(lengths, limit)
     for size in (0, 1, 511, 512, 513, 20_000):
         bits, checkpoints = code.pack(ids[:size])
@@ -460,6 +467,122 @@ def test_warc_reader_steps_over_and_reads_plain_members(tmp_path):
     assert batches == [[{"record_id": "urn:page:2", "payload": b"\0y"}]]
 
 
+def test_many_plain_members_of_many_sizes(tmp_path):
+    import gzip
+
+    from pyspark.sql.types import StructType
+
+    draw, payloads = random.Random(1), []
+    with open(tmp_path / "f.warc.gz", "wb") as file:
+        for i in range(1000):
+            payloads.append(draw.randbytes(draw.choice([0, 1, 50, 900, 4000, 4096, 4097, 9000, 70_000])))
+            file.write(gzip.compress(warc.record_bytes({"record_id": f"urn:page:{i}", "payload": payloads[-1]}), draw.choice([0, 1, 9])))
+    for names in ("record_id string, payload binary, payload_bytes long", "record_id string, payload_bytes long", "record_id string"):
+        reader = warc.WarcReader(str(tmp_path), StructType.fromDDL(names))
+        rows = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+        assert [row["record_id"] for row in rows] == [f"urn:page:{i}" for i in range(1000)]
+        if "payload_bytes" in names:
+            assert [row["payload_bytes"] for row in rows] == [len(one) for one in payloads]
+        if "payload binary" in names:
+            assert [row["payload"] for row in rows] == payloads
+
+
+def test_foreign_records(tmp_path):
+    from pyspark.sql.types import StructType
+
+    def record(kind, content_type, block):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}>\r\nContent-Type: {content_type}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return warc.member(head.encode() + block + b"\r\n\r\n")
+
+    # the length a server told is not that of what was kept
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n" + b"y" * 50
+    (tmp_path / "f.warc.gz").write_bytes(
+        record("warcinfo", "application/warc-fields", b"software: x\r\n\r\nmore") + record("response", "application/http; msgtype=response", http)
+        + record("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n") + record("revisit", "application/http", http[:38])
+    )
+    for names in ("record_type string, payload_bytes long", "record_type string, payload_bytes long, payload binary"):
+        reader = warc.WarcReader(str(tmp_path), StructType.fromDDL(names))
+        rows = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+        assert [(row["record_type"], row["payload_bytes"]) for row in rows] == [("warcinfo", 19), ("response", 50), ("request", 0), ("revisit", 7)]
+    assert [row["payload"] for row in rows] == [b"software: x\r\n\r\nmore", b"y" * 50, b"", None]
+
+
+def test_archive_query_pushes_its_filters(prepared, tmp_path):
+    same = "<p>copy</p>" * 30
+    rows = [(i, f"http://a/{i}", same if i % 3 else f"<p>{i}</p>" * 20) for i in range(60)]
+    _pages(prepared, *rows).write.parquet(f"{tmp_path}/pages.parquet")
+    from gleaner.llm import queries
+
+    frame = queries.queries()["op10_warc"](prepared, str(tmp_path))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "Exchange" not in plan and not re.search(r"\bFilter\b", plan)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in frame.collect()) == [
+        (i, "revisit", 1) if i % 3 and i != 1 else (i, "response", None) for i in range(60)]
+
+
+def _thue_morse(letters):
+    word = "a"
+    while len(word) < letters:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_words_are_told_apart_by_content(prepared, tmp_path, letters):
+    """Words that every polynomial hash modulo 2^64 takes for one."""
+    from tokenizers import Tokenizer
+
+    one, other = _thue_morse(letters)
+    points = np.frombuffer((one + other).encode("utf-32-le"), "<u4")
+    words, first, numbers = arrays.distinct(points, np.array([0, letters, 2 * letters]))
+    assert len(words) == 2 and numbers.tolist() == [0, 1] and first.tolist() == [0, 1]
+    frame = docs(prepared, (1, f"{one} x y z"), (2, f"{other} x y z"), (3, f"{one} x y z")).coalesce(1)
+    tokenizer = Tokenizer.from_file(token_files.default_path())
+    token_files.write_token_files(frame, str(tmp_path / "t"), end_id=2)
+    for row in token_files.read_token_files(prepared, str(tmp_path / "t")).collect():
+        want = [*tokenizer.encode(f"{other if row.doc_id == 2 else one} x y z", add_special_tokens=False).ids, 2]
+        assert np.frombuffer(row.ids, "<u4").tolist() == want
+    decoded = sentence_pieces.decode(sentence_pieces.encode(frame)).collect()
+    assert all(row.decoded == row.text for row in decoded)
+    linked = near_dedup.near_duplicates(docs(prepared, (1, one), (2, other), (3, one), (4, f"{one} b c"), (5, f"{other} b c")), width=3, percent=85)
+    assert {r.doc_id: r.component_id for r in linked.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_long_words_are_scored_over_all_segmentations():
+    vocabulary = pieces.pieces(pieces.default_path())
+    draw = np.random.default_rng(2)
+    chances = draw.random((len(vocabulary), 2))
+    chances /= chances.sum(axis=0)
+    text = "".join(draw.choice(list("aeinrstdhlu"), 400)).encode()
+    values, starts, ends, _ = language.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(starts) == 1
+    number = {bytes(name): i for i, name in enumerate(np.array(vocabulary.points, "<u4").tobytes()[i * 4 * vocabulary.longest:(i + 1) * 4 * vocabulary.longest] for i in range(len(vocabulary)))}
+    logs = np.full((len(values) + 1, 2), -np.inf)
+    logs[0] = 0
+    for end in range(1, len(values) + 1):
+        for size in range(1, min(end, vocabulary.longest) + 1):
+            name = np.zeros(vocabulary.longest, "<u4")
+            name[:size] = values[end - size:end]
+            found = number.get(name.tobytes())
+            if found is not None or size == 1:
+                step = np.log(chances[found] if found is not None else np.full(2, language.UNKNOWN))
+                logs[end] = np.logaddexp(logs[end], logs[end - size] + step)
+    assert np.allclose(language.word_logs(vocabulary, chances, values, starts, ends)[0], logs[-1], rtol=1e-9)
+
+
+def test_other_kinds_of_tokenizer_files(prepared, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "Hello  World it's"), (2, None), (3, "É 12 x"), (4, "a<|endoftext|>b")]
+    token_files.write_token_files(docs(prepared, *rows), str(tmp_path / "t"), end_id=70_000, path=path)
+    tokenizer = Tokenizer.from_file(path)
+    for row in token_files.read_token_files(prepared, str(tmp_path / "t")).collect():
+        want = [*tokenizer.encode(dict(rows)[row.doc_id] or "", add_special_tokens=False).ids, 70_000]
+        assert np.frombuffer(row.ids, "<u4").tolist() == want
+
+
 def test_hashes_of_substrings():
     values = np.frombuffer("abcabcXabc".encode("utf-32-le"), "<u4")
     sub = arrays.Substrings(values)
