@@ -8,7 +8,7 @@ from gleaner.catalog import tables as t
 from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
 from gleaner.functions.times import build_time_range
-from gleaner.operators import content, filters, folds, latest, pending, upsert
+from gleaner.operators import content, filters, folds, history, latest, pending, upsert
 
 AS_OF = "2025-01-01 00:00:00"
 
@@ -290,6 +290,34 @@ def override_fold(spark, sf):
     return folded.select("id", "status", "updated_at", "error")
 
 
+# --- past moments ----------------------------------------------------------------
+
+_QUARTERS = [f"{year}-{month:02}-01" for year in range(1992, 2000) for month in (1, 4, 7, 10)]
+
+
+@query(f"""
+    WITH days AS (SELECT TIMESTAMP '1992-01-01' + to_months(CAST(3 * i AS INTEGER)) AS day FROM range({len(_QUARTERS)}) r(i)),
+         seen AS (SELECT day, article_id, MAX(id) AS id FROM days JOIN fetches ON fetched_at <= day GROUP BY day, article_id)
+    SELECT {iso("day")} AS moment, status, COUNT(*) AS n FROM seen JOIN fetches USING (id) GROUP BY day, status""")
+def fetch_status_by_quarter(spark, sf):
+    """How the latest fetches stood at the beginning of every quarter."""
+    spans = history.intervals(t.fetches(spark, sf), "article_id", "fetched_at", "status")
+    moments = [F.lit(day).cast("timestamp") for day in _QUARTERS]
+    return history.at_moments(spans, moments).groupBy("moment", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH seen AS (SELECT f.id AS fetch_id, f.article_id, MAX(e.id) AS id FROM fetches f JOIN evaluations e
+                  ON e.article_id = f.article_id AND e.evaluated_at <= f.fetched_at GROUP BY f.id, f.article_id)
+    SELECT fetch_id, s.article_id, s.id AS evaluation_id, decision FROM seen s JOIN evaluations e ON e.id = s.id""")
+def verdicts_at_fetch(spark, sf):
+    """The verdict that stood when an article was fetched again."""
+    spans = history.intervals(t.evaluations(spark, sf), "article_id", "evaluated_at", "decision")
+    asked = t.fetches(spark, sf).select(F.col("id").alias("fetch_id"), "article_id", "fetched_at")
+    found = history.joined_as_of(asked, spans, "article_id", "fetched_at", "year")
+    return found.select("fetch_id", "article_id", F.col("id").alias("evaluation_id"), "decision")
+
+
 # --- content ---------------------------------------------------------------------
 
 def _to_fetch(spark, sf):

@@ -143,3 +143,23 @@ def streamed_discovery_counters(spark, sf):
 def streamed_discovery_run(spark, sf):
     """All counters of a streamed discovery run."""
     return _discovery_run(spark, sf, "streamed-discovery")
+
+
+@query("""
+    WITH f AS (SELECT * FROM stage_history WHERE stage = 'fetch'), e AS (SELECT * FROM stage_history WHERE stage = 'evaluate')
+    SELECT f.id AS fetch_id, f.article_id, e.id AS evaluation_id, epoch_us(e.created_at) - epoch_us(f.created_at) AS micros
+    FROM f JOIN e ON e.article_id = f.article_id AND e.created_at >= f.created_at AND e.created_at <= f.created_at + INTERVAL 12 HOUR""")
+def streamed_latencies(spark, sf):
+    """Time from a fetch stage to the evaluations of its article within twelve hours, as two joined streams."""
+    folder = shared_folder(spark, "streamed-latencies")
+    history = t.stage_history(spark, sf).select("id", "article_id", "stage", "created_at")
+    # the earlier half of the time first, so that no row is late
+    micros = F.unix_micros("created_at")
+    middle = history.agg(((F.min(micros) + F.max(micros)) / 2).alias("middle")).first().middle or 0.0
+
+    def writer(stream):
+        sides = [stream.filter(F.col("stage") == stage).withColumnRenamed("created_at", at) for stage, at in (("fetch", "fetched_at"), ("evaluate", "evaluated_at"))]
+        return incremental.latency_stream(incremental.stage_latencies(*sides, within="12 hours"), folder)
+
+    _run_in_parts(history, (micros > F.lit(middle)).cast("int"), folder, writer, parts=2)
+    return spark.read.parquet(f"{folder}/latencies").select("fetch_id", "article_id", "evaluation_id", "micros")

@@ -196,6 +196,41 @@ def stage_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 min
     )
 
 
+def stage_latencies(fetched: DataFrame, evaluated: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Each successful fetch with the evaluations of its article that follow within some time.
+
+    ``fetched`` has id, article_id and fetched_at, ``evaluated`` id, article_id and
+    evaluated_at.  Both sides have a watermark, so state is held for ``within`` and ``delay``
+    only.  A fetch that no evaluation followed comes with nulls once the watermark has
+    passed its time; rows behind the watermark are dropped (``late_rows`` finds them).
+    """
+    f = fetched.select(F.col("id").alias("fetch_id"), F.col("article_id").alias("of"), "fetched_at").withWatermark("fetched_at", delay)
+    e = evaluated.select(F.col("id").alias("evaluation_id"), "article_id", "evaluated_at").withWatermark("evaluated_at", delay)
+    follows = F.expr(f"of = article_id AND evaluated_at >= fetched_at AND evaluated_at <= fetched_at + INTERVAL {within}")
+    return f.join(e, follows, "left_outer").select(
+        "fetch_id", F.col("of").alias("article_id"), "fetched_at", "evaluation_id", "evaluated_at",
+        (F.unix_micros("evaluated_at") - F.unix_micros("fetched_at")).alias("micros"),
+    )
+
+
+def latency_stream(latencies: DataFrame, folder: str) -> DataStreamWriter:
+    """Matched rows to ``latencies``, fetches without an evaluation to ``unmatched``; a replayed batch overwrites its own."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        matched = F.col("evaluation_id").isNotNull()
+        for name, rows in (("latencies", batch.filter(matched)), ("unmatched", batch.filter(~matched).drop("evaluation_id", "evaluated_at", "micros"))):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/run={number}")
+
+    return _each_batch(latencies, folder, apply)
+
+
+def late_rows(fetched: DataFrame, spark: SparkSession, folder: str, until: Column) -> DataFrame:
+    """Fetches up to a time the watermark has passed that came too late to be told of: in neither table."""
+    told = spark.read.parquet(f"{folder}/latencies").select("fetch_id").unionByName(spark.read.parquet(f"{folder}/unmatched").select("fetch_id"))
+    due = fetched.filter(F.col("fetched_at") <= until)
+    return due.join(told.distinct(), due.id == F.col("fetch_id"), "left_anti")
+
+
 def write_counters(counters: DataFrame, folder: str, number: int) -> None:
     counters.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/counters/run={number}")
 

@@ -1,11 +1,14 @@
+import datetime
+import random
 from collections import Counter
 
+import pytest
 from helpers import article, articles, entries, evaluations, failures, fetches, frame, moment, shown
 from pyspark.sql import functions as F
 
 from gleaner import schemas
 from gleaner.functions.times import build_time_range
-from gleaner.operators import content, filters, folds, latest, pending, upsert
+from gleaner.operators import content, filters, folds, history, latest, pending, upsert
 
 
 def test_upsert_merges_spellings_of_one_address(spark):
@@ -232,3 +235,41 @@ def test_discovery_counters(spark):
     assert got.asDict() == dict(found=5, inserted=1, queued_fetch=2, skipped=4, out_of_range=1)
     empty = upsert.discovery_counters(filters.with_window_flag(entries(spark), since, until), known, fetches(spark), history).first()
     assert empty.asDict() == dict(found=0, inserted=0, queued_fetch=0, skipped=0, out_of_range=0)
+
+
+def _log(draw, n, keys=4, days=30):
+    return [(i, draw.randrange(keys), None if draw.random() < 0.03 else day(draw.randrange(days)), draw.choice(["success", "failed"])) for i in range(1, n + 1)]
+
+
+def day(n):
+    return datetime.datetime(2026, 1, 1) + datetime.timedelta(days=n)
+
+
+def brute_as_of(rows, moment):
+    """The largest id of every key among the rows known at a moment."""
+    found = {}
+    for i, key, at, status in rows:
+        if at is not None and at <= moment:
+            found[key] = (i, status)
+    return found
+
+
+@pytest.mark.parametrize("bits", [16, 2])
+def test_state_of_every_past_day(spark, monkeypatch, bits):
+    monkeypatch.setattr(history, "_BUCKET_BITS", bits)
+    rows = _log(random.Random(bits), 80)
+    log = spark.createDataFrame(rows, "id bigint, article_id bigint, at timestamp, status string")
+    spans = history.intervals(log, "article_id", "at", "status").cache()
+    for n in range(-1, 31):
+        got = {r.article_id: (r.id, r.status) for r in history.as_of(spans, F.lit(day(n))).collect()}
+        assert got == brute_as_of(rows, day(n)), n
+    moments = [F.lit(day(n)) for n in range(0, 30, 7)]
+    for r in history.at_moments(spans, moments).groupBy("moment").agg(F.map_from_entries(F.collect_list(F.struct("article_id", "id"))).alias("ids")).collect():
+        assert r.ids == {key: i for key, (i, _) in brute_as_of(rows, r.moment).items()}
+    asked = _log(random.Random(9), 50, keys=5, days=40)
+    frame_of = spark.createDataFrame([(i, key, at) for i, key, at, _ in asked], "ask bigint, article_id bigint, moment timestamp")
+    got = {r["ask"]: r.id for r in history.joined_as_of(frame_of, spans, "article_id", "moment", "week").collect()}
+    want = {i: brute_as_of(rows, at).get(key, (None,))[0] for i, key, at, _ in asked if at is not None}
+    assert got == {i: found for i, found in want.items() if found is not None}
+    spans.unpersist()
+    assert history.intervals(log.limit(0), "article_id", "at").count() == 0

@@ -164,3 +164,23 @@ def test_new_keys_and_empty_buckets(spark, tmp_path):
     assert state.advanced(more.limit(0), {}).rows().count() == 29
     nothing = buckets.Buckets.create(more.limit(0), str(tmp_path / "empty"), "id", 4)
     assert nothing.rows().count() == 0 and buckets.buckets_for(0) == 8 and buckets.buckets_for(10**12) == buckets.MOST_BUCKETS
+
+
+def test_latencies_and_what_has_none(spark, tmp_path):
+    folder, kind = str(tmp_path), "id bigint, article_id bigint, stage string, at timestamp"
+    row = lambda i, article, stage, at: dict(id=i, article_id=article, stage=stage, at=f"2026-01-0{at}")
+    first = [row(1, 1, "fetch", "1T00:00:00"), row(2, 2, "fetch", "1T00:10:00"), row(3, 1, "evaluate", "1T00:30:00"), row(4, 3, "fetch", "1T00:40:00")]
+    second = [row(5, 1, "evaluate", "1T01:00:00"), row(6, 3, "evaluate", "1T01:30:00"), row(7, 2, "evaluate", "1T02:00:00"), row(8, 4, "fetch", "2T00:00:00"),
+              row(9, 9, "evaluate", "2T00:00:00")]
+    # long behind the watermark
+    third = [row(10, 5, "fetch", "1T00:05:00"), row(11, 4, "evaluate", "2T00:20:00"), row(12, 6, "fetch", "3T00:00:00"), row(13, 9, "evaluate", "3T00:00:00")]
+    last = [row(14, 9, "fetch", "4T00:00:00"), row(15, 9, "evaluate", "4T02:00:00")]
+    stream = stream_of(spark, folder, *[frame(spark, kind, *rows) for rows in (first, second, third, last)])
+    sides = [stream.filter(F.col("stage") == stage).withColumnRenamed("at", at).drop("stage") for stage, at in (("fetch", "fetched_at"), ("evaluate", "evaluated_at"))]
+    incremental.run_to_end(incremental.latency_stream(incremental.stage_latencies(*sides, within="1 hour"), folder))
+    found = spark.read.parquet(f"{folder}/latencies").collect()
+    assert sorted((r.fetch_id, r.evaluation_id, r.micros // 60_000_000) for r in found) == [(1, 3, 30), (1, 5, 60), (4, 6, 50), (8, 11, 20)]
+    assert {r.fetch_id for r in spark.read.parquet(f"{folder}/unmatched").collect()} == {2, 12}
+    fetched = frame(spark, kind, *first, *second, *third, *last).filter("stage = 'fetch'").withColumnRenamed("at", "fetched_at")
+    late = incremental.late_rows(fetched, spark, folder, F.lit("2026-01-03").cast("timestamp"))
+    assert [r.id for r in late.collect()] == [10]
