@@ -10,7 +10,7 @@ from gleaner.catalog.oracle_tables import iso
 from gleaner.catalog.registry import query
 from gleaner.functions.times import item_time
 from gleaner.operators import filters
-from gleaner.plans import listings, paging, publishing, reports
+from gleaner.plans import listings, paging, publishing, reports, search
 from gleaner.session import shared_folder
 
 BASE_URL = "https://example.org"
@@ -44,6 +44,14 @@ def listing_search(spark, sf):
     return listings.article_filter(t.articles(spark, sf), status="all", q=" H_gh ").select("id", "title")
 
 
+@query("SELECT id, title FROM articles WHERE title ILIKE '%r_ent 4%' OR url ILIKE '%r_ent 4%' OR source_name ILIKE '%r_ent 4%'")
+def indexed_search(spark, sf):
+    """The same by the index of trigrams."""
+    folder = shared_folder(spark, "search-index")
+    search.build_index(t.articles(spark, sf), folder)
+    return search.search(spark, folder, " R_ent 4").select("id", "title")
+
+
 @query("SELECT id FROM articles WHERE published_at >= TIMESTAMP '1996-01-01' AND published_at < TIMESTAMP '1997-01-01'")
 def listing_published_between(spark, sf):
     return listings.article_filter(t.articles(spark, sf), since="1996-01-01", until="1996-12-31").select("id")

@@ -10,6 +10,9 @@ from pyspark.sql.types import StringType
 from gleaner.constants import SLUG_LENGTH, WHITESPACE
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
@@ -106,6 +109,6 @@ def like_ascii(value: Column, needle: str) -> Column:
 
     Only ASCII letters fold, so ``É`` and ``é`` stay different.
     """
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    pattern = "%" + needle.strip().translate(str.maketrans(upper, lower)).replace("\\", "\\\\") + "%"
-    return F.translate(value, upper, lower).like(pattern)
+    lower = UPPER.lower()
+    pattern = "%" + needle.strip().translate(str.maketrans(UPPER, lower)).replace("\\", "\\\\") + "%"
+    return F.translate(value, UPPER, lower).like(pattern)

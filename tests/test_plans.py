@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from helpers import article, articles, evaluations, failures, fetches, frame, shown, vocabulary
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas
 from gleaner.functions.times import item_time
-from gleaner.operators import membership, page_dates
-from gleaner.plans import listings, paging, publishing, reports
+from gleaner.operators import filters, membership, page_dates
+from gleaner.plans import listings, paging, publishing, reports, search
 
 
 def state(spark):
@@ -240,6 +241,22 @@ def test_publishing_writes_what_changed(spark, tmp_path):
     assert publishing.publish_changes(first, everything[1], folder) == {"written": 10, "gone": 0, "kept": n - 10}
 
 
+def test_search_by_index_is_the_full_scan(spark, tmp_path):
+    draw = random.Random(3)
+    words = ["Alpha", "beta", "100%", "snake_case", "back\\slash", "É", "é", "中文标题", "a", "ab", "abc", ""]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 4))) if i % 17 else None, f"https://e.com/{i}", draw.choice(["src0", "Src1", None])) for i in range(600)]
+    table, folder = spark.createDataFrame(rows, "id bigint, title string, url string, source_name string"), str(tmp_path)
+    search.build_index(table, folder, buckets=40)
+    for needle in ["alpha", "ALPHA beta", "pha%bet", "snake_case", "100%", "_00%", "é", "É", "中文标", "k\\s", "a", "ab", "abc a", "src1", "com/59", "/599", "%", "zzz", " ", "a_c", "e.com/1_7"]:
+        got = sorted(r.id for r in search.search(spark, folder, needle).collect())
+        want = sorted(r.id for r in filters.matching(table, needle.strip() and needle, *search.SEARCHED).collect())
+        assert got == want, needle
+    found = search.search(spark, folder, "com/599")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert search.candidates(spark, folder, "com/599").count() == 1 and re.search(r"PartitionFilters: \[[^]]*bucket", plan)
+    assert search.candidates(spark, folder, "a_c") is None and search.needle_grams("ab%cde_FGHI") == ["cde", "fgh", "ghi"]
+
+
 def test_ids_that_share_bits(spark):
     ids = spark.createDataFrame([(0,), (1,), (32_768,), (32_769,), (1 << 40,), (None,)], "id bigint")
     asked = spark.range(0, 70_000).unionByName(spark.createDataFrame([(1 << 40,), ((1 << 40) + 1,), (None,)], "id bigint"))
