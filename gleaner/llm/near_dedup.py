@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import arrays
 from gleaner.llm.common import own_name, with_group_facts
+from gleaner.operators.membership import MOST_BITS, id_bitmaps, possibly_in
 from gleaner.session import written
 
 BANDS, ROWS = 32, 5
@@ -47,6 +48,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-8
 ROUNDS = 2
+BITS_PER_TEXT = 64
 WORDS = 16  # 64-bit words of the bitmaps that bound the similarity of what is left
 
 _mixers = arrays.mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -216,9 +218,12 @@ class _Matcher:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the given classes, from the texts."""
-        asked = nodes.join(self.classes.select("node", "doc_id", "text_hash", "set_key"), "node")
+        asked = written(nodes.join(self.classes.select("node", "doc_id", "text_hash", "set_key"), "node"), "asked-classes")
+        # few texts are asked for: bitmaps of their hashes keep the others out of the shuffle
+        bits = min(max(BITS_PER_TEXT * asked.count(), 1 << 15), MOST_BITS)
+        docs = possibly_in(self.docs, "text_hash", id_bitmaps(asked, "text_hash", bits), bits)
         same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col("a.text_hash"))
-        texts = self.docs.alias("d").join(asked.alias("a"), same).select("a.node", "a.set_key", "d.text")
+        texts = docs.alias("d").join(asked.alias("a"), same).select("a.node", "a.set_key", "d.text")
         return written(texts.mapInArrow(_whole_sets(self.width), "node long, shingles binary"), "whole-sets").dropDuplicates(["node"])
 
     def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
