@@ -174,11 +174,11 @@ def _requests(spark, sf):
         F.col("doc_id").alias("id"), none.alias("title"), none.alias("url"), F.col("source").alias("source_name"),
         F.array("lang").alias("source_tags"), F.col("text").alias("content"),
     )
-    return verdicts.with_messages(docs, F.lit("Judge.")).select("id", "messages")
+    return verdicts.with_messages(docs).select("id", "messages")
 
 
 def _evaluated(spark, sf):
-    return verdicts.evaluate(_requests(spark, sf), rule_scorer, "rules", F.lit("2025-01-01").cast("timestamp"))
+    return verdicts.evaluate(_requests(spark, sf), rule_scorer, "rules", F.lit("2025-01-01").cast("timestamp"), system="Judge.")
 
 
 _SCORED = """
@@ -195,7 +195,7 @@ _FAULT = "'content_type must be a string; summary must be a string; recommendati
            CASE WHEN n % 11 = 0 THEN 'scorer unavailable' WHEN n % 7 = 0 THEN {_FAULT} END AS error
     FROM scored""")
 def scored(spark, sf):
-    return verdicts.score(_requests(spark, sf), rule_scorer).select("id", "verdict.decision", "attempts", "verdict.summary", "error")
+    return verdicts.score(_requests(spark, sf), rule_scorer, system="Judge.").select("id", "verdict.decision", "attempts", "verdict.summary", "error")
 
 
 @query(f"""

@@ -144,10 +144,19 @@ def repair_message(previous_raw: Column, previous_error: Column) -> Column:
     )
 
 
-def with_messages(articles: DataFrame, prompt: Column, most_chars: int | None = None) -> DataFrame:
-    """Add ``messages`` to rows with title, url, source_name, source_tags and content."""
+def prompt_text(prompt: str, vocabulary: DataFrame, few_shots: Sequence[str] = ()) -> str:
+    """The system prompt as text, to be handed to the scorer once (``score(system=...)``); it has to fit one request."""
+    return vocabulary.sparkSession.range(1).select(system_prompt(prompt, vocabulary, few_shots).alias("prompt")).first().prompt
+
+
+def with_messages(articles: DataFrame, prompt: Column | None = None, most_chars: int | None = None) -> DataFrame:
+    """Add ``messages`` to rows with title, url, source_name, source_tags and content.
+
+    Without a prompt they are the user's message alone, for a scorer that is given the prompt once.
+    """
     user = user_message(*[F.col(c) for c in ("title", "url", "source_name", "source_tags", "content")], most_chars)
-    return articles.withColumn("messages", F.array(_message("system", prompt), _message("user", user)))
+    system = [] if prompt is None else [_message("system", prompt)]
+    return articles.withColumn("messages", F.array(*system, _message("user", user)))
 
 
 # --- scoring -------------------------------------------------------------------
@@ -155,7 +164,9 @@ def with_messages(articles: DataFrame, prompt: Column, most_chars: int | None =
 _REPLY = StructType([StructField("raw", StringType()), StructField("error", StringType())])
 
 
-def _scoring(scorer: Scorer):
+def _scoring(scorer: Scorer, system: str | None):
+    first = [] if system is None else [{"role": "system", "content": system}]
+
     def score(messages: pd.Series) -> pd.DataFrame:
         rows = []
         for items in messages:
@@ -163,7 +174,7 @@ def _scoring(scorer: Scorer):
                 rows.append((None, None))
                 continue
             try:
-                rows.append((scorer([dict(item) for item in items]), None))
+                rows.append((scorer([*(dict(item) for item in first), *(dict(item) for item in items)]), None))
             except Exception as problem:  # a call that fails is a failed attempt, not a failed job
                 rows.append((None, str(problem)))
         return pd.DataFrame(rows, columns=["raw", "error"])
@@ -171,11 +182,11 @@ def _scoring(scorer: Scorer):
     return F.pandas_udf(score, _REPLY).asNondeterministic()
 
 
-def _attempt(open_rows: DataFrame, scorer: Scorer) -> DataFrame:
+def _attempt(open_rows: DataFrame, scorer: Scorer, system: str | None) -> DataFrame:
     """Replies to rows with ``messages``, the reply before (``said``) and its error (``because``)."""
     repeat = F.array(_message("user", repair_message(F.col("said"), F.col("because"))))
     sent = F.when(F.col("said").isNull(), F.col("messages")).otherwise(F.concat("messages", repeat))
-    asked = open_rows.withColumn("_reply", _scoring(scorer)(sent))
+    asked = open_rows.withColumn("_reply", _scoring(scorer, system)(sent))
     checked = with_verdict(asked.withColumn("_got", F.col("_reply.raw")), "_got")
     empty = F.col("_reply.error").isNull() & (F.coalesce("_got", F.lit("")) == "")
     return checked.select(
@@ -187,7 +198,7 @@ def _attempt(open_rows: DataFrame, scorer: Scorer) -> DataFrame:
 
 def score(
     requests: DataFrame, scorer: Scorer, max_attempts: int = MAX_ATTEMPTS, key: str = "id", folder: str | None = None,
-    calls_per_task: int | None = None,
+    calls_per_task: int | None = None, system: str | None = None,
 ) -> DataFrame:
     """Score every request, asking again up to ``max_attempts`` times.
 
@@ -196,7 +207,8 @@ def score(
     by ``key`` (unique, never null) before the next one, which only the rows that are still
     open go into.  So a task that fails repeats at most its own calls of one attempt
     (``calls_per_task`` bounds them), and a run that is started again on the same ``folder``
-    goes on after the last whole attempt.
+    goes on after the last whole attempt.  ``system`` is a prompt that goes before all messages;
+    it travels with the scorer, not with the rows.
 
     Adds ``raw``, ``raw_json``, ``verdict``, ``error`` and ``attempts``.
     """
@@ -210,7 +222,7 @@ def score(
         if not path_exists(spark, f"{place}/_SUCCESS"):
             if calls_per_task:
                 open_rows = open_rows.repartition(max(1, -(-open_rows.count() // calls_per_task)))
-            _attempt(open_rows, scorer).write.mode("overwrite").parquet(place)
+            _attempt(open_rows, scorer, system).write.mode("overwrite").parquet(place)
         log = spark.read.parquet(place)
         logs.append(log.withColumn("attempts", F.lit(attempt)))
         again = log.filter(F.col("verdict").isNull()).select("_key", F.col("raw").alias("said"), F.col("error").alias("because"))
@@ -251,14 +263,14 @@ def failed_verdicts(scored: DataFrame, failed_at: Column) -> DataFrame:
 
 
 def evaluate(
-    requests: DataFrame, scorer: Scorer, model_name: str, at: Column, max_attempts: int = MAX_ATTEMPTS
+    requests: DataFrame, scorer: Scorer, model_name: str, at: Column, max_attempts: int = MAX_ATTEMPTS, system: str | None = None
 ) -> dict[str, DataFrame]:
     """Score requests once and route what came back: ``evaluations``, ``failures``, ``counters``.
 
     Replies are written before anything reads them, so a call that is paid for is
     made once per attempt, and every article lands in exactly one log.
     """
-    scored = written(score(requests, scorer, max_attempts), "scored")
+    scored = written(score(requests, scorer, max_attempts, system=system), "scored")
     return {
         "evaluations": accepted_verdicts(scored, model_name, at),
         "failures": failed_verdicts(scored, at),

@@ -158,6 +158,17 @@ def test_request_messages(spark):
     assert empty == "P"
 
 
+def test_the_prompt_is_handed_over_once(spark):
+    words = vocabulary(spark, "AI", "-Web")
+    prompt = verdicts.prompt_text("Judge.", words, ["{}"])
+    rows = spark.createDataFrame([(1, "t", "u", "s", ["x"], "body")], "id bigint, title string, url string, source_name string, source_tags array<string>, content string")
+    both = verdicts.with_messages(rows, verdicts.system_prompt("Judge.", words, ["{}"])).first().messages
+    alone = verdicts.with_messages(rows)
+    assert [m.role for m in alone.first().messages] == ["user"] and [m.content for m in both] == [prompt, alone.first().messages[0].content]
+    scorer = lambda messages: json.dumps(VALID | {"summary": messages[0]["content"] + messages[1]["role"]})
+    assert verdicts.score(alone, scorer, system=prompt).first().verdict.summary == prompt.strip() + "user"
+
+
 def test_no_attempt_is_paid_twice(spark, tmp_path):
     """A worker that dies in the second attempt costs no call of the first one, and the run goes on from there."""
     calls, trap = tmp_path / "calls", tmp_path / "trap"
