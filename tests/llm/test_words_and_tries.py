@@ -7,9 +7,9 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from gleaner.llm import arrays, byte_pairs, common, conversation_trie, periodic_runs
@@ -70,11 +70,11 @@ STRANGE = [
 
 @pytest.mark.parametrize("parts", [1, 5])
 @pytest.mark.parametrize("block", [1, 200, 1 << 24])
-def test_ids_as_the_library_has_them(prepared, library, monkeypatch, parts, block):
+def test_ids_as_the_library_has_them(prepared, library, monkeypatch, tmp_path, parts, block):
     monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", block)
     frame = texts(prepared, *enumerate(STRANGE), (None, "no id"), (3, "again"), (3, "again")).repartition(parts)
-    frame.write.mode("overwrite").parquet(folder := f"/tmp/gleaner-bpe-{os.getpid()}")
-    frame = prepared.read.parquet(folder)
+    frame.write.parquet(f"{tmp_path}/docs")
+    frame = prepared.read.parquet(f"{tmp_path}/docs")
     encoded = byte_pairs.encode(frame)
     assert encoded.columns == ["doc_id", "value", "ROW", "block", "Runs", "ids"]
     rows = encoded.collect()
@@ -100,7 +100,7 @@ def test_the_latin_pattern_splits_alike():
 def test_words_are_encoded_once(prepared, monkeypatch):
     monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", 50)
     frame = prepared.createDataFrame([(i, "common word of all, and one" + str(i % 7) * 3) for i in range(400)], "doc_id long, text string").repartition(4)
-    words = frame.select("text", "doc_id").withColumn("part", __import__("pyspark").sql.functions.spark_partition_id())
+    words = frame.select("text", "doc_id").withColumn("part", F.spark_partition_id())
     packed = words.mapInArrow(byte_pairs._words_of(byte_pairs.default_pattern(), 64), byte_pairs._WORDS).collect()
     places = {}
     for row in packed:
