@@ -12,6 +12,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
@@ -118,7 +119,7 @@ def distinct(values: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], np.nda
     return coded.dictionary.to_pylist(), first, numbers
 
 
-class _Growing:
+class Growing:
     """An array that grows at its end; room is doubled, so adding costs what is added."""
 
     def __init__(self, kind):
@@ -156,9 +157,13 @@ class Remembered:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.counts, self.begins, self.lengths, self.places = (_Growing(np.int64) for _ in range(4))
-        self.ids, self.points = _Growing(np.int32), _Growing(np.uint32)
+        self.sorted, self.recent = ([np.zeros(0, np.uint64), np.zeros(0, np.int64)] for _ in range(2))
+        self.counts, self.begins, self.lengths, self.places = (Growing(np.int64) for _ in range(4))
+        self.ids, self.points = Growing(np.int32), Growing(np.uint32)
+
+    def full(self) -> bool:
+        """Whether all words will be forgotten before the next ones are looked up."""
+        return self.counts.size > self.most
 
     def _add(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         values, starts, lengths = words
@@ -172,6 +177,16 @@ class Remembered:
         self.points.add(values[ranges(starts, lengths)])
         return rows
 
+    def _remember(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Add sorted keys to the recent ones, which join the others when they are many."""
+        places = np.searchsorted(self.recent[0], keys)
+        self.recent = [np.insert(self.recent[0], places, keys), np.insert(self.recent[1], places, rows)]
+        if len(self.recent[0]) > max(1 << 15, len(self.sorted[0]) // 4):
+            both = [np.concatenate(pair) for pair in zip(self.sorted, self.recent)]
+            order = np.argsort(both[0], kind="stable")
+            self.sorted = [one[order] for one in both]
+            self.recent = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
     def look_up(self, values: np.ndarray, edges: np.ndarray, work_out) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another and how many each has.
 
@@ -179,13 +194,17 @@ class Remembered:
         of the words whose numbers it is handed.
         """
         starts, lengths = edges[:-1], np.diff(edges)
-        keys, first, inverse = np.unique(Substrings(values).hashes(starts, edges[1:]), return_index=True, return_inverse=True)
-        if max(len(self.keys), self.counts.size // 2) > self.most:
+        inverse, keys = pd.factorize(Substrings(values).hashes(starts, edges[1:]))
+        first = np.empty(len(keys), np.int64)
+        first[inverse[::-1]] = np.arange(len(starts) - 1, -1, -1)
+        if self.full():
             self._forget()
-        places = np.searchsorted(self.keys, keys)
-        held = self.keys[np.minimum(places, max(len(self.keys) - 1, 0))] == keys if len(self.keys) else np.zeros(len(keys), bool)
         rows = np.full(len(keys), -1)
-        rows[held] = self.rows[places[held]]
+        for known, row_of in (self.sorted, self.recent):
+            if len(known):
+                places = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                rows = np.where(known[places] == keys, row_of[places], rows)
+        held = rows >= 0
         # held under this hash, but another word?
         known = np.flatnonzero(held)
         fits = lengths[first[known]] == self.lengths.values[rows[known]]
@@ -193,12 +212,12 @@ class Remembered:
         other = _differing(values, starts[first[known]], self.points.values, self.places.values[rows[known]], lengths[first[known]])
         strange = np.concatenate([unlike, known[other]])
         new = np.flatnonzero(~held)
+        new = new[np.argsort(keys[new])]
         fresh = np.sort(np.concatenate([new, strange]))
         if len(fresh):
             at = first[fresh]
             rows[fresh] = self._add((values, starts[at], lengths[at]), work_out(at))
-            self.rows = np.insert(self.rows, places[new], rows[new])
-            self.keys = np.insert(self.keys, places[new], keys[new])
+            self._remember(keys[new], rows[new])
         rows = rows[inverse]
         # words of this batch that share a hash with an earlier one of it, but aren't that word
         again = np.flatnonzero(first[inverse] != np.arange(len(starts)))

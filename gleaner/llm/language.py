@@ -41,7 +41,7 @@ RESCALED = 64
 SMOOTHING = 0.05
 UNKNOWN = 1e-9  # probability of a letter that is no piece, in every language
 _LIFT = 40.0  # each letter's factor that keeps products of probabilities in range
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000  # words a worker remembers
 
 _alphabetic: list[np.ndarray] = []
 
@@ -220,25 +220,26 @@ class _Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.logs = np.zeros((0, len(self.model.languages)))
+        self.words, self.logs = arrays.Remembered(MOST_WORDS), arrays.Growing(np.float64)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Has a letter, number of the best language, its posterior; for each text."""
         values, starts, ends, first = words_of(data, offsets)
-        words, place, inverse = arrays.distinct(values, np.append(starts, len(values)))
-        if len(self.rows) > MOST_WORDS:
+        width = len(self.model.languages)
+        if self.words.full():
             self._forget()
-        rows = np.fromiter((self.rows.get(word, -1) for word in words), np.int64, len(words))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            lengths = (ends - starts)[place[new]]
+
+        def work_out(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lengths = (ends - starts)[places]
             edges = np.cumsum(lengths)
-            flat = values[arrays.ranges(starts[place[new]], lengths)]
-            rows[new] = len(self.logs) + np.arange(len(new))
-            self.rows.update((words[i], row) for i, row in zip(new.tolist(), rows[new].tolist()))
-            self.logs = np.concatenate([self.logs, word_logs(self.vocabulary, self.model.chances, flat, edges - lengths, edges)])
-        logs = self.logs[rows[inverse]]
+            flat = values[arrays.ranges(starts[places], lengths)]
+            row = self.logs.size // width
+            self.logs.add(word_logs(self.vocabulary, self.model.chances, flat, edges - lengths, edges).ravel())
+            return np.arange(row, row + len(places), dtype=np.int32), np.ones(len(places), np.int64)
+
+        # what is remembered of a word is the row of its logarithms
+        rows, _ = self.words.look_up(values, np.append(starts, len(values)), work_out)
+        logs = self.logs.values.reshape(-1, width)[rows]
         sums = np.vstack([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
         texts = sums[first[1:]] - sums[first[:-1]]
         best = texts.argmax(axis=1)

@@ -170,13 +170,15 @@ class Tokens:
 _tokens: dict[str, Tokens] = {}
 
 
-def _encoded(column: pa.Array, path: str, end_id: int) -> Iterator[list[np.ndarray]]:
-    """The ids of a column of texts with the end id, some rows at a time."""
+def _encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of a column of texts with the end id, and the edges of texts in them; some rows at a time."""
     tokens = _tokens.get(path) or _tokens.setdefault(path, Tokens(path))
     data, offsets = arrays.string_bytes(column)
     for start, stop in arrays.chunks(offsets):
         part = offsets[start : stop + 1]
-        yield [np.append(ids, np.int32(end_id)) for ids in tokens.encode(data[part[0] : part[-1]], part - part[0])]
+        found = tokens.encode(data[part[0] : part[-1]], part - part[0])
+        stops = np.cumsum([len(one) for one in found])
+        yield np.insert(np.concatenate(found), stops, end_id), np.concatenate([[0], stops + np.arange(1, len(found) + 1)])
 
 
 def _narrow(path: str, end_id: int) -> np.dtype:
@@ -199,14 +201,15 @@ def encoded_ids(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.
         names = ["doc_id", "tie", "ids", "uses"]
         for batch in batches:
             at = 0
-            for texts in _encoded(batch.column("text"), path, end_id):
-                rows = batch.slice(at, len(texts))
-                at += len(texts)
-                more = np.bincount(np.concatenate(texts), minlength=len(total))
+            for ids, edges in _encoded(batch.column("text"), path, end_id):
+                rows = batch.slice(at, len(edges) - 1)
+                at += len(rows)
+                more = np.bincount(ids, minlength=len(total))
                 more[: len(total)] += total
                 total = more
-                ids = pa.array([one.astype(kind).tobytes() for one in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), ids, pa.nulls(len(texts), pa.binary())], names=names)
+                offsets = pa.py_buffer((edges * kind.itemsize).astype(np.int64))
+                packed = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, offsets, pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), packed, pa.nulls(len(rows), pa.binary())], names=names)
         if len(total):
             nothing = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
