@@ -101,12 +101,18 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# rows a task numbers: some 30 MB in memory, so that its sort never spills however large the table is
+NUMBERED_ROWS = 250_000
+
+
 @stored
 def log_base(spark: SparkSession, sf: str) -> DataFrame:
     """All line items as log rows.  Pairs of article and line repeat in the data: their rows are numbered, below 1,001 each."""
-    fields = ["l_shipdate", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*fields))
-    return read(spark, sf, "lineitem").select(
+    fields, pair = ["l_shipdate", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"]
+    items = read(spark, sf, "lineitem").select(*pair, *fields)
+    tasks = max(items.count() // NUMBERED_ROWS + 1, spark.sparkContext.defaultParallelism)
+    nth = F.row_number().over(Window.partitionBy(*pair).orderBy(*fields))
+    return items.repartition(tasks, *pair).select(
         "l_orderkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1001 + nth - 1).alias("id"), *fields
     )
 

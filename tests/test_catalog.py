@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from gleaner import catalog
@@ -37,6 +38,24 @@ def test_query(spark, twin, name):
     assert ordered(frame.columns, rows) == ordered(columns, result.fetchall())
 
 
+def test_log_rows_are_numbered_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from gleaner.catalog import tables
+
+    rows = tables.read(spark, FOLDER, "lineitem")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(tables, "NUMBERED_ROWS", 100)
+    # one shuffle partition, as a session with few of them: the sort must not grow with the table
+    monkeypatch.setattr(tables, "_stored", {})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        log = tables.log_base(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert log.count() == log.select("id").distinct().count() == rows.count()
+    assert max(r["n"] for r in log.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) < 500
+
+
 def test_entry(spark):
     assert len(contract.entry(spark).columns) == 11
     assert set(catalog.oracle_sql()) == set(catalog.queries())

@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from helpers import article, articles, evaluations, frame, moment, vocabulary
+from helpers import article, articles, evaluations, fetches, frame, moment, vocabulary
 from pyspark.sql import functions as F
 
 from gleaner import schemas
@@ -260,3 +260,18 @@ def test_each_attempt_is_made_once(spark, tmp_path):
     assert done["counters"].first().attempted == 2
     with open(calls) as log:
         assert sorted(log.read().split()) == ["bad", "bad", "good"]
+
+
+def test_scorable_articles_are_told_by_ids(spark, monkeypatch):
+    kept, write = [], verdicts.written
+    monkeypatch.setattr(verdicts, "written", lambda frame, purpose: kept.append(frame.columns) or write(frame, purpose))
+    rows = articles(spark, article(1, source_content="bulk"), article(2), article(3), article((1 << 30) + 2))
+    log = fetches(
+        spark, dict(id=1, article_id=1, content="old"), dict(id=(1 << 30) + 1, article_id=1, content="new"), dict(id=9, article_id=1, status="failed"),
+        dict(id=4, article_id=2, status="failed"), dict(id=5, article_id=3, content="three"), dict(id=6, article_id=99, content="not asked for"),
+    )
+    ready, without = verdicts.scorable(rows, log)
+    assert sorted((r.id, r.content) for r in ready.collect()) == [(1, "new"), (3, "three")]
+    assert sorted(r.id for r in without.collect()) == [2, (1 << 30) + 2]
+    assert ready.columns == [*rows.columns, "content"] and without.columns == rows.columns
+    assert kept == [["article_id", "id"]]
