@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import like_ascii
 from gleaner.functions.times import in_range, parse_datetime
-from gleaner.operators.latest import latest_fetch
 
 
 def by_status(frame: DataFrame, status: str | None) -> DataFrame:
@@ -46,8 +45,13 @@ def published_between(frame: DataFrame, since: str | None, until: str | None) ->
 
 
 def failed_article_ids(fetches: DataFrame, evaluations: DataFrame, failures: DataFrame) -> DataFrame:
-    """Articles whose latest fetch failed, or whose evaluation failed and never succeeded."""
-    fetch_failed = latest_fetch(fetches).filter(F.col("status") == "failed").select("article_id")
+    """Articles whose latest fetch failed, or whose evaluation failed and never succeeded.
+
+    Only ids are aggregated, in hash tables, so no log is sorted.
+    """
+    failed_id = F.when(F.col("status") == "failed", F.col("id"))
+    ids = fetches.groupBy("article_id").agg(F.max("id").alias("latest"), F.max(failed_id).alias("latest_failed"))
+    fetch_failed = ids.filter(F.col("latest") == F.col("latest_failed")).select("article_id")
     evaluated = evaluations.select("article_id").distinct()
     never_evaluated = failures.select("article_id").distinct().join(evaluated, "article_id", "left_anti")
     return fetch_failed.unionByName(never_evaluated)

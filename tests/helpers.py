@@ -70,6 +70,10 @@ def vocabulary(spark, *names):
     return frame(spark, schemas.VOCABULARY, *rows)
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
 def moment(text="2026-03-01T00:00:00"):
     return F.lit(text).cast("timestamp")
 

@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from helpers import article, articles, evaluations, failures, fetches, frame, shown, vocabulary
+from helpers import article, articles, evaluations, failures, fetches, frame, plan_of, shown, vocabulary
 from pyspark.sql import functions as F
 
 from gleaner import schemas
@@ -257,6 +257,16 @@ def test_search_by_index_is_the_full_scan(spark, tmp_path):
     assert search.candidates(spark, folder, "a_c") is None and search.needle_grams("ab%cde_FGHI") == ["cde", "fgh", "ghi"]
 
 
+def test_failed_articles_are_found_without_sorting_a_log(spark):
+    rows, log, judged, failed, *_ = state(spark)
+    ids = filters.failed_article_ids(log, judged, failed)
+    assert sorted(r.article_id for r in ids.collect()) == [1, 4, 5]
+    assert "SortAggregate" not in plan_of(ids)
+    # a failure before the latest success counts no more; an id alone decides what is latest
+    back = fetches(spark, dict(id=6, article_id=1, content="b"), dict(id=3, article_id=9, status="failed"), dict(id=2, article_id=9))
+    assert sorted(r.article_id for r in filters.failed_article_ids(log.unionByName(back), judged, failed).collect()) == [4, 5, 9]
+
+
 def test_ids_that_share_bits(spark):
     ids = spark.createDataFrame([(0,), (1,), (32_768,), (32_769,), (1 << 40,), (None,)], "id bigint")
     asked = spark.range(0, 70_000).unionByName(spark.createDataFrame([(1 << 40,), ((1 << 40) + 1,), (None,)], "id bigint"))
