@@ -11,7 +11,8 @@ from gleaner.constants import SORT_COLUMNS
 from gleaner.functions.times import item_time
 from gleaner.operators import latest as newest
 from gleaner.operators.filters import by_source, by_status, failed_only as only_failed, matching, published_between
-from gleaner.operators.latest import with_content, with_fetch_ids
+from gleaner.operators.latest import with_latest_content
+from gleaner.operators.membership import id_bitmaps, possibly_in
 from gleaner.operators.tags import with_public_tags
 from gleaner.plans.paging import Order, cursor_envelope, cursor_page, ordering
 from gleaner.session import written
@@ -169,19 +170,20 @@ def public_detail(
     """Accepted articles by slug with content, verdict and tags.
 
     Unlike publishing, an article without fetch or verdict is shown.  ``slug``
-    may be one slug, a frame of slugs, or nothing for all.
+    may be one slug, a frame of slugs, or nothing for all.  The articles are chosen
+    on ids and slugs alone; bitmaps of their ids filter articles and logs where they
+    are read, and everything meets by article id, once.
     """
     accepted = by_status(articles, "accepted").drop("source_content", "source_content_metadata")
     if isinstance(slug, DataFrame):
-        accepted = accepted.join(slug.select("slug").distinct(), "slug", "left_semi")
-    elif slug is not None:
-        accepted = accepted.filter(F.col("slug") == slug)
-    if slug is not None:
-        # few articles: the logs are looked at for their ids only
-        accepted = written(accepted, "chosen-articles")
-        fetches, evaluations, links = (of_page(log, accepted) for log in (fetches, evaluations, links))
-    narrow = with_public_tags(_with_verdict(with_fetch_ids(accepted, fetches, how="left"), evaluations), links, vocabulary)
-    return with_content(written(narrow, "public-details"), fetches, how="left")
+        chosen = accepted.select("id", "slug").join(slug.select("slug").distinct(), "slug", "left_semi")
+    else:
+        chosen = accepted if slug is None else accepted.filter(F.col("slug") == slug)
+    chosen = written(chosen.select("id"), "chosen-articles")
+    marks = id_bitmaps(chosen, "id")
+    rows = possibly_in(accepted, "id", marks).join(chosen, "id", "left_semi").select(*accepted.columns)
+    fetches, evaluations, links = (possibly_in(log, "article_id", marks) for log in (fetches, evaluations, links))
+    return with_latest_content(with_public_tags(_with_verdict(rows, evaluations), links, vocabulary), fetches, how="left")
 
 
 def article_detail(

@@ -267,6 +267,31 @@ def test_failed_articles_are_found_without_sorting_a_log(spark):
     assert sorted(r.article_id for r in filters.failed_article_ids(log.unionByName(back), judged, failed).collect()) == [4, 5, 9]
 
 
+def test_details_write_ids_only(spark, monkeypatch):
+    rows, log, judged, _, tagged, words = state(spark)
+    kept, write = [], listings.written
+    monkeypatch.setattr(listings, "written", lambda frame, purpose: kept.append(frame.columns) or write(frame, purpose))
+    asked = spark.createDataFrame([("s-t1",), ("s-t1",), ("s-t3",), ("s-t4",), ("none",)], "slug string")
+    got = listings.public_detail(rows, log, judged, tagged, words, asked)
+    assert sorted((r.id, r.content, r.summary, r.tags) for r in got.collect()) == [(1, " body ", "new", ["AI", "web"]), (3, "b3", None, [])]
+    assert kept == [["id"]]
+
+
+def test_ids_beyond_the_bitmaps_take_their_own_content(spark):
+    far = 1 << 30
+    rows = articles(spark, *[article(i, status="accepted", title=f"T{i}") for i in (1, far + 1, 2)])
+    log = fetches(
+        spark, dict(id=5, article_id=1, content="old"), dict(id=far + 5, article_id=far + 1, content="far"), dict(id=7, article_id=1, content="new"),
+        dict(id=far + 7, article_id=1, status="failed"), dict(id=6, article_id=2, content="two"),
+    )
+    words, judged = vocabulary(spark, "AI"), evaluations(spark, dict(id=1, article_id=1), dict(id=2, article_id=far + 1))
+    tagged = frame(spark, schemas.ARTICLE_TAGS)
+    asked = spark.createDataFrame([("s-t1",)], "slug string")
+    assert [(r.id, r.content) for r in listings.public_detail(rows, log, judged, tagged, words, asked).collect()] == [(1, "new")]
+    every = listings.public_detail(rows, log, judged, tagged, words)
+    assert {r.id: r.content for r in every.collect()} == {1: "new", far + 1: "far", 2: "two"}
+
+
 def test_ids_that_share_bits(spark):
     ids = spark.createDataFrame([(0,), (1,), (32_768,), (32_769,), (1 << 40,), (None,)], "id bigint")
     asked = spark.range(0, 70_000).unionByName(spark.createDataFrame([(1 << 40,), ((1 << 40) + 1,), (None,)], "id bigint"))
